@@ -1,0 +1,31 @@
+"""Reliable checkpoints in the folder that the session names."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerscope.errors import SourceError
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared checkpoint folder and read back.
+
+    Later plans read the written files, so they see the same partitions even
+    when an executor is lost in between.
+    """
+    _ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise SourceError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+    context.setCheckpointDir(folder)
