@@ -29,26 +29,38 @@ def with_period(df: DataFrame, unit: str, time_col: str | None = None, name: str
     return df.withColumn(name, time_label(unit, quoted(time_column(df, time_col))))
 
 
+def period_start(unit: str, ts: Column) -> Column:
+    """First day of the period of a moment; far cheaper per row than its label."""
+    return F.trunc(ts.cast("date"), unit)
+
+
 @dataclass(frozen=True)
 class GroupKey:
-    """A grouping key.
+    """A grouping key: rows are grouped and ordered by ``column`` and shown by its label.
 
-    ``calendar`` marks a time label: it has a few values per year, however long
-    the table is, so its groups may be broadcast or ordered in one task. The
-    number of values of any other column is unknown.
+    ``unit`` is set for a time word. Such a key has a few values per year,
+    however long the table is, so its groups may be broadcast or ordered in one
+    task. The number of values of any other column is unknown.
     """
 
     column: Column
-    calendar: bool
+    unit: str | None = None
+
+    @property
+    def calendar(self) -> bool:
+        return self.unit is not None
+
+    def label(self, key: Column) -> Column:
+        return time_label(self.unit, key) if self.unit else key.cast("string")
 
 
 def group_key(df: DataFrame, group_by: str, time_col: str | None = None) -> GroupKey:
     """``month``, ``quarter`` and ``year`` are reserved words in any case; others are columns."""
     word = group_by.strip().lower()
     if word in TIME_UNITS:
-        return GroupKey(time_label(word, quoted(time_column(df, time_col))), True)
+        return GroupKey(period_start(word, quoted(time_column(df, time_col))), word)
     require_columns(df, group_by)
-    return GroupKey(quoted(group_by), False)
+    return GroupKey(quoted(group_by))
 
 
 def axis_label(name: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.errors import EmptyResultError, PeriodError
 from ledgerscope.functions.columns import data_type, quoted, time_column
-from ledgerscope.functions.labels import time_label
+from ledgerscope.functions.labels import period_start, time_label
 
 MONTH_NUMBERS = {name.lower(): number for number, name in enumerate(calendar.month_name) if name}
 
@@ -93,13 +93,25 @@ def _month_partitions(period: Period, label: Column) -> Column:
     return condition if period.end is None else condition & (label < period.end.strftime("%Y-%m"))
 
 
+def label_period(unit: str, label: str) -> Period:
+    """The range behind a time label such as ``2026-09``, ``2026Q3`` or ``2026``."""
+    if unit != "quarter":
+        return parse_period(label)
+    year, _, quarter = label.partition("Q")
+    if not (year.isdigit() and quarter in ("1", "2", "3", "4")):
+        raise PeriodError(f"not a quarter label: {label!r}")
+    last = parse_period(f"{year}-{int(quarter) * 3:02d}")
+    return Period(datetime(int(year), int(quarter) * 3 - 2, 1), last.end)
+
+
 def distinct_periods(df: DataFrame, unit: str = "month", time_col: str | None = None) -> DataFrame:
     """The periods that occur, with their row counts, oldest first."""
     ts = quoted(time_column(df, time_col))
     return (
         df.where(ts.isNotNull())
-        .groupBy(time_label(unit, ts).alias("period"))
+        .groupBy(period_start(unit, ts).alias("start"))
         .agg(F.count("*").alias("rows"))
+        .select(time_label(unit, F.col("start")).alias("period"), "rows")
         .orderBy("period")
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.columns import data_type, numeric, quoted, time_column
-from ledgerscope.functions.labels import GroupKey, group_key, time_label
+from ledgerscope.functions.labels import GroupKey, group_key, period_start, time_label
 from ledgerscope.functions.money import percent_change, percent_of
 from ledgerscope.sources.storage import checkpointed
 
@@ -21,7 +21,7 @@ def period_change(
     sums = df.groupBy(key.column.alias("key")).agg(F.coalesce(F.sum(numeric(df, column)), F.lit(0)).alias("value"))
     lagged = _with_previous(sums, key, one_task_rows)
     return lagged.orderBy(F.col("key").asc_nulls_last()).select(
-        F.col("key").cast("string").alias("group"),
+        key.label(F.col("key")).alias("group"),
         "value",
         percent_change(F.col("value"), F.col("previous")).alias("percentage_change"),
     )
@@ -53,10 +53,6 @@ def _with_previous(sums: DataFrame, key: GroupKey, one_task_rows: int) -> DataFr
     return lagged.join(F.broadcast(carried), "part", "left").select("key", "value", previous.alias("previous"))
 
 
-def _period_start(unit: str, ts: Column, type_name: str) -> Column:
-    return F.trunc(ts.cast("date"), unit).cast(type_name)
-
-
 def latest_period_starts(df: DataFrame, unit: str = "month", time_col: str | None = None) -> tuple[Column, Column]:
     """First day of the latest and of the previous period that occur, as scalar subqueries.
 
@@ -64,9 +60,9 @@ def latest_period_starts(df: DataFrame, unit: str = "month", time_col: str | Non
     """
     column = time_column(df, time_col)
     ts, type_name = quoted(column), data_type(df, column).simpleString()
-    latest = df.agg(_period_start(unit, F.max(ts), type_name).alias("latest")).scalar()
+    latest = df.agg(period_start(unit, F.max(ts)).cast(type_name).alias("latest")).scalar()
     earlier = df.where(ts < latest)
-    previous = earlier.agg(_period_start(unit, F.max(ts), type_name).alias("previous")).scalar()
+    previous = earlier.agg(period_start(unit, F.max(ts)).cast(type_name).alias("previous")).scalar()
     return latest, previous
 
 
@@ -95,7 +91,7 @@ def compare_periods(
         sums.withColumn("change", change)
         .orderBy(F.col("change"), F.col("key").asc_nulls_last())
         .select(
-            F.col("key").cast("string").alias("group"), "previous_value", "latest_value", "change",
+            key.label(F.col("key")).alias("group"), "previous_value", "latest_value", "change",
             percent_of(F.col("change"), F.col("previous_value")).alias("percentage_change"),
         )
     )

@@ -1,11 +1,14 @@
 """Exact medians whose work does not gather a group in one task.
 
 Spark's own exact percentile keeps every distinct value of a group in the
-memory of one task. Here a first pass counts rows per group and value band, a
-band being one of 1024 slices between neighbouring powers of two; running
+memory of one task. Here the values fall into bands, slices between
+neighbouring powers of two, and rows are counted per group and band. Running
 totals over these few counts show which band holds the middle rows. Only the
-rows of that band are then counted by value. No sampling, and no guess about
-the distribution: the bands depend on the value alone.
+rows of that band are counted by value; then the same is done once more with
+bands 4096 times finer, and only the values of the fine band are put in order.
+
+Nothing is sampled, and the bands depend on the value alone, so no pass has to
+look at the distribution first and a lost task is recomputed to the same rows.
 """
 
 from __future__ import annotations
@@ -17,12 +20,13 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions.columns import quoted
 
-SLICES = 1024
-LOWEST_EXPONENT = 1075  # 2**-1074 is the smallest positive double
+COARSE = 32  # slices between neighbouring powers of two
+FINE = COARSE * 4096
+LOWEST_EXPONENT = 1075  # above that of the smallest positive double, 2**-1074
 
 
-def value_band(value: Column) -> Column:
-    """A whole number that never falls while the value rises.
+def value_band(value: Column, slices: int) -> Column:
+    """A whole number that never falls while the value rises; null for null.
 
     The exponent from ``log2`` may be off by one next to a power of two; the
     fraction then lies just outside [1, 2) and leads to the same band.
@@ -30,9 +34,8 @@ def value_band(value: Column) -> Column:
     size = F.abs(value.cast("double"))
     exponent = F.floor(F.log2(size))
     fraction = size / F.pow(F.lit(2.0), exponent)
-    band = (exponent + LOWEST_EXPONENT) * SLICES + F.floor((fraction - 1) * SLICES) + 1
-    infinite = size == float("inf")
-    magnitude = F.when(infinite, F.lit(1 << 40)).when(size > 0, band).otherwise(F.lit(0)).cast("bigint")
+    band = (exponent + LOWEST_EXPONENT) * slices + F.floor((fraction - 1) * slices) + 1
+    magnitude = F.when(size == float("inf"), F.lit(1 << 40)).when(size > 0, band).otherwise(F.lit(0)).cast("bigint")
     return F.when(value.isNull(), None).when(value < 0, -magnitude).otherwise(magnitude)
 
 
@@ -40,58 +43,63 @@ def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), few_groups
     """One row per group with the exact median of ``value``; null for a group without values.
 
     ``few_groups`` states that the number of groups has a bound that does not
-    grow with the table: the bands found (two rows per group at most) are then
-    broadcast to a second scan. Otherwise rows are counted by group and value
-    once, and both passes read those counts.
+    grow with the table. The bands found, two per group at most, are then
+    broadcast to a second scan and the table is not shuffled. Otherwise rows are
+    counted by group and value once, and both passes read those counts.
     """
-    rows = df.select(
-        *(quoted(key).alias(f"k{i}") for i, key in enumerate(keys)), quoted(value).alias("v")
-    )
-    group = [f"k{i}" for i in range(len(keys))]
     small = few_groups or not keys
-    if small:
-        counted = rows.withColumn("c", F.lit(1).cast("bigint"))
-    else:
-        counted = rows.groupBy(*group, "v").agg(F.count("*").alias("c"))
-    counted = counted.select(
-        *group, "v", value_band(F.col("v")).alias("band"), F.when(F.col("v").isNull(), 0).otherwise(F.col("c")).alias("c")
-    )
-
-    middle = _middle_bands(counted, group)
-    marks = middle.select(*(F.col(name).alias(f"m_{name}") for name in group + ["band"]), "before", "low", "high")
+    group = [f"k{i}" for i in range(len(keys))]
+    rows = df.select(*(quoted(key).alias(name) for key, name in zip(keys, group)), quoted(value).alias("v"))
+    counted = rows.withColumn("c", F.lit(1)) if small else rows.groupBy(*group, "v").agg(F.count("*").alias("c"))
+    counted = counted.withColumn("c", F.when(F.col("v").isNull(), 0).otherwise(F.col("c")).cast("bigint"))
+
+    coarse = counted.withColumn("band", value_band(F.col("v"), COARSE))
+    middle = _in_bands(coarse, _first_bands(coarse, group), group, small)
+    values = middle.groupBy(*group, "base", "low", "high", "v").agg(F.sum("c").alias("c"))
+
+    fine = values.withColumn("band", value_band(F.col("v"), FINE))
+    marks = _middle_bands(fine.groupBy(*group, "base", "low", "high", "band").agg(F.sum("c").alias("c")), group)
+    last = _in_bands(fine.drop("base", "low", "high"), marks, group, small)
+
+    ranked = _ranked(last, group, F.col("v"))
+    lower = F.max(F.when(_covers("low"), F.col("v"))).cast("double")
+    upper = F.max(F.when(_covers("high"), F.col("v"))).cast("double")
+    found = ranked.groupBy(*group).agg(((lower + upper) / 2).alias("median"))
+    return found.select(*(F.col(name).alias(key) for key, name in zip(keys, group)), "median")
+
+
+def _covers(rank: str) -> Column:
+    return (F.col("before") < F.col(rank)) & (F.col(rank) <= F.col("upto"))
+
+
+def _ranked(rows: DataFrame, group: list[str], order: Column) -> DataFrame:
+    """Add how many values of the group lie before each row, and up to it."""
+    rising = Window.partitionBy(*group).orderBy(order.asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = rows.withColumn("upto", F.col("base") + F.sum("c").over(rising))
+    return upto.withColumn("before", F.col("upto") - F.col("c"))
+
+
+def _first_bands(coarse: DataFrame, group: list[str]) -> DataFrame:
+    """The middle bands of each group; ``low`` and ``high`` are the 1-based middle ranks, equal for an odd count."""
+    bands = coarse.groupBy(*group, "band").agg(F.sum("c").alias("c"))
+    n = F.sum("c").over(Window.partitionBy(*group))
+    ranks = bands.withColumn("low", F.floor((n + 1) / 2)).withColumn("high", F.floor((n + 2) / 2))
+    return _middle_bands(ranks.withColumn("base", F.lit(0).cast("bigint")), group)
+
+
+def _middle_bands(bands: DataFrame, group: list[str]) -> DataFrame:
+    """The one or two bands per group that hold the middle ranks; ``base`` counts the values below them."""
+    ranked = _ranked(bands, group, F.col("band"))
+    held = ranked.where((F.col("before") < F.col("high")) & (F.col("low") <= F.col("upto")))
+    base = F.min("before").over(Window.partitionBy(*group))
+    return held.select(*group, "band", "low", "high", base.alias("base"))
+
+
+def _in_bands(rows: DataFrame, marks: DataFrame, group: list[str], small: bool) -> DataFrame:
+    """The rows in the marked bands, with the ranks to look for; null keys and bands match."""
+    marks = marks.select(*(F.col(name).alias(f"m_{name}") for name in [*group, "band"]), "base", "low", "high")
     same = F.col("band").eqNullSafe(F.col("m_band"))
     for name in group:
         same &= F.col(name).eqNullSafe(F.col(f"m_{name}"))
-    candidates = (
-        counted.join(F.broadcast(marks) if small else marks, same)
-        .groupBy(*group, "band", "before", "low", "high", "v")
-        .agg(F.sum("c").alias("c"))
-    )
-    in_band = Window.partitionBy(*group, "band").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("before") + F.sum("c").over(in_band)
-    ranked = candidates.withColumn("upto", upto).withColumn("after", F.col("upto") - F.col("c"))
-    lower = F.max(F.when((F.col("after") < F.col("low")) & (F.col("low") <= F.col("upto")), F.col("v")))
-    upper = F.max(F.when((F.col("after") < F.col("high")) & (F.col("high") <= F.col("upto")), F.col("v")))
-    median = (lower.cast("double") + upper.cast("double")) / 2
-    found = ranked.groupBy(*group).agg(median.alias("median"))
-    return found.select(*(F.col(f"k{i}").alias(key) for i, key in enumerate(keys)), "median")
-
-
-def _middle_bands(counted: DataFrame, group: list[str]) -> DataFrame:
-    """The band or two bands of each group that hold its middle rows.
-
-    ``low`` and ``high`` are the 1-based ranks of the middle rows, equal when
-    the group is odd; ``before`` counts the rows in lower bands.
-    """
-    bands = counted.groupBy(*group, "band").agg(F.sum("c").alias("m"))
-    whole = Window.partitionBy(*group)
-    rising = whole.orderBy(F.col("band").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    totals = bands.select(
-        *group, "band", "m", F.sum("m").over(whole).alias("n"), F.sum("m").over(rising).alias("upto")
-    )
-    ranks = totals.select(
-        *group, "band", (F.col("upto") - F.col("m")).alias("before"), "upto", "n",
-        F.floor((F.col("n") + 1) / 2).alias("low"), F.floor((F.col("n") + 2) / 2).alias("high"),
-    )
-    holds = (F.col("before") < F.col("high")) & (F.col("low") <= F.col("upto"))
-    return ranks.where((F.col("band").isNotNull() & (F.col("n") > 0) & holds) | (F.col("n") == 0))
+    joined = rows.join(F.broadcast(marks) if small else marks, same)
+    return joined.drop(*(f"m_{name}" for name in [*group, "band"]))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.functions.columns import numeric, present, quoted
+from ledgerscope.functions.columns import data_type, numeric, present, quoted, time_column
 from ledgerscope.functions.labels import group_key
 from ledgerscope.functions.money import percent_of
+from ledgerscope.functions.periods import label_period, period_condition
 
 
 def ratio_by(
@@ -25,7 +27,7 @@ def ratio_by(
     return (
         sums.withColumn(name, ratio)
         .orderBy(F.col(name).desc_nulls_last(), F.col("key").asc_nulls_last())
-        .select(F.col("key").cast("string").alias("group"), quoted(denominator), quoted(numerator), F.col(name))
+        .select(key.label(F.col("key")).alias("group"), quoted(denominator), quoted(numerator), F.col(name))
     )
 
 
@@ -40,7 +42,7 @@ def share_of_total(df: DataFrame, metric: str, by: str, time_col: str | None = N
     return (
         sums.withColumn("share", percent_of(F.col("value"), total))
         .orderBy(F.col("value").desc_nulls_last(), F.col("key").asc_nulls_last())
-        .select(F.col("key").cast("string").alias("group"), "value", "share")
+        .select(key.label(F.col("key")).alias("group"), "value", "share")
     )
 
 
@@ -49,16 +51,27 @@ def pivot_sum(
 ) -> DataFrame:
     """Sums with one row per group and one column per value of ``across``; no rows means 0.
 
-    The values are given, so no job runs to find them; only their rows are read.
+    The values are given, so no job runs to find them, and only rows of given
+    periods are read. Rows are first summed by both keys; these sums are then
+    laid out as columns by their labels.
     """
     row_key, column_key = group_key(df, by, time_col), group_key(df, across, time_col)
-    rows = df.select(
-        row_key.column.alias("group"), column_key.column.cast("string").alias("across"), numeric(df, metric).alias("value")
-    ).where(F.col("across").isin(*values))
+    if column_key.unit:
+        name = time_column(df, time_col)
+        ranges = [
+            period_condition(label_period(column_key.unit, value), quoted(name), data_type(df, name).simpleString())
+            for value in values
+        ]
+        df = df.where(reduce(Column.__or__, ranges))
+    cells = df.groupBy(row_key.column.alias("key"), column_key.column.alias("across")).agg(
+        F.sum(numeric(df, metric)).alias("value")
+    )
+    labeled = cells.withColumn("across", column_key.label(F.col("across"))).where(F.col("across").isin(*values))
     sums = [
         F.coalesce(F.sum(F.when(F.col("across") == value, F.col("value"))), F.lit(0)).alias(value) for value in values
     ]
-    return rows.groupBy("group").agg(*sums).orderBy(F.col("group").asc_nulls_last())
+    table = labeled.groupBy("key").agg(*sums).orderBy(F.col("key").asc_nulls_last())
+    return table.select(row_key.label(F.col("key")).alias("group"), *(quoted(value) for value in values))
 
 
 def deviations(df: DataFrame, column: str, threshold: float) -> DataFrame:
@@ -74,8 +87,9 @@ def deviations(df: DataFrame, column: str, threshold: float) -> DataFrame:
 
 def missing_by(df: DataFrame, column: str, by: Sequence[str], time_col: str | None = None) -> DataFrame:
     """Rows and missing cells per group; ``by`` may mix columns and time words."""
-    keys = [group_key(df, name, time_col).column.alias(name) for name in by]
-    counts = df.groupBy(*keys).agg(
+    keys = {name: group_key(df, name, time_col) for name in by}
+    counts = df.groupBy(*(key.column.alias(name) for name, key in keys.items())).agg(
         F.count("*").alias("rows"), F.count_if(present(df, column).isNull()).alias("missing")
     )
-    return counts.orderBy(*(quoted(name).asc_nulls_last() for name in by))
+    ordered = counts.orderBy(*(quoted(name).asc_nulls_last() for name in by))
+    return ordered.select(*(key.label(quoted(name)).alias(name) for name, key in keys.items()), "rows", "missing")

@@ -84,9 +84,9 @@ def summarize(
     words = [_checked(op, STATISTICS) for op in operations]
     if group_by is None:
         return _summary(df, column, words, None)
-    result = _summary(df, column, words, group_key(df, group_by, time_col))
-    ordered = result.orderBy(F.col("key").asc_nulls_last())
-    return ordered.select(F.col("key").cast("string").alias("group"), *words)
+    key = group_key(df, group_by, time_col)
+    ordered = _summary(df, column, words, key).orderBy(F.col("key").asc_nulls_last())
+    return ordered.select(key.label(F.col("key")).alias("group"), *words)
 
 
 def statistics(
@@ -128,7 +128,7 @@ def group_aggregate(
     value = F.col(word)
     order = value.desc_nulls_last() if descending else value.asc_nulls_last()
     result = _summary(rows, metric, [word], key).orderBy(order, F.col("key").asc_nulls_last())
-    return result.select(F.col("key").cast("string").alias("group"), value.alias("value"))
+    return result.select(key.label(F.col("key")).alias("group"), value.alias("value"))
 
 
 def rows_analyzed(df: DataFrame, period: str | None, time_col: str | None = None) -> Column:

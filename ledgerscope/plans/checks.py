@@ -9,13 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerscope.errors import AnalysisInputError
 from ledgerscope.functions.columns import quoted
+from ledgerscope.sources.storage import checkpointed
 
 EVIDENCE_SCHEMA = "question string, name string, text string, number double"
 
@@ -37,13 +39,18 @@ def evidence_rows(question: str, result: DataFrame) -> DataFrame:
 
 
 def run_checks(spark: SparkSession, results: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
-    """The evidence of all questions; a question that cannot be built gives one ``error`` row."""
+    """The evidence of all questions; a question that fails gives one ``error`` row.
+
+    Each question runs here, once, and its few evidence rows are written to the
+    checkpoint folder, so judging and reporting do not compute it again.
+    """
     parts = []
     for question, build in results.items():
         try:
-            parts.append(evidence_rows(question, build()))
-        except (AnalysisInputError, AnalysisException) as error:
-            row = [(question, "error", f"{type(error).__name__}: {error}", None)]
+            parts.append(checkpointed(evidence_rows(question, build())))
+        except (AnalysisInputError, PySparkException, Py4JJavaError) as error:
+            first_line = str(error).strip().splitlines()[0]
+            row = [(question, "error", f"{type(error).__name__}: {first_line}", None)]
             parts.append(spark.createDataFrame(row, EVIDENCE_SCHEMA))
     return reduce(DataFrame.unionByName, parts)
 

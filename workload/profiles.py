@@ -10,7 +10,7 @@ from ledgerscope.operators.profile import (
 from ledgerscope.operators.updates import apply_overrides
 from ledgerscope.plans import questions
 from ledgerscope.plans.checks import checks_summary, judge, run_checks
-from ledgerscope.sources.star import SALES_COLUMNS, cost_ratio, read_table, sales
+from ledgerscope.sources.star import SALES_COLUMNS, cost_percent, read_table, sales
 from workload.registry import doubles, register, sales_table, with_sales
 
 NUMERIC_COLUMNS = ("order_id", "customer_id", "quantity", "unit_price", "discount", "revenue", "cost", "profit")
@@ -96,7 +96,8 @@ def _lines(spark, sf_dir):
         F.col("l_discount").cast("decimal(5,4)").alias("discount"),
     )
     ratios = part.select(F.col("p_type").alias("category")).distinct()
-    return derive_financials(lines, ratios.withColumn("cost_ratio", cost_ratio(F.col("category"))), "category")
+    ratio = (cost_percent(F.col("category")) / 100).cast("decimal(5,4)")
+    return derive_financials(lines, ratios.withColumn("cost_ratio", ratio), "category")
 
 
 @register("derive_financials", f"""
