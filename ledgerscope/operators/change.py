@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.columns import data_type, numeric, quoted, time_column
-from ledgerscope.functions.labels import GroupKey, group_key, period_start, time_label
+from ledgerscope.functions.labels import GroupKey, group_key, period_start
 from ledgerscope.functions.money import percent_change, percent_of
 from ledgerscope.sources.storage import checkpointed
 
@@ -57,12 +57,15 @@ def latest_period_starts(df: DataFrame, unit: str = "month", time_col: str | Non
     """First day of the latest and of the previous period that occur, as scalar subqueries.
 
     Scalars of the time column's own type reach the scan as plain range filters.
+    Both read the same distinct periods, so the time column is scanned once. The
+    previous one is null if there is only one period.
     """
     column = time_column(df, time_col)
     ts, type_name = quoted(column), data_type(df, column).simpleString()
-    latest = df.agg(period_start(unit, F.max(ts)).cast(type_name).alias("latest")).scalar()
-    earlier = df.where(ts < latest)
-    previous = earlier.agg(period_start(unit, F.max(ts)).cast(type_name).alias("previous")).scalar()
+    starts = df.where(ts.isNotNull()).select(period_start(unit, ts).cast(type_name).alias("start")).distinct()
+    latest = starts.agg(F.max("start")).scalar()
+    last_two = starts.orderBy(F.desc("start")).limit(2)
+    previous = last_two.agg(F.when(F.count("*") == 2, F.min("start"))).scalar()
     return latest, previous
 
 
@@ -102,9 +105,3 @@ def largest_decline(
 ) -> DataFrame:
     """The group whose metric fell most between the two latest periods."""
     return compare_periods(df, metric, by, unit, time_col).limit(1)
-
-
-def latest_labels(df: DataFrame, unit: str = "month", time_col: str | None = None) -> tuple[Column, Column]:
-    """Labels of the latest and the previous period."""
-    latest, previous = latest_period_starts(df, unit, time_col)
-    return time_label(unit, latest), time_label(unit, previous)
