@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.columns import require_columns
+from ledgerscope.sources.storage import lookup_side
 
 
 def percent_of(part: Column, whole: Column) -> Column:
@@ -29,11 +30,11 @@ def measures(quantity: Column, unit_price: Column, discount: Column, cost_ratio:
 def derive_financials(df: DataFrame, ratios: DataFrame, key: str) -> DataFrame:
     """Add revenue, cost and profit from quantity, unit price, discount and a lookup of cost ratios.
 
-    ``ratios`` has ``key`` (unique) and ``cost_ratio``. The join carries no
-    broadcast hint: the planner broadcasts a lookup it knows to be small.
+    ``ratios`` has ``key`` (unique) and ``cost_ratio``. It is counted here and
+    broadcast only if it is short.
     """
     require_columns(df, key, "quantity", "unit_price", "discount")
     require_columns(ratios, key, "cost_ratio")
-    joined = df.join(ratios.select(key, "cost_ratio"), key, "left")
+    joined = df.join(lookup_side(ratios.select(key, "cost_ratio")), key, "left")
     columns = measures(F.col("quantity"), F.col("unit_price"), F.col("discount"), F.col("cost_ratio"))
     return joined.withColumns(columns)

@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerscope.errors import SourceError
 
+LOOKUP_ROWS = 100_000
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written once to the shared checkpoint folder and read back.
@@ -19,6 +22,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lookup_side(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
+    """A lookup table for the right side of a join, broadcast if it has at most ``max_rows`` rows.
+
+    The lookup is computed and counted first, as the planner cannot know the
+    size of a derived table and would shuffle the large side. A longer lookup
+    comes back without the hint, and the join shuffles both sides.
+    """
+    stored = checkpointed(df)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
+
+
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
