@@ -96,7 +96,8 @@ def check_sections(evidence: DataFrame, judged: DataFrame, questions: Mapping[st
     spark = evidence.sparkSession
     titles = [(number, key, title) for number, (key, title) in enumerate(questions.items(), 1)]
     names = spark.createDataFrame(titles, "number int, question string, title string")
-    shown = F.coalesce(F.col("text"), F.col("number").cast("string"), F.lit("None"))
+    plain = F.col("number").cast("decimal(30,4)").cast("string")
+    shown = F.coalesce(F.col("text"), F.regexp_replace(plain, r"\.?0+$", ""), F.lit("None"))
     readable = F.initcap(F.replace(F.col("name"), F.lit("_"), F.lit(" ")))
     lines = evidence.select("question", F.concat(F.lit("- **"), readable, F.lit(":** "), shown).alias("line"))
     bodies = lines.groupBy("question").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("lines"))

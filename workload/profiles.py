@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 from ledgerscope.functions.money import derive_financials
 from ledgerscope.operators.constraints import check_constraints
 from ledgerscope.operators.profile import (
-    profile_dates, profile_duplicates, profile_header, profile_missing, profile_numeric, profile_types,
+    profile_dates, profile_duplicates, profile_header, profile_missing, profile_numeric, profile_sample, profile_types,
 )
 from ledgerscope.operators.updates import apply_overrides
 from ledgerscope.plans import questions
-from ledgerscope.plans.checks import checks_summary, judge, run_checks
+from ledgerscope.plans.checks import check_sections, checks_summary, judge, run_checks
 from ledgerscope.sources.star import SALES_COLUMNS, cost_percent, read_table, sales
 from workload.registry import doubles, register, sales_table, with_sales
 
@@ -67,6 +67,14 @@ def numbers(spark, sf_dir):
     return profile.withColumns({name: F.round(name, 6) for name in ("mean", "median")})
 
 
+@register("profile_sample", with_sales("""
+SELECT order_id, order_date, customer_id, product, category, region, quantity, unit_price, discount,
+       CAST(revenue AS DOUBLE) AS revenue, CAST(cost AS DOUBLE) AS cost, CAST(profit AS DOUBLE) AS profit, salesperson
+FROM sales ORDER BY """ + ", ".join(f"{name} NULLS LAST" for name in SALES_COLUMNS) + " LIMIT 5"))
+def sample(spark, sf_dir):
+    return doubles(profile_sample(sales(spark, sf_dir), list(SALES_COLUMNS), 5), "revenue", "cost", "profit")
+
+
 LINES = """lines AS (
 SELECT l_orderkey AS order_id, l_linenumber AS line, p_type AS category, CAST(l_quantity AS INT) AS quantity,
        CAST(p_retailprice AS DECIMAL(12,2)) AS unit_price, CAST(l_discount AS DECIMAL(5,4)) AS discount,
@@ -286,7 +294,7 @@ def _rule_sql() -> str:
     return ", ".join("(" + ", ".join(quote(value) for value in rule) + ")" for rule in RULES)
 
 
-@register("checks_summary", with_sales(EVIDENCE_SQL + f""",
+JUDGED_SQL = f""",
 rules(question, name, comparison, expected) AS (VALUES {_rule_sql()}),
 judged AS (SELECT rules.question, coalesce(CASE comparison
     WHEN '=' THEN coalesce(text = expected, number = TRY_CAST(expected AS DOUBLE))
@@ -296,7 +304,30 @@ judged AS (SELECT rules.question, coalesce(CASE comparison
   FROM rules LEFT JOIN evidence ON rules.question = evidence.question AND rules.name = evidence.name),
 results AS (SELECT question, count(*) AS rules, count(*) FILTER (WHERE NOT holds) AS failed, bool_and(holds) AS passed
             FROM judged GROUP BY 1)
+"""
+
+
+def _rules(spark):
+    return spark.createDataFrame(RULES, "question string, name string, comparison string, expected string")
+
+
+@register("checks_summary", with_sales(EVIDENCE_SQL + JUDGED_SQL + """
 SELECT *, (SELECT count(*) FROM results WHERE passed) AS passed_count, (SELECT count(*) FROM results) AS total_count FROM results"""))
 def checks(spark, sf_dir):
-    rules = spark.createDataFrame(RULES, "question string, name string, comparison string, expected string")
-    return checks_summary(judge(_evidence(spark, sf_dir), rules))
+    return checks_summary(judge(_evidence(spark, sf_dir), _rules(spark)))
+
+
+TITLES_SQL = ", ".join(f"({number}, '{key}', '{title}')" for number, (key, title) in enumerate(questions.QUESTIONS.items(), 1))
+
+
+@register("check_report", with_sales(EVIDENCE_SQL + JUDGED_SQL + f""",
+titles(number, question, title) AS (VALUES {TITLES_SQL}),
+shown AS (SELECT question, concat('- **', array_to_string(list_transform(string_split(name, '_'), lambda w: concat(upper(w[1]), w[2:])), ' '), ':** ',
+                 coalesce(text, regexp_replace(CAST(CAST(number AS DECIMAL(30,4)) AS VARCHAR), '\.?0+$', ''), 'None')) AS line FROM evidence),
+bodies AS (SELECT question, string_agg(line, chr(10) ORDER BY line) AS lines FROM shown GROUP BY 1)
+SELECT number, titles.question, concat('## ', number, '. ', title, chr(10), chr(10), '**Status:** ', CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END,
+       chr(10), chr(10), '**Evidence**', chr(10), chr(10), lines, chr(10), chr(10), '---', chr(10)) AS section
+FROM titles JOIN results ON titles.question = results.question JOIN bodies ON titles.question = bodies.question"""))
+def check_report(spark, sf_dir):
+    evidence = _evidence(spark, sf_dir)
+    return check_sections(evidence, judge(evidence, _rules(spark)), questions.QUESTIONS)
