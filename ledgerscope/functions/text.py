@@ -1,4 +1,4 @@
-"""Text functions: slugs, percentage claims and chart file names."""
+"""Slugs, and the patterns of percentages and chart file names in answers."""
 
 from __future__ import annotations
 
@@ -20,12 +20,3 @@ def slug(text: Column, default: str, length: int) -> Column:
     stripped = F.regexp_replace(safe, "^_+|_+$", "")
     return F.substring(F.coalesce(F.nullif(stripped, F.lit("")), F.lit(default)), 1, length)
 
-
-def percentages(text: Column) -> Column:
-    """All percentages written in a text, in order, as an array of doubles."""
-    return F.transform(F.regexp_extract_all(text, F.lit(PERCENTAGE), 1), lambda number: number.cast("double"))
-
-
-def chart_files(text: Column) -> Column:
-    """The distinct chart file names written in a text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(CHART_FILE), 1))

@@ -1,8 +1,8 @@
 """Exact medians whose work does not gather a group in one task.
 
 Spark's own exact percentile keeps every distinct value of a group in the
-memory of one task. Here the values fall into bands, slices between
-neighbouring powers of two, and rows are counted per group and band. Running
+memory of one task. Here the values fall into bands, equal slices of their
+logarithm, and rows are counted per group and band. Running
 totals over these few counts show which band holds the middle rows. Only the
 rows of that band are counted by value; then the same is done once more with
 bands 4096 times finer, and only the values of the fine band are put in order.
@@ -25,18 +25,20 @@ FINE = COARSE * 4096
 LOWEST_EXPONENT = 1075  # above that of the smallest positive double, 2**-1074
 
 
-def value_band(value: Column, slices: int) -> Column:
+def value_band(name: str, slices: int) -> Column:
     """A whole number that never falls while the value rises; null for null.
 
-    The exponent from ``log2`` may be off by one next to a power of two; the
-    fraction then lies just outside [1, 2) and leads to the same band.
+    The logarithm is the same on every machine and never falls either, so equal
+    values always share a band and a higher value never has a lower one.
     """
-    size = F.abs(value.cast("double"))
-    exponent = F.floor(F.log2(size))
-    fraction = size / F.pow(F.lit(2.0), exponent)
-    band = (exponent + LOWEST_EXPONENT) * slices + F.floor((fraction - 1) * slices) + 1
-    magnitude = F.when(size == float("inf"), F.lit(1 << 40)).when(size > 0, band).otherwise(F.lit(0)).cast("bigint")
-    return F.when(value.isNull(), None).when(value < 0, -magnitude).otherwise(magnitude)
+    size = f"abs(CAST({name} AS DOUBLE))"
+    return F.expr(f"""
+        CASE WHEN {name} IS NULL THEN NULL
+             ELSE CAST(sign({name}) AS BIGINT) * CASE
+                 WHEN {size} = DOUBLE('Infinity') THEN 1L << 40
+                 WHEN {size} > 0 THEN floor((log2({size}) + {LOWEST_EXPONENT}) * {slices})
+                 ELSE 0L END
+        END""")
 
 
 def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), few_groups: bool = False) -> DataFrame:
@@ -53,11 +55,11 @@ def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), few_groups
     counted = rows.withColumn("c", F.lit(1)) if small else rows.groupBy(*group, "v").agg(F.count("*").alias("c"))
     counted = counted.withColumn("c", F.when(F.col("v").isNull(), 0).otherwise(F.col("c")).cast("bigint"))
 
-    coarse = counted.withColumn("band", value_band(F.col("v"), COARSE))
+    coarse = counted.withColumn("band", value_band("v", COARSE))
     middle = _in_bands(coarse, _first_bands(coarse, group), group, small)
     values = middle.groupBy(*group, "base", "low", "high", "v").agg(F.sum("c").alias("c"))
 
-    fine = values.withColumn("band", value_band(F.col("v"), FINE))
+    fine = values.withColumn("band", value_band("v", FINE))
     marks = _middle_bands(fine.groupBy(*group, "base", "low", "high", "band").agg(F.sum("c").alias("c")), group)
     last = _in_bands(fine.drop("base", "low", "high"), marks, group, small)
 

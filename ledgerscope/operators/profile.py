@@ -85,8 +85,9 @@ def _iso(moment: Column) -> Column:
 def profile_numeric(df: DataFrame) -> DataFrame:
     """Count, min, max, mean and exact median of each numeric column.
 
-    One pass takes all but the medians. For those the columns are unpivoted, so
-    all medians come from one grouped operator with one group per column.
+    One pass takes all but the medians. For those the columns are stacked under
+    their numbers, so all medians come from one grouped operator with one group
+    per column.
     """
     columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     aggregates = [F.count("*").alias("rows")]
@@ -100,9 +101,11 @@ def profile_numeric(df: DataFrame) -> DataFrame:
     summary = _per_column(df.agg(*aggregates), columns, fields)
     if not columns:
         return summary.withColumn("median", F.lit(None).cast("double"))
-    values = df.select(*(numeric(df, name).cast("double").alias(name) for name in columns))
-    long = values.unpivot([], [quoted(name) for name in columns], "column", "value")
-    medians = exact_median(long, "value", ["column"], few_groups=True)
+    pairs = [part for i, name in enumerate(columns) for part in (F.lit(i), numeric(df, name).cast("double"))]
+    long = df.select(F.stack(F.lit(len(columns)), *pairs).alias("number", "value"))
+    medians = exact_median(long, "value", ["number"], few_groups=True)
+    names = F.element_at(F.array(*(F.lit(name) for name in columns)), F.col("number") + 1)
+    medians = medians.select(names.alias("column"), "median")
     return summary.join(F.broadcast(medians), "column", "left")
 
 

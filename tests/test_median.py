@@ -18,7 +18,7 @@ def test_bands_never_fall(spark, slices):
     numbers = random.Random(1)
     values = EDGES + [numbers.uniform(-10, 10) * 10 ** numbers.randint(-12, 12) for _ in range(3000)]
     values += [math.nextafter(v, math.inf) for v in values if math.isfinite(v)] + [math.inf, -math.inf]
-    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", value_band(F.col("v"), slices).alias("b"))
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", value_band("v", slices).alias("b"))
     bands = [row.b for row in sorted(rows.collect(), key=lambda row: row.v)]
     assert bands == sorted(bands)
 
@@ -64,7 +64,7 @@ def test_no_rows(spark):
 def test_last_window_holds_few_rows(spark):
     """The ordered values of a group of 200,000 distinct ones are those of one fine band."""
     df = spark.range(200_000).select(F.lit("hot").alias("k"), (F.rand(3) * 1000 + 1).alias("v"))
-    coarse = df.select(value_band(F.col("v"), COARSE).alias("b")).groupBy("b").count()
-    fine = df.select(value_band(F.col("v"), FINE).alias("b")).groupBy("b").count()
+    coarse = df.select(value_band("v", COARSE).alias("b")).groupBy("b").count()
+    fine = df.select(value_band("v", FINE).alias("b")).groupBy("b").count()
     assert coarse.count() < 10 * COARSE + 2
     assert fine.agg(F.max("count")).first()[0] < 60
