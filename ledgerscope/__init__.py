@@ -23,4 +23,3 @@ from ledgerscope.plans.reports import rejected_questions, report_documents
 from ledgerscope.sources.dates import promote_dates
 from ledgerscope.sources.tables import read_monthly, read_sales, write_csv, write_sales
 
-__all__ = [name for name in dir() if not name.startswith("_")]
