@@ -47,7 +47,9 @@ def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), few_groups
     ``few_groups`` states that the number of groups has a bound that does not
     grow with the table. The bands found, two per group at most, are then
     broadcast to a second scan and the table is not shuffled. Otherwise rows are
-    counted by group and value once, and both passes read those counts.
+    counted by group and value once, and both passes read those counts. As
+    there are two passes, ``df`` must give the same rows each time: a table, or
+    deterministic steps over one.
     """
     small = few_groups or not keys
     group = [f"k{i}" for i in range(len(keys))]
