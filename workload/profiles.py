@@ -323,7 +323,7 @@ TITLES_SQL = ", ".join(f"({number}, '{key}', '{title}')" for number, (key, title
 @register("check_report", with_sales(EVIDENCE_SQL + JUDGED_SQL + f""",
 titles(number, question, title) AS (VALUES {TITLES_SQL}),
 shown AS (SELECT question, concat('- **', array_to_string(list_transform(string_split(name, '_'), lambda w: concat(upper(w[1]), w[2:])), ' '), ':** ',
-                 coalesce(text, regexp_replace(CAST(CAST(number AS DECIMAL(30,4)) AS VARCHAR), '\.?0+$', ''), 'None')) AS line FROM evidence),
+                 coalesce(text, regexp_replace(CAST(CAST(number AS DECIMAL(30,4)) AS VARCHAR), '[.]?0+$', ''), 'None')) AS line FROM evidence),
 bodies AS (SELECT question, string_agg(line, chr(10) ORDER BY line) AS lines FROM shown GROUP BY 1)
 SELECT number, titles.question, concat('## ', number, '. ', title, chr(10), chr(10), '**Status:** ', CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END,
        chr(10), chr(10), '**Evidence**', chr(10), chr(10), lines, chr(10), chr(10), '---', chr(10)) AS section
