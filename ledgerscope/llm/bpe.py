@@ -306,26 +306,28 @@ def build_lexicon(docs: DataFrame, path: str, text: str = "text", words: int = L
     return name
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", lexicon: str | None = None, words: int = LEXICON_WORDS) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", lexicon: str | None = None, words: int = LEXICON_WORDS, keep_text: bool = True) -> DataFrame:
     """``docs`` with the column ``ids``, an array of int. ``lexicon``: a name from :func:`build_lexicon`."""
     name = lexicon or build_lexicon(docs, path, text, words)
     rest = docs.drop("ids")
-    schema = rest.withColumn("ids", F.lit(None).cast("array<int>")).schema
+    passed = [column for column in rest.columns if keep_text or column != text]
+    schema = rest.select(*passed, F.lit(None).cast("array<int>").alias("ids")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(Encoder, path, name)
         for chunk in text_chunks(batches, text):
             offsets, ids = encoder.encode(chunk.column(chunk.schema.get_field_index(text)).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*chunk.columns, lists], [*chunk.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([*chunk.select(passed).columns, lists], [*passed, "ids"])
 
     return rest.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded", keep_ids: bool = True) -> DataFrame:
     """``encoded`` with the text of its ids in ``into``; bytes that are no UTF-8 become U+FFFD, null lists the empty text."""
     rest = encoded.drop(into)
-    schema = rest.withColumn(into, F.lit("").cast("string")).schema
+    passed = rest.columns if keep_ids else [column for column in rest.columns if column != ids]
+    schema = rest.select(*passed, F.lit("").alias(into)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, starts, letters = loaded(Vocabulary, path).flat_bytes()
@@ -337,6 +339,6 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded
             raw = letters[np.repeat(starts[flat] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
             at = np.r_[0, ends][np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])].tolist()
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(texts, pa.string())], [*chunk.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*chunk.select(passed).columns, pa.array(texts, pa.string())], [*passed, into])
 
     return rest.mapInArrow(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import bpe
+from ledgerscope.llm import bpe, langid
 from ledgerscope.llm.common import QUERIES, register, table  # noqa: F401  (QUERIES for the entry file)
 
 
@@ -17,10 +17,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 @register("op4_bpe_lexicon")
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, tokenizer_path()).drop("text"), tokenizer_path())
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    coded = bpe.encode(docs, tokenizer_path(), keep_text=False).withColumns({
+        "n_tokens": F.size("ids").cast("long"),
+        "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256),
+    })
+    decoded = bpe.decode(coded, tokenizer_path(), keep_ids=False)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+@register("op9_kneser_ney")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = langid.learn(docs.where(~held_out))
+    judged = langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep_text=False)
+    return judged.select("doc_id", "held_out", "lang_pred", "score", "accepted", "bits_per_event")
