@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import loaded, text_chunks
+from ledgerscope.llm.common import loaded, mapped, text_chunks
 from ledgerscope.llm.lexicon import Lexicon, compile_lexicon
 
 LEXICON_WORDS = 200_000
@@ -276,7 +276,7 @@ def count_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 yield rows()
         yield rows()
 
-    return docs.select(text).mapInArrow(count, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    return mapped(docs.select(text), count, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
 def _word_ids(words: DataFrame, path: str) -> DataFrame:
@@ -287,7 +287,7 @@ def _word_ids(words: DataFrame, path: str) -> DataFrame:
             lists = vocabulary.merge([value.encode() for value in values])
             yield pa.RecordBatch.from_pydict({"word": values, "ids": pa.array(lists, pa.list_(pa.int32()))})
 
-    return words.select("word").mapInArrow(ids, "word string, ids array<int>")
+    return mapped(words.select("word"), ids, "word string, ids array<int>")
 
 
 def build_lexicon(docs: DataFrame, path: str, text: str = "text", words: int = LEXICON_WORDS) -> str:
@@ -320,7 +320,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", lexicon: str | None =
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*chunk.select(passed).columns, lists], [*passed, "ids"])
 
-    return rest.mapInArrow(run, schema)
+    return mapped(rest, run, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded", keep_ids: bool = True) -> DataFrame:
@@ -341,4 +341,4 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([*chunk.select(passed).columns, pa.array(texts, pa.string())], [*passed, into])
 
-    return rest.mapInArrow(run, schema)
+    return mapped(rest, run, schema)

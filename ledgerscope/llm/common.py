@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -53,6 +55,23 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_SHIPPED: set[str] = set()
+
+
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with this package sent to the executors, so that their workers can import it."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[2]
+        archive = Path(tempfile.mkdtemp(prefix="package-"), "ledgerscope.zip")
+        with zipfile.ZipFile(archive, "w") as file:
+            for path in sorted((root / "ledgerscope").rglob("*.py")):
+                file.write(path, path.relative_to(root))
+        context.addPyFile(str(archive))
+        _SHIPPED.add(context.applicationId)
+    return df.mapInArrow(run, schema)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts (or lists) of one piece hold ``max_bytes`` (or items) or are a single one."""
     for batch in batches:

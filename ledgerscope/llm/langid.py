@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import kept, text_chunks
+from ledgerscope.llm.common import kept, mapped, text_chunks
 
 ORDER = 4
 START, END = "\x02", "\x03"
@@ -81,7 +81,7 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
         yield from rows()
 
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counted = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(count, "lang string, gram long, n long")
+    counted = mapped(labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")), count, "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -193,7 +193,7 @@ def _calibrated(model: Model, grams: DataFrame) -> Model:
             yield pa.RecordBatch.from_pydict(columns)
 
     total = [F.sum(F.col(name)[i]).alias(f"{name}{i}") for name in ("bits", "squares") for i in range(size)]
-    found = grams.select("lang", "gram", "n").mapInArrow(sums, "lang string, n double, bits array<double>, squares array<double>")
+    found = mapped(grams.select("lang", "gram", "n"), sums, "lang string, n double, bits array<double>, squares array<double>")
     by = {row["lang"]: row for row in found.groupBy("lang").agg(F.sum("n").alias("n"), *total).collect()}
     mean = np.array([[by[name][f"bits{i}"] / by[name]["n"] for i in range(size)] for name in model.langs])
     own = np.diag(mean)
@@ -264,4 +264,4 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep_text
             arrays = [pa.array(values, kind) for values, kind in zip(found.values(), kinds)]
             yield pa.RecordBatch.from_arrays([*chunk.select(passed).columns, *arrays], [*passed, *names])
 
-    return rest.mapInArrow(run, schema)
+    return mapped(rest, run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import bpe, langid
+from ledgerscope.llm import bpe, langid, simhash
 from ledgerscope.llm.common import QUERIES, register, table  # noqa: F401  (QUERIES for the entry file)
 
 
@@ -32,3 +32,9 @@ def op9(spark, sf_dir):
     model = langid.learn(docs.where(~held_out))
     judged = langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep_text=False)
     return judged.select("doc_id", "held_out", "lang_pred", "score", "accepted", "bits_per_event")
+
+
+@register("op7_simhash_pivots")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.classes(docs).select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
