@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import bpe, langid, simhash
-from ledgerscope.llm.common import QUERIES, register, table  # noqa: F401  (QUERIES for the entry file)
+from ledgerscope.llm import bpe, kdtree, langid, merkle, simhash
+from ledgerscope.llm.common import QUERIES, kept, register, table  # noqa: F401  (QUERIES for the entry file)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -38,3 +38,54 @@ def op9(spark, sf_dir):
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.classes(docs).select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@register("op6_kd_tree")
+def op6(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    dims = {"size": F.col("size"), "source": kdtree.scattered(F.col("source")), "lang": kdtree.scattered(F.col("lang")), "doc_id": F.col("doc_id")}
+    placed = kdtree.kd_shards(docs, dims, F.col("size"), 24, [F.col(c) for c in ("doc_id", "source", "lang", "size", "text_crc32")])
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+# The second replica is the first with damage by a rule on the address: a changed byte, or a record that cannot be read.
+@register(
+    "op5_merkle_audit",
+    r"""WITH r AS (
+SELECT page_id, url, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+       || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+       || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
+       || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
+       || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+FROM pages),
+d AS (SELECT page_id, url, strlen(record) AS length, sha256(record) AS digest, sha256('V' || substr(record, 2)) AS changed,
+             count(*) AS copies FROM r GROUP BY ALL),
+f AS (SELECT *, CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '') || '|' || digest), 1, 8) AS BIGINT)
+             % ((SELECT coalesce(sum(length), 0) FROM d) // 33554432 + 1) AS file FROM d),
+o AS (SELECT *, sum(length) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, url NULLS FIRST, digest) - length AS start FROM f)
+SELECT page_id, CAST(file AS BIGINT) AS file, CAST(start AS BIGINT) AS "offset", length, copies,
+       CASE WHEN md5(url) LIKE '3c%' THEN 'missing' ELSE 'corrupt' END AS status, digest AS expected,
+       CASE WHEN md5(url) LIKE '3c%' THEN NULL ELSE changed END AS found
+FROM o WHERE md5(url) LIKE '3c%' OR md5(url) LIKE '7%'""",
+)
+def op5(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    record = merkle.warc_record(F.col("page_id"), F.col("url"), F.col("html"))
+    hurt, lost = F.md5("url").startswith("7"), F.md5("url").startswith("3c")
+    records = pages.select("page_id", "url", record.alias("record")).select(
+        "page_id",
+        "url",
+        F.octet_length("record").cast("long").alias("length"),
+        F.sha2("record", 256).alias("digest"),
+        F.when(F.coalesce(hurt, F.lit(False)), F.sha2(F.concat(F.lit("V"), F.expr("substr(record, 2)")), 256)).alias("changed"),
+    )
+    stored = kept(merkle.layout(records))
+    replica = stored.where(~F.coalesce(lost, F.lit(False))).withColumn("digest", F.coalesce("changed", "digest"))
+    found = merkle.audit(stored, replica)
+    place = stored.select("file", "offset", "page_id", "length", "copies")
+    return found.join(place, ["file", "offset"], "left").select("page_id", "file", "offset", "length", "copies", "status", "expected", "found")
