@@ -36,9 +36,10 @@ from ledgerscope.llm.lexicon import Lexicon, compile_lexicon
 LEXICON_WORDS = 200_000
 # Fixed value: how byte-level BPE splits a text into words.
 WORD = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CHUNK, IDS = 1 << 20, 1 << 18  # bytes of text, and ids, that a worker handles at a time
 LONG = 64  # bytes; longer words merge one by one with a heap
 NONE = np.iinfo(np.int32).max
-KEPT_WORDS = 400_000  # words whose ids a worker keeps between chunks
+KEPT_PIECES = 300_000  # pieces whose ids a worker keeps between chunks, or counts before they are summed up
 
 
 def _byte_letters() -> list[str]:
@@ -177,45 +178,48 @@ def words_of_pieces(word, pieces: list[str]) -> list[list[str]]:
 
 
 class Encoder:
-    """Ids of texts. Keeps those of words and pieces between chunks: at most ``KEPT_WORDS`` of each and one chunk's."""
+    """Ids of texts. Keeps those of pieces between chunks; beyond ``KEPT_PIECES`` the less used ones are forgotten."""
 
     def __init__(self, path: str, lexicon: str):
         self.vocabulary = loaded(Vocabulary, path)
         self.pieces = Pieces(self.vocabulary.special)
         self.lexicon = Lexicon(SparkFiles.get(lexicon))
-        self.words: dict[str, list[int]] = {}
-        self._forget()
-
-    def _forget(self) -> None:
         self.number: dict[object, int] = {}  # of pieces: (text,) at the start, text after a blank, (text, 0) special
-        self.sizes = self.starts = np.zeros(0, np.int64)
+        self.sizes = self.starts = self.uses = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
-    def _word_ids(self, words: set[str]) -> None:
-        if len(self.words) > KEPT_WORDS:
-            self.words = {}
-        new = list(words - self.words.keys())
-        raw = [word.encode() for word in new]
+    def _forget(self) -> None:
+        """Keeps at most half as many pieces as allowed: those used most since the last time."""
+        order = np.argsort(-self.uses, kind="stable")[: KEPT_PIECES // 2]
+        keep = np.sort(order[self.uses[order] > 1])
+        names = list(self.number)
+        sizes = self.sizes[keep]
+        ends = np.cumsum(sizes)
+        self.flat = self.flat[np.repeat(self.starts[keep] - ends + sizes, sizes) + np.arange(sizes.sum())]
+        self.number = {names[old]: new for new, old in enumerate(keep.tolist())}
+        self.sizes, self.starts, self.uses = sizes, ends - sizes, np.zeros(len(keep), np.int64)
+
+    def _word_ids(self, words: list[str]) -> dict[str, list[int]]:
+        raw = [word.encode() for word in words]
         places = self.lexicon.places(raw)
         starts, values = self.lexicon.starts, self.lexicon.ids
         known, unseen = np.flatnonzero(places >= 0), np.flatnonzero(places < 0).tolist()
+        found = dict(zip([words[i] for i in unseen], self.vocabulary.merge([raw[i] for i in unseen])))
         for i, a, b in zip(known.tolist(), starts[places[known]].tolist(), starts[places[known] + 1].tolist()):
-            self.words[new[i]] = values[a:b].tolist()
-        for i, ids in zip(unseen, self.vocabulary.merge([raw[i] for i in unseen])):
-            self.words[new[i]] = ids
+            found[words[i]] = values[a:b].tolist()
+        return found
 
     def _learn(self, keys: list) -> None:
         texts = [" " + key if isinstance(key, str) else key[0] for key in keys]
         special = [isinstance(key, tuple) and len(key) == 2 for key in keys]
         split = words_of_pieces(self.vocabulary.word, ["" if s else text for text, s in zip(texts, special)])
-        needed = set(chain.from_iterable(split))
-        self._word_ids(needed)
-        get = self.words.__getitem__
+        get = self._word_ids(list(set(chain.from_iterable(split)))).__getitem__
         lists = [[self.vocabulary.special[text]] if s else list(chain.from_iterable(map(get, words))) for text, s, words in zip(texts, special, split)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         self.number.update(zip(keys, range(len(self.number), len(self.number) + len(keys))))
         self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
         self.sizes = np.r_[self.sizes, sizes]
+        self.uses = np.r_[self.uses, np.zeros(len(sizes), np.int64)]
         self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -231,10 +235,11 @@ class Encoder:
                     keys.append((pieces[0],))
                     keys += pieces[1:]
             ends.append(len(keys))
-        if len(self.number) > KEPT_WORDS:
+        if len(self.number) > KEPT_PIECES:
             self._forget()
         self._learn(list(set(keys) - self.number.keys()))
         codes = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+        self.uses += np.bincount(codes, minlength=len(self.uses))
         sizes = self.sizes[codes]
         after = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[codes] - after + sizes, sizes) + np.arange(sizes.sum())]
@@ -263,16 +268,16 @@ def count_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             words.clear()
             return pa.RecordBatch.from_pydict(batch)
 
-        for chunk in text_chunks(batches, text):
+        for chunk in text_chunks(batches, text, CHUNK):
             for value in chunk.column(0).to_pylist():
                 for segment in pieces.segments(value or ""):
                     if segment not in vocabulary.special:
                         first, *later = pieces.cut(segment)
                         seen.update(later)
                         words.update(vocabulary.word.findall(first))
-            if len(seen) > KEPT_WORDS:
+            if len(seen) > KEPT_PIECES:
                 settle()
-            if len(words) > KEPT_WORDS:
+            if len(words) > KEPT_PIECES:
                 yield rows()
         yield rows()
 
@@ -306,39 +311,56 @@ def build_lexicon(docs: DataFrame, path: str, text: str = "text", words: int = L
     return name
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", lexicon: str | None = None, words: int = LEXICON_WORDS, keep_text: bool = True) -> DataFrame:
-    """``docs`` with the column ``ids``, an array of int. ``lexicon``: a name from :func:`build_lexicon`."""
+def encode(
+    docs: DataFrame, path: str, text: str = "text", lexicon: str | None = None, words: int = LEXICON_WORDS, round_trip: bool = False, keep_text: bool = True
+) -> DataFrame:
+    """``docs`` with the column ``ids``, an array of int, and with ``round_trip`` also ``decoded``, the text that these ids give.
+
+    ``lexicon``: a name from :func:`build_lexicon`.
+    """
     name = lexicon or build_lexicon(docs, path, text, words)
-    rest = docs.drop("ids")
+    rest = docs.drop("ids", *["decoded"] if round_trip else [])
     passed = [column for column in rest.columns if keep_text or column != text]
-    schema = rest.select(*passed, F.lit(None).cast("array<int>").alias("ids")).schema
+    added = {"ids": F.lit(None).cast("array<int>"), **({"decoded": F.lit("")} if round_trip else {})}
+    schema = rest.select(*passed, *(column.alias(into) for into, column in added.items())).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(Encoder, path, name)
-        for chunk in text_chunks(batches, text):
+        for chunk in text_chunks(batches, text, CHUNK):
             offsets, ids = encoder.encode(chunk.column(chunk.schema.get_field_index(text)).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*chunk.select(passed).columns, lists], [*passed, "ids"])
+            columns = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
+            if round_trip:
+                columns.append(pa.array(loaded(Decoder, path).decode(offsets, ids), pa.string()))
+            yield pa.RecordBatch.from_arrays([*chunk.select(passed).columns, *columns], [*passed, *added])
 
     return mapped(rest, run, schema)
 
 
-def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded", keep_ids: bool = True) -> DataFrame:
-    """``encoded`` with the text of its ids in ``into``; bytes that are no UTF-8 become U+FFFD, null lists the empty text."""
+class Decoder:
+    """Texts of ids: the bytes of all ids put together; bytes that are no UTF-8 become U+FFFD."""
+
+    def __init__(self, path: str):
+        self.lengths, self.starts, self.letters = Vocabulary(path).flat_bytes()
+
+    def decode(self, offsets: np.ndarray, ids: np.ndarray) -> list[str]:
+        sizes = self.lengths[ids]
+        ends = np.cumsum(sizes)
+        raw = self.letters[np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        at = np.r_[0, ends][offsets].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
+
+
+def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
+    """``encoded`` with the text of its ids in ``into``; null lists give the empty text."""
     rest = encoded.drop(into)
-    passed = rest.columns if keep_ids else [column for column in rest.columns if column != ids]
-    schema = rest.select(*passed, F.lit("").alias(into)).schema
+    schema = rest.select("*", F.lit("").alias(into)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, starts, letters = loaded(Vocabulary, path).flat_bytes()
-        for chunk in text_chunks(batches, ids, 1 << 19):
+        decoder = loaded(Decoder, path)
+        for chunk in text_chunks(batches, ids, IDS):
             lists = chunk.column(chunk.schema.get_field_index(ids))
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            sizes = lengths[flat]
-            ends = np.cumsum(sizes)
-            raw = letters[np.repeat(starts[flat] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-            at = np.r_[0, ends][np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])].tolist()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([*chunk.select(passed).columns, pa.array(texts, pa.string())], [*passed, into])
+            offsets = np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])
+            texts = decoder.decode(offsets, lists.flatten().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(texts, pa.string())], [*chunk.schema.names, into])
 
     return mapped(rest, run, schema)

@@ -96,11 +96,12 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-_LOADED: dict[tuple, object] = {}
+_LOADED: dict[object, tuple] = {}
 
 
 def loaded(kind, *args):
-    """Made once in each worker process."""
-    if (kind, *args) not in _LOADED:
-        _LOADED[(kind, *args)] = kind(*args)
-    return _LOADED[(kind, *args)]
+    """Made once in each worker process and kept until another one of its kind is asked for."""
+    if _LOADED.get(kind, (None,))[0] != args:
+        _LOADED.pop(kind, None)
+        _LOADED[kind] = (args, kind(*args))
+    return _LOADED[kind][1]

@@ -17,12 +17,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 @register("op4_bpe_lexicon")
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, tokenizer_path(), keep_text=False).withColumns({
-        "n_tokens": F.size("ids").cast("long"),
-        "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256),
-    })
-    decoded = bpe.decode(coded, tokenizer_path(), keep_ids=False)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    coded = bpe.encode(docs, tokenizer_path(), round_trip=True, keep_text=False)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
 
 
 @register("op9_kneser_ney")
