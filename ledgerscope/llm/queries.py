@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import bpe, kdtree, langid, merkle, simhash
+from ledgerscope.llm import bpe, decontaminate, kdtree, langid, merkle, simhash
 from ledgerscope.llm.common import QUERIES, kept, register, table  # noqa: F401  (QUERIES for the entry file)
 
 
@@ -90,3 +90,9 @@ def op5(spark, sf_dir):
     found = merkle.audit(stored, replica)
     place = stored.select("file", "offset", "page_id", "length", "copies")
     return found.join(place, ["file", "offset"], "left").select("page_id", "file", "offset", "length", "copies", "status", "expected", "found")
+
+
+@register("op3_templates")
+def op3(spark, sf_dir):
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "changed")
