@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import bpe, decontaminate, kdtree, langid, merkle, simhash
+from ledgerscope.llm import bpe, decontaminate, kdtree, langid, licenses, merkle, simhash
 from ledgerscope.llm.common import QUERIES, kept, register, table  # noqa: F401  (QUERIES for the entry file)
 
 
@@ -96,3 +96,8 @@ def op5(spark, sf_dir):
 def op3(spark, sf_dir):
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "coverage", "changed")
+
+
+@register("op1_patience_licenses")
+def op1(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
