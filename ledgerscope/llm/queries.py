@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import bpe, decontaminate, kdtree, langid, licenses, merkle, simhash
+from ledgerscope.llm import bpe, decontaminate, kdtree, langid, licenses, merkle, pseudonyms, simhash
 from ledgerscope.llm.common import QUERIES, kept, register, table  # noqa: F401  (QUERIES for the entry file)
 
 
@@ -101,3 +101,9 @@ def op3(spark, sf_dir):
 @register("op1_patience_licenses")
 def op1(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op2_feistel_pseudonyms")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, key="a key of the caller, kept outside of the code in use")
