@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import bpe, decontaminate, kdtree, langid, licenses, lines, merkle, pseudonyms, simhash
+from ledgerscope.llm import bpe, decontaminate, hnsw, kdtree, langid, licenses, lines, merkle, pseudonyms, simhash
 from ledgerscope.llm.common import QUERIES, kept, register, table  # noqa: F401  (QUERIES for the entry file)
 
 
@@ -115,3 +115,8 @@ def op10(spark, sf_dir):
     counted = docs.select("doc_id", lines.order_of(F.col("doc_id")).alias("doc"), F.size(F.split("text", "\n", -1)).alias("n_lines"))
     gone = F.coalesce("removed", F.array().cast("array<int>"))
     return counted.join(lines.removed(docs), "doc", "left").select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.size(gone).alias("n_removed"), gone.alias("removed"))
+
+
+@register("op8_hnsw")
+def op8(spark, sf_dir):
+    return hnsw.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
