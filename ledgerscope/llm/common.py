@@ -12,6 +12,7 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +66,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def literals(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table held in the plan itself."""
+    names, kinds = zip(*(field.split(" ") for field in schema.split(", ")))
+    structs = [F.struct(*(F.lit(value).cast(kind).alias(name) for name, kind, value in zip(names, kinds, row))) for row in rows]
+    empty = F.array().cast(f"array<struct<{', '.join(f'{name}: {kind}' for name, kind in zip(names, kinds))}>>")
+    return spark.range(1).select(F.inline(F.array(*structs) if structs else empty))
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import kept
+from ledgerscope.llm.common import kept, literals
 
 BINS = 1 << 16
 COORDINATE_BITS = 20
@@ -67,7 +67,8 @@ def _cuts(rows: DataFrame, nodes: dict[int, tuple[int, int]], dims: int) -> list
         searches[node] = Search(0, (1 << COORDINATE_BITS + TIE_BITS) - 1, 0.0, row["total"] * (shards // 2) / shards)
     while searches:
         spark = rows.sparkSession
-        open_ranges = spark.createDataFrame(
+        open_ranges = literals(
+            spark,
             [(node, axis[node], s.low, s.high, (s.high - s.low) // BINS + 1, s.before, s.target, s.key) for node, s in searches.items()],
             "kd_node int, kd_axis int, low long, high long, step long, before double, target double, tied long",
         )
@@ -112,10 +113,11 @@ def kd_shards(rows: DataFrame, dims: dict[str, Column], size: Column, shards: in
             *(column.cast("double").alias(name) for name, column in zip(names, dims.values())),
             tie.alias("kd_tie"),
             F.monotonically_increasing_id().alias("kd_row"),
+            F.lit(1).alias("kd_node"),
         )
     )
     keys = F.array(*(F.shiftleft(name, TIE_BITS).bitwiseOR(F.col("kd_tie")) for name in names))
-    at = _scaled(base, names).withColumns({"kd_keys": keys, "kd_node": F.lit(1)})
+    at = _scaled(base, names).withColumn("kd_keys", keys)
     nodes = {1: (0, shards)}  # by heap number: first shard, how many
     leaves = {}
     while nodes:
@@ -124,7 +126,7 @@ def kd_shards(rows: DataFrame, dims: dict[str, Column], size: Column, shards: in
         if not nodes:
             break
         cuts = _cuts(at, nodes, len(names))
-        table = rows.sparkSession.createDataFrame(cuts, "kd_node int, kd_axis int, cut long, cut_row long")  # a row for each node
+        table = literals(rows.sparkSession, cuts, "kd_node int, kd_axis int, cut long, cut_row long")  # a row for each node
         key = F.col("kd_keys")[F.col("kd_axis")]
         right = (key > F.col("cut")) | ((key == F.col("cut")) & (F.col("kd_row") > F.col("cut_row")))
         step = F.when(F.col("cut").isNull(), F.col("kd_node")).otherwise(2 * F.col("kd_node") + F.coalesce(right, F.lit(False)).cast("int"))
@@ -134,7 +136,7 @@ def kd_shards(rows: DataFrame, dims: dict[str, Column], size: Column, shards: in
         for node, (first, count) in split.items():
             nodes[2 * node] = (first, count // 2)
             nodes[2 * node + 1] = (first + count // 2, count - count // 2)
-    places = rows.sparkSession.createDataFrame(list(leaves.items()), "kd_node int, shard int")
+    places = literals(rows.sparkSession, list(leaves.items()), "kd_node int, shard int")
     placed = at.join(F.broadcast(places), "kd_node").select(*plain, "shard", "kd_tie", "kd_row")
     return _numbered(placed, base.count() // (SLOT_ROWS * shards) + 1).select(*plain, "shard", "slot")
 
