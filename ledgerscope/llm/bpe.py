@@ -323,6 +323,7 @@ def encode(
     passed = [column for column in rest.columns if keep_text or column != text]
     added = {"ids": F.lit(None).cast("array<int>"), **({"decoded": F.lit("")} if round_trip else {})}
     schema = rest.select(*passed, *(column.alias(into) for into, column in added.items())).schema
+    names = [*passed, *added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(Encoder, path, name)
@@ -331,7 +332,7 @@ def encode(
             columns = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
             if round_trip:
                 columns.append(pa.array(loaded(Decoder, path).decode(offsets, ids), pa.string()))
-            yield pa.RecordBatch.from_arrays([*chunk.select(passed).columns, *columns], [*passed, *added])
+            yield pa.RecordBatch.from_arrays([*chunk.select(passed).columns, *columns], names)
 
     return mapped(rest, run, schema)
 

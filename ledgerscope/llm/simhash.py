@@ -56,15 +56,21 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)``; ``fp`` holds the 64 bits as a long."""
+    """``(doc_id, key_a, key_b, fp)``; ``fp`` holds the 64 bits as a long, the keys are hashes of doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches, "text"):
-            found = np.array([fingerprint(value, width) for value in chunk.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.array([fingerprint(value, width) for value in chunk.column(3).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*chunk.columns[:3], pa.array(found.view(np.int64))], ["doc_id", "key_a", "key_b", "fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return mapped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind}, fp long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *row_keys(doc_id, text), F.col(text).alias("text"))
+    return mapped(rows, run, f"doc_id {kind}, key_a long, key_b long, fp long")
+
+
+def row_keys(doc_id: str, text: str) -> list[Column]:
+    """128 bits that tell rows apart by doc_id and text, nulls included."""
+    return [F.xxhash64(doc_id, text).alias("key_a"), F.xxhash64(F.lit(1), text, doc_id).alias("key_b")]
 
 
 def hexed(fp: Column) -> Column:
@@ -180,12 +186,28 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return mapped(dealt, run, "u long, v long").distinct()
 
 
+def _grouped(marked: DataFrame, radius: int) -> DataFrame:
+    """``(fp, component)`` for each distinct fingerprint of ``marked``."""
+    fps = marked.select("fp").distinct()
+    label = components(links(fps, radius))
+    return fps.join(label, fps["fp"] == label["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row; ``component_id`` is the least doc_id that links lead to."""
     marked = kept(fingerprints(docs, doc_id, text, width))
-    fps = kept(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    label = components(links(fps.select("fp"), radius))
-    named = fps.join(label, fps["fp"] == label["node"], "left").withColumn("component", F.coalesce("component", "fp"))
+    named = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(_grouped(marked, radius), "fp")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = named.select("fp", "component").join(least, "component").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each class: that of the least doc_id (nulls last; ties by the row's hash)."""
+    marked = kept(fingerprints(docs, doc_id, text, width))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key_a", "key_b")).alias("least")
+    by_fp = marked.groupBy("fp").agg(least)
+    stays = by_fp.join(_grouped(marked, radius), "fp").groupBy("component").agg(F.min("least").alias("least"))
+    keys = stays.select(F.col("least.key_a").alias("key_a"), F.col("least.key_b").alias("key_b"))
+    keyed = docs.select("*", *row_keys(doc_id, text))
+    return keyed.join(keys, ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"]).select(docs.columns)
