@@ -20,8 +20,8 @@ from ledgerscope.llm.common import kept
 
 FILE_BYTES = 32 << 20
 RANGE = 64 << 10
-FANOUT = 16
-WIDENINGS = 3  # ranges of RANGE * FANOUT**3 bytes, far over a file
+FANOUT = 64
+WIDENINGS = 1  # ranges of RANGE * FANOUT bytes below a file
 
 
 def warc_record(page_id: Column, url: Column, html: Column) -> Column:
@@ -67,12 +67,12 @@ def tree(leaves: DataFrame, files: int) -> list[DataFrame]:
     levels = [kept(leaves.groupBy("file", F.expr(f"offset div {RANGE}").alias("place")).agg(_joined(leaf).alias("hash")))]
     child = F.struct(F.col("place").alias("at"), "hash")
     for _ in range(WIDENINGS):
-        levels.append(levels[-1].groupBy("file", F.expr(f"place div {FANOUT}").alias("place")).agg(_joined(child).alias("hash")))
-    levels.append(levels[-1].groupBy("file", F.lit(-1).cast("long").alias("place")).agg(_joined(child).alias("hash")))
+        levels.append(kept(levels[-1].groupBy("file", F.expr(f"place div {FANOUT}").alias("place")).agg(_joined(child).alias("hash"))))
+    levels.append(kept(levels[-1].groupBy("file", F.lit(-1).cast("long").alias("place")).agg(_joined(child).alias("hash"))))
     child = F.struct(F.col("file").alias("at"), "hash")
     while files > 1:
         files = -(-files // FANOUT)
-        levels.append(levels[-1].groupBy(F.expr(f"file div {FANOUT}").alias("file"), "place").agg(_joined(child).alias("hash")))
+        levels.append(kept(levels[-1].groupBy(F.expr(f"file div {FANOUT}").alias("file"), "place").agg(_joined(child).alias("hash"))))
     return levels
 
 
@@ -85,11 +85,16 @@ def audit(reference: DataFrame, replica: DataFrame) -> DataFrame:
     ours, theirs = reference.select(keys), replica.select(keys)
     files = ours.union(theirs).agg(F.max("file")).first()[0]
     files = 0 if files is None else files + 1
-    left, right = tree(ours, files), tree(theirs, files)
 
-    def differing(a: DataFrame, b: DataFrame) -> DataFrame:
-        both = a.withColumnRenamed("hash", "expected").join(b.withColumnRenamed("hash", "found"), ["file", "place"], "full")
-        return both.where(~F.col("expected").eqNullSafe(F.col("found"))).select("file", "place")
+    def sided(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Both replicas' rows with their hash under the replica's name, so that one join and one sum serve both."""
+        none = F.lit(None).cast("string")
+        left = a.select("*", F.col("hash").alias("expected"), none.alias("found"))
+        return left.union(b.select("*", none.alias("expected"), F.col("hash").alias("found"))).drop("hash")
+
+    def differing(rows: DataFrame, *place: str) -> DataFrame:
+        both = rows.groupBy(*place).agg(F.max("expected").alias("expected"), F.max("found").alias("found"))
+        return both.where(~F.col("expected").eqNullSafe(F.col("found")))
 
     def below(level: int, wrong: DataFrame, nodes: DataFrame) -> DataFrame:
         """The nodes of a level whose parents are among the ``wrong`` ones of the level above."""
@@ -102,16 +107,16 @@ def audit(reference: DataFrame, replica: DataFrame) -> DataFrame:
         up = wrong.select(F.col("file").alias("up_file"), F.col("place").alias("up_place"))
         return nodes.select("*", *parent).join(up, ["up_file", "up_place"], "left_semi").drop("up_file", "up_place")
 
-    wrong = differing(left[-1], right[-1])
-    for level in range(len(left) - 2, -1, -1):
-        wrong = differing(below(level, wrong, left[level]), below(level, wrong, right[level]))
+    levels = [sided(a, b) for a, b in zip(tree(ours, files), tree(theirs, files))]
+    # Each step is written: a level is a small part of the one below, and its plan would else hold those of all levels above.
+    wrong = kept(differing(levels[-1], "file", "place"))
+    for level in range(len(levels) - 2, -1, -1):
+        wrong = kept(differing(below(level, wrong, levels[level]), "file", "place"))
 
-    def leaves(records: DataFrame, name: str) -> DataFrame:
-        placed = records.withColumn("place", F.expr(f"offset div {RANGE}"))
-        kind = F.concat_ws(":", "length", "digest")
-        return placed.join(wrong, ["file", "place"], "left_semi").select("file", "offset", kind.alias("kind_" + name), F.col("digest").alias(name))
+    def leaves(records: DataFrame) -> DataFrame:
+        return records.select("file", "offset", F.expr(f"offset div {RANGE}").alias("place"), F.concat_ws(":", "length", "digest").alias("hash"))
 
-    both = leaves(ours, "expected").join(leaves(theirs, "found"), ["file", "offset"], "full")
+    differ = differing(sided(leaves(ours), leaves(theirs)).join(wrong.select("file", "place"), ["file", "place"], "left_semi"), "file", "offset")
     status = F.when(F.col("found").isNull(), "missing").when(F.col("expected").isNull(), "extra").otherwise("corrupt")
-    differ = both.where(~F.col("kind_expected").eqNullSafe(F.col("kind_found")))
-    return differ.select("file", "offset", status.alias("status"), "expected", "found")
+    digest = lambda name: F.substring_index(name, ":", -1).alias(name)
+    return differ.select("file", "offset", status.alias("status"), digest("expected"), digest("found"))
