@@ -4,12 +4,12 @@ A line is the set of its lower-cased words. Lines are matched if their sets have
 similarity of 4/5 or more, and a line goes if any earlier one matches it; earlier is by doc_id, then by
 place in the text. Words are ordered by rarity in the whole corpus, and two lines can only match if they share a
 word among the rarest ``size - ceil(4/5 size) + 1`` of both (prefix filter). Of lines that share such a
-word, sizes too different, places that leave too few words (positional filter), and parities of 64 word classes that
+word, sizes too different, places that leave too few words (positional filter), and parities of 128 word classes that
 differ too often are passed over; the rest is verified on the sets.
 
 Equal sets are found first, by 128-bit sums of word hashes, within tasks and then across, so a line that fills a third of the corpus is
 one row a task. From each crowded word a line only gets its earliest partner that passes the filters, so copies
-of a passage give no square of rows. Lines whose partners all fail verification get all their partners in a second
+of a passage give no square of rows; of these the earliest is verified. Lines for which that fails get all their partners in a second
 round. A word shared by more than ``CELL`` lines is dealt into cells of two blocks each, so
 no task holds an unbounded group. Words are told apart by 64-bit hashes.
 
@@ -20,6 +20,7 @@ other, but a place removed in one is removed in all.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,7 @@ NEEDED_BITS = 25
 SEEN = 400_000
 LAST = (1 << 63) - 1
 CHUNK = 2 << 20
+PAGE = 4096  # numbers of an array that tasks put together
 
 
 def order_of(doc_id: Column) -> Column:
@@ -60,10 +62,8 @@ class Lines:
         sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        digest = xxhash.xxh64_intdigest
-        values = coded.dictionary.cast(pa.binary()).to_pylist()
-        self.hashes = np.fromiter(map(digest, values), np.uint64, len(values))
-        full = np.fromiter(map(bool, values), bool, len(values))[codes]  # blanks at the ends give empty words
+        self.hashes = _digests(coded.dictionary)
+        full = pc.greater(pc.binary_length(coded.dictionary), 0).to_numpy(zero_copy_only=False)[codes]  # blanks at the ends give empty words
         self.owner = np.repeat(np.arange(len(lines)), sizes)[full]
         self.codes = codes[full]
 
@@ -74,7 +74,9 @@ class Lines:
         rank[order] = np.arange(len(order))
         key = np.sort(self.owner << 32 | rank[self.codes])
         key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
-        line, sizes = np.unique(key >> 32, return_counts=True)
+        line = key >> 32
+        starts = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
+        line, sizes = line[starts], np.diff(np.r_[starts, len(line)])
         long = sizes >= MIN_WORDS
         key = key[np.repeat(long, sizes)]
         line, sizes = line[long], sizes[long]
@@ -92,23 +94,61 @@ def _rarity(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, np.int64)
-        for chunk in text_chunks(batches, "text", CHUNK):
-            lines = Lines(chunk.column(0))
-            n = np.bincount(lines.codes, minlength=len(lines.hashes))
-            total += np.bincount((lines.hashes >> np.uint64(64 - BITS)).astype(np.int64), n, 1 << BITS).astype(np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"slot": at.astype(np.int32), "n": total[at]})
+        for chunk in text_chunks(batches, "text", 4 * CHUNK):
+            coded = pc.utf8_split_whitespace(pc.utf8_lower(chunk.column(0))).flatten().dictionary_encode()
+            n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
+            total += np.bincount((_digests(coded.dictionary) >> np.uint64(64 - BITS)).astype(np.int64), n, 1 << BITS).astype(np.int64)
+        pages = total.reshape(-1, PAGE)
+        at = np.flatnonzero(pages.any(axis=1))
+        yield pa.RecordBatch.from_pydict({"page": at.astype(np.int32), "n": pa.array([zlib.compress(pages[i].tobytes(), 1) for i in at], pa.binary())})
+
+    return np.ceil(16 * np.log2(np.maximum(_summed(mapped(docs.select("text").where("text is not null"), run, "page int, n binary"), np.add, 1 << BITS), 0.5)) + 17).astype(np.uint16)
+
+
+def _digests(words: pa.Array) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter(map(digest, words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+
+
+def _summed(pages: DataFrame, how: np.ufunc, size: int) -> np.ndarray:
+    """An array of ``size`` numbers put together from pages that tasks give; one row a page comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for page, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                table[page] = how(table.get(page, 0), np.frombuffer(zlib.decompress(value), np.int64))
+        yield pa.RecordBatch.from_pydict({"page": pa.array(table.keys(), pa.int32()), "n": pa.array([zlib.compress(t.tobytes(), 1) for t in table.values()], pa.binary())})
+
+    whole = np.zeros((size // PAGE, PAGE), np.int64)
+    for row in mapped(pages.repartition("page"), run, "page int, n binary").toArrow().to_pylist():
+        whole[row["page"]] = np.frombuffer(zlib.decompress(row["n"]), np.int64)
+    return whole.ravel()
 
-    counts = mapped(docs.select("text").where("text is not null"), run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    scale = np.zeros(1 << BITS, np.uint16)
-    scale[counts["slot"].to_numpy()] = np.ceil(16 * np.log2(counts["n"].to_numpy())).astype(np.uint16) + 1
-    return scale
+
+def _bit_table(places: DataFrame) -> np.ndarray:
+    """A set of whole numbers below 2**NEEDED_BITS, the one column of ``places``, as bits; of fixed size whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << NEEDED_BITS - 3, np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False)
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        pages = bits.view(np.int64).reshape(-1, PAGE)
+        at = np.flatnonzero(pages.any(axis=1))
+        yield pa.RecordBatch.from_pydict({"page": at.astype(np.int32), "n": pa.array([zlib.compress(pages[i].tobytes(), 1) for i in at], pa.binary())})
+
+    return _summed(mapped(places, run, "page int, n binary"), np.bitwise_or, 1 << NEEDED_BITS - 6).view(np.uint8)
+
+
+def _held(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _marked(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
     """A row for each line of enough words: its place and set, and either its prefix or an earlier equal line of the same task."""
     sent = docs.sparkSession.sparkContext.broadcast(rarity)
-    crowded = np.uint16(np.ceil(16 * np.log2(CELL)))
+    crowded = np.uint16(np.ceil(16 * np.log2(CELL)) + 17)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple[int, int]] = {}
@@ -121,9 +161,9 @@ def _marked(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
             doc = chunk.column(0).to_numpy(zero_copy_only=False)[lines.row[line]]
             place = lines.place[line]
             sums = [np.add.reduceat(_mixed(words ^ np.uint64(salt)), starts) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-            parity = np.bitwise_xor.reduceat(np.uint64(1) << (words & np.uint64(63)), starts)
-            # The lowest bit of a word says whether it may be crowded.
-            tokens = words & ~np.uint64(1) | (scale[words >> np.uint64(64 - BITS)] > crowded).astype(np.uint64)
+            # 128 word classes: bit 6 of a word says which half has its class.
+            bit, high = np.uint64(1) << (words & np.uint64(63)), words >> np.uint64(6) & np.uint64(1) == 1
+            parity = [np.bitwise_xor.reduceat(np.where(high == half, bit, np.uint64(0)), starts) for half in (False, True)]
             width = sizes - -(-4 * sizes // 5) + 1
             names = np.ascontiguousarray(np.stack(sums, axis=1)).view("V16").ravel().tolist()
             order = np.lexsort((place, doc))
@@ -136,14 +176,16 @@ def _marked(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
                     first[i] = before
             new = np.array([before is None for before in first])
             take = np.repeat(starts, np.where(new, width, 0)) + _steps(np.where(new, width, 0))
+            # A word's key is 31 bits of its hash; the lowest bit says whether it may be crowded. Words that share a key only share work.
+            keys = (words[take] >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE) | (scale[words[take] >> np.uint64(64 - BITS)] > crowded)
             offsets = pa.array(np.r_[0, np.cumsum(np.where(new, width, 0))].astype(np.int32), mask=np.r_[~new, False])
             yield pa.RecordBatch.from_pydict({
                 "set_a": sums[0].view(np.int64), "set_b": sums[1].view(np.int64), "doc": doc, "line": place.astype(np.int32), "size": sizes.astype(np.int32),
-                "parity": parity.view(np.int64), "prefix": pa.ListArray.from_arrays(offsets, pa.array(tokens[take].view(np.int64))),
+                "low": parity[0].view(np.int64), "high": parity[1].view(np.int64), "prefix": pa.ListArray.from_arrays(offsets, pa.array(keys.astype(np.uint32).view(np.int32))),
                 "first_doc": pa.array([b and b[0] for b in first], pa.int64()), "first_line": pa.array([b and b[1] for b in first], pa.int32()),
             })
 
-    schema = "set_a long, set_b long, doc long, line int, size int, parity long, prefix array<long>, first_doc long, first_line int"
+    schema = "set_a long, set_b long, doc long, line int, size int, low long, high long, prefix array<int>, first_doc long, first_line int"
     return mapped(docs.select("doc", "text").where("text is not null"), run, schema)
 
 
@@ -153,65 +195,93 @@ def _steps(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
-def _partners(rows: DataFrame, every: bool) -> DataFrame:
-    """``(doc, line, to_doc, to_line)``: earlier lines that pass the filters; with ``every``, all those of rows that ask."""
-    names = ["token", "i", "j", "doc", "line", "size", "at", "parity", "side", "asks"]
+PLAIN = ["token", "doc", "line", "shape", "low", "high"]
+
+
+def _partners(rows: DataFrame, every: bool = False) -> DataFrame:
+    """``(doc, line, to_doc, to_line)``: earlier lines that pass the filters: for each word and line the earliest, or all with ``every``.
 
-    def solved(columns: list[np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, _, _, doc, line, size, at, parity, side, asks = columns
-        parity, size, at = parity.view(np.uint64), size.astype(np.int64), at.astype(np.int64)
+    ``rows`` has the columns of ``PLAIN``, where ``shape`` packs the set's size and the word's place in it; ``i``, ``j`` and
+    ``side`` where words are dealt into cells, and ``asks`` where only some lines look for partners.
+    """
+    optional = [name for name in ("i", "j", "side", "asks") if name in rows.columns]
+    names = PLAIN + optional
+    cell = ["token", *(name for name in ("i", "j") if name in optional)]
+
+    def solved(columns: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        doc, line, low, high = (columns[name] for name in ("doc", "line", "low", "high"))
+        size, at = columns["shape"] >> 32, columns["shape"] & 0xFFFFFFFF
         counts = np.diff(np.r_[starts, len(doc)])
-        split = np.repeat(np.add.reduceat(side.astype(np.int64), starts) > 0, counts)  # a cell of two blocks
         index, first = _steps(counts), np.repeat(starts, counts)
-        x = np.flatnonzero((index > 0) & asks)
+        x = index > 0
+        if "asks" in columns:
+            x &= columns["asks"]
+        if "side" in columns:
+            side = columns["side"]
+            split = np.repeat(np.add.reduceat(side.astype(np.int64), starts) > 0, counts)  # a cell of two blocks
+        x = np.flatnonzero(x)
         found, turn = [], 0
         while len(x):
             y = first[x] + turn
-            need = -(-4 * (size[x] + size[y]) // 9)
-            passed = 1 + np.minimum(size[x] - at[x], size[y] - at[y]) - 1 >= need
+            both = size[x] + size[y]
+            need = -(-4 * both // 9)
+            passed = np.minimum(size[x] - at[x], size[y] - at[y]) >= need
             passed &= (5 * size[y] >= 4 * size[x]) & (5 * size[x] >= 4 * size[y])
-            passed &= np.bitwise_count(parity[x] ^ parity[y]) <= size[x] + size[y] - 2 * need
+            passed &= np.bitwise_count(low[x] ^ low[y]).astype(np.int64) + np.bitwise_count(high[x] ^ high[y]) <= both - 2 * need
             passed &= (doc[y] < doc[x]) | ((doc[y] == doc[x]) & (line[y] < line[x]))
-            passed &= ~split[x] | (side[x] != side[y])
+            if "side" in columns:
+                passed &= ~split[x] | (side[x] != side[y])
             found.append((x[passed], y[passed]))
             turn += 1
-            if not every:
-                x = x[~passed]
-            x = x[index[x] > turn]
+            x = x[index[x] > turn] if every else x[~passed & (index[x] > turn)]
         if found:
             x, y = (np.concatenate(part) for part in zip(*found))
             if len(x):
                 yield pa.RecordBatch.from_pydict({"doc": doc[x], "line": line[x], "to_doc": doc[y], "to_line": line[y]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        """Rows come sorted by cell. Whole cells are solved together; the last one waits for more rows."""
+        held: list[dict[str, np.ndarray]] = []
         size = 0
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(parts) for parts in zip(*held)]
-            new = np.r_[True, (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1])]
+            columns = {name: np.concatenate([part[name] for part in held]) for name in names}
+            new = np.zeros(len(columns["token"]), bool)
+            new[0] = True
+            for name in cell:
+                new[1:] |= columns[name][1:] != columns[name][:-1]
             starts = np.flatnonzero(new)
             stop = len(new) if last else int(starts[-1])
             if stop:
-                yield from solved([column[:stop] for column in columns], starts[starts < stop])
-            held[:] = [[column[stop:] for column in columns]]
+                starts = starts[starts < stop]
+                group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, stop]))
+                order = np.lexsort((columns["line"][:stop], columns["doc"][:stop], group))
+                part = {name: column[:stop][order] for name, column in columns.items()}
+                part["low"], part["high"] = part["low"].view(np.uint64), part["high"].view(np.uint64)
+                yield from solved(part, starts)
+            held[:] = [{name: column[stop:] for name, column in columns.items()}]
 
         for batch in batches:
             if batch.num_rows:
-                held.append([batch.column(name).to_numpy(zero_copy_only=False) for name in names])
+                held.append({name: batch.column(name).to_numpy(zero_copy_only=False) for name in names})
                 size += batch.num_rows
                 if size > 200_000:
                     yield from flush(False)
-                    size = len(held[0][0])
-        if held and sum(len(part[0]) for part in held):
+                    size = len(held[0]["token"])
+        if sum(len(part["token"]) for part in held):
             yield from flush(True)
 
-    dealt = rows.select(names).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "doc", "line")
-    return mapped(dealt, run, "doc long, line int, to_doc long, to_line int").distinct()
+    dealt = rows.select(names).repartition(*cell).sortWithinPartitions(*cell)
+    return mapped(dealt, run, "doc long, line int, to_doc long, to_line int")
+
+
+def _exploded(lines: DataFrame) -> DataFrame:
+    shape = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
+    return lines.select("*", F.posexplode("prefix").alias("at", "token")).withColumn("shape", shape).drop("prefix", "size", "at")
 
 
-def _dealt(prefixes: DataFrame) -> DataFrame:
-    """Prefix rows with their cells: one for a word that is not crowded, else one for each other block."""
+def _found(prefixes: DataFrame, every: bool = False) -> DataFrame:
+    """The partners over all words; those that may be crowded are counted, and dealt into cells where they are."""
     plain, maybe = prefixes.where("token & 1 = 0"), prefixes.where("token & 1 = 1")
     counts = maybe.groupBy("token").count().where(F.col("count") > CELL)
     parts = counts.select(F.col("token").alias("hot"), F.ceil(F.col("count") / CELL).cast("int").alias("parts"))
@@ -222,46 +292,65 @@ def _dealt(prefixes: DataFrame) -> DataFrame:
         .withColumns({"block": block, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
         .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"), "side": F.col("block") > F.col("other")})
     )
-    zero = {"i": F.lit(0), "j": F.lit(0), "side": F.lit(False)}
-    return plain.withColumns(zero).unionByName(cells.select(*plain.columns, *zero))
+    return _partners(plain, every).union(_partners(cells, every))
 
 
-def _sets_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``(doc, line, words)`` of the lines in ``keys``. A bit table of fixed size passes over most others before the shuffle."""
-    place = F.shiftrightunsigned(F.xxhash64("doc", "line"), 64 - NEEDED_BITS)
+def _place(bits: int = NEEDED_BITS) -> Column:
+    return F.shiftrightunsigned(F.xxhash64("doc", "line"), 64 - bits)
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[int, np.ndarray] = {}
+
+def _places(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return spark_hash(doc, line) >> np.uint64(64 - NEEDED_BITS)
+
+
+def _token_places(tokens: np.ndarray) -> np.ndarray:
+    return _mixed(tokens.astype(np.int64).view(np.uint64)) >> np.uint64(64 - NEEDED_BITS)
+
+
+def _asked(marked: DataFrame, asking: np.ndarray) -> DataFrame:
+    """Prefix rows of all lines for the words of the lines that ask, by the bit table of their places.
+
+    The tables may hold some more lines and words; these are tried as well, which is only work.
+    """
+    lines = marked.where("prefix is not null").select("doc", "line", "size", "low", "high", "prefix")
+    sent = marked.sparkSession.sparkContext.broadcast(asking)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False)
-            for page in np.unique(at >> 15).tolist():
-                own = at[at >> 15 == page] & 0x7FFF
-                np.bitwise_or.at(table.setdefault(page, np.zeros(4096, np.uint8)), own >> 3, (1 << (own & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_pydict({"page": pa.array(table.keys(), pa.int32()), "bits": pa.array([t.tobytes() for t in table.values()], pa.binary())})
-
-    keys = kept(keys.distinct())
-    # Pages of 32,768 bits; each task gives a page once, and the table has 2**NEEDED_BITS bits whatever the input.
-    pages = mapped(keys.select(place.alias("place")).repartition(F.shiftright("place", 15)), bits, "page int, bits binary").toArrow()
-    table = np.zeros((1 << NEEDED_BITS - 15, 4096), np.uint8)
-    for page, value in zip(pages["page"].to_pylist(), pages["bits"].to_pylist()):
-        table[page] |= np.frombuffer(value, np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(table.ravel())
+            ask = _held(sent.value, _places(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            tokens = batch.column(2).filter(pa.array(ask)).flatten().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_pydict({"place": np.unique(_token_places(tokens)).view(np.int64)})
+
+    table = marked.sparkSession.sparkContext.broadcast(_bit_table(mapped(lines.select("doc", "line", "prefix"), words, "place long")))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, line, size, low, high = (batch.column(i).to_numpy() for i in range(5))
+            ask = _held(sent.value, _places(doc, line))
+            counts = pc.list_value_length(batch.column(5)).to_numpy(zero_copy_only=False)
+            tokens, owner, at = batch.column(5).flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(doc)), counts), _steps(counts)
+            use = _held(table.value, _token_places(tokens))
+            owner, at = owner[use], at[use]
+            shape = size[owner].astype(np.int64) << 32 | at
+            yield pa.RecordBatch.from_pydict({"token": tokens[use], "doc": doc[owner], "line": line[owner], "shape": shape, "low": low[owner], "high": high[owner], "asks": ask[owner]})
+
+    return mapped(lines, rows, "token int, doc long, line int, shape long, low long, high long, asks boolean")
+
+
+def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(doc, line, words)`` of the lines in ``pairs``, and some others that the bit table of their places holds."""
+    places = pairs.select(_place().alias("place")).union(pairs.select(F.col("to_doc").alias("doc"), F.col("to_line").alias("line")).select(_place()))
+    sent = docs.sparkSession.sparkContext.broadcast(_bit_table(places))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches, "text", CHUNK):
             doc = chunk.column(0).to_numpy(zero_copy_only=False)
-
-            def wanted(row: np.ndarray, line: np.ndarray) -> np.ndarray:
-                at = spark_hash(doc[row], line) >> np.uint64(64 - NEEDED_BITS)  # noqa: B023
-                return (sent.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-            lines = Lines(chunk.column(1), wanted)
+            lines = Lines(chunk.column(1), lambda row, line: _held(sent.value, _places(doc[row], line)))  # noqa: B023
             line, sizes, _, words = lines.sets(np.zeros(1 << BITS, np.uint16))
             sets = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(words.view(np.int64)))
             yield pa.RecordBatch.from_pydict({"doc": doc[lines.row[line]], "line": lines.place[line].astype(np.int32), "words": sets})
 
-    found = mapped(docs.select("doc", "text").where("text is not null"), run, "doc long, line int, words array<long>")
-    return found.join(keys, ["doc", "line"], "left_semi")
+    return mapped(docs.select("doc", "text").where("text is not null"), run, "doc long, line int, words array<long>")
 
 
 def spark_hash(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -283,10 +372,10 @@ def spark_hash(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose sets have a Jaccard similarity of 4/5 or more."""
-    ends = pairs.select("doc", "line").union(pairs.select(F.col("to_doc").alias("doc"), F.col("to_line").alias("line")))
-    sets = _sets_of(docs, ends)
+    sets = _sets_of(docs, pairs)
+    own = sets.select(F.col("doc").alias("doc"), F.col("line").alias("line"), F.col("words").alias("words"))
     to = sets.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("words").alias("to_words"))
-    both = pairs.join(sets, ["doc", "line"]).join(to, ["to_doc", "to_line"])
+    both = pairs.join(own, ["doc", "line"]).join(to, ["to_doc", "to_line"])
     common = F.size(F.array_intersect("words", "to_words"))
     return both.where(9 * common >= 4 * (F.size("words") + F.size("to_words"))).select("doc", "line", "to_doc", "to_line")
 
@@ -296,22 +385,19 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     ours = docs.select(order_of(F.col(doc_id)).alias("doc"), F.col(text).alias("text"))
     marked = written(_marked(ours, _rarity(ours)))
     equal = Window.partitionBy("set_a", "set_b").orderBy("doc", "line")
-    first = F.first(F.struct("doc", "line")).over(equal)
-    firsts = marked.where("prefix is not null").withColumns({"first": first, "number": F.row_number().over(equal)})
-    own = F.struct("doc", "line")
+    firsts = marked.where("prefix is not null").withColumns({"first": F.first(F.struct("doc", "line")).over(equal), "number": F.row_number().over(equal)})
     known = marked.where("prefix is null").select("doc", "line", F.col("first_doc").alias("to_doc"), F.col("first_line").alias("to_line"))
-    same = firsts.where(own > F.col("first")).select("doc", "line", F.col("first.doc").alias("to_doc"), F.col("first.line").alias("to_line"))
-    leaders = firsts.where("number = 1").select("doc", "line", "size", "parity", F.posexplode("prefix").alias("at", "token"), F.lit(True).alias("asks"))
-    pairs = kept(_partners(_dealt(leaders), every=False))
+    same = firsts.where(F.struct("doc", "line") > F.col("first")).select("doc", "line", F.col("first.doc").alias("to_doc"), F.col("first.line").alias("to_line"))
+    leaders = firsts.where("number = 1").select("doc", "line", "size", "low", "high", "prefix")
+    earliest = F.min(F.struct("to_doc", "to_line")).alias("to")
+    pairs = kept(_found(_exploded(leaders)).groupBy("doc", "line").agg(earliest).select("doc", "line", "to.to_doc", "to.to_line"))
     near = kept(_verified(ours, pairs))
-    open_lines = kept(pairs.select("doc", "line").distinct().join(near.select("doc", "line").distinct(), ["doc", "line"], "left_anti"))
     gone = known.union(same).union(near)
-    if not open_lines.isEmpty():
-        asking = leaders.drop("asks").join(open_lines.withColumn("ask", F.lit(True)), ["doc", "line"], "left").withColumn("asks", F.coalesce("ask", F.lit(False)))
-        asked = asking.where("asks").select("token").distinct()
-        again = _partners(_dealt(asking.drop("ask").join(asked, "token", "left_semi")), every=True)
-        untried = kept(again.join(pairs, ["doc", "line", "to_doc", "to_line"], "left_anti"))
-        gone = gone.union(_verified(ours, untried).dropDuplicates(["doc", "line"]))
+    untried = kept(pairs.join(near.select("doc", "line"), ["doc", "line"], "left_anti"))
+    if not untried.isEmpty():
+        rest = _found(_asked(marked, _bit_table(untried.select(_place().alias("place")))), every=True).distinct()
+        more = kept(rest.join(pairs, ["doc", "line", "to_doc", "to_line"], "left_anti"))
+        gone = gone.union(_verified(ours, more))
     return gone
 
 
