@@ -39,7 +39,7 @@ WORD = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
 CHUNK, IDS = 1 << 20, 1 << 18  # bytes of text, and ids, that a worker handles at a time
 LONG = 64  # bytes; longer words merge one by one with a heap
 NONE = np.iinfo(np.int32).max
-KEPT_PIECES = 300_000  # pieces whose ids a worker keeps between chunks, or counts before they are summed up
+KEPT_PIECES = 800_000  # pieces whose ids a worker keeps between chunks
 
 
 def _byte_letters() -> list[str]:
@@ -177,6 +177,19 @@ def words_of_pieces(word, pieces: list[str]) -> list[list[str]]:
     return [split[piece] if piece in split else word.findall(piece) for piece in pieces]
 
 
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for, and remembers the new ones."""
+
+    def __init__(self, names=()):
+        super().__init__(zip(names, range(len(names))))
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+
 class Encoder:
     """Ids of texts. Keeps those of pieces between chunks; beyond ``KEPT_PIECES`` the less used ones are forgotten."""
 
@@ -184,7 +197,7 @@ class Encoder:
         self.vocabulary = loaded(Vocabulary, path)
         self.pieces = Pieces(self.vocabulary.special)
         self.lexicon = Lexicon(SparkFiles.get(lexicon))
-        self.number: dict[object, int] = {}  # of pieces: (text,) at the start, text after a blank, (text, 0) special
+        self.number = Numbers()  # of pieces: (text,) at the start, text after a blank, (text, 0) special
         self.sizes = self.starts = self.uses = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
@@ -196,7 +209,7 @@ class Encoder:
         sizes = self.sizes[keep]
         ends = np.cumsum(sizes)
         self.flat = self.flat[np.repeat(self.starts[keep] - ends + sizes, sizes) + np.arange(sizes.sum())]
-        self.number = {names[old]: new for new, old in enumerate(keep.tolist())}
+        self.number = Numbers([names[old] for old in keep.tolist()])
         self.sizes, self.starts, self.uses = sizes, ends - sizes, np.zeros(len(keep), np.int64)
 
     def _word_ids(self, words: list[str]) -> dict[str, list[int]]:
@@ -216,7 +229,6 @@ class Encoder:
         get = self._word_ids(list(set(chain.from_iterable(split)))).__getitem__
         lists = [[self.vocabulary.special[text]] if s else list(chain.from_iterable(map(get, words))) for text, s, words in zip(texts, special, split)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.number.update(zip(keys, range(len(self.number), len(self.number) + len(keys))))
         self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
         self.sizes = np.r_[self.sizes, sizes]
         self.uses = np.r_[self.uses, np.zeros(len(sizes), np.int64)]
@@ -237,8 +249,9 @@ class Encoder:
             ends.append(len(keys))
         if len(self.number) > KEPT_PIECES:
             self._forget()
-        self._learn(list(set(keys) - self.number.keys()))
         codes = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+        new, self.number.new = self.number.new, []
+        self._learn(new)
         self.uses += np.bincount(codes, minlength=len(self.uses))
         sizes = self.sizes[codes]
         after = np.cumsum(sizes)
@@ -247,41 +260,23 @@ class Encoder:
 
 
 def count_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``(word, count)`` over all texts; summed within a task before the shuffle."""
+    """``(word, count)`` over all texts. Pieces between blanks are counted first, and each different one is split once.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = loaded(Vocabulary, path)
-        pieces = Pieces(vocabulary.special)
-        seen: Counter = Counter()  # pieces, those after a blank without it
-        words: Counter = Counter()
-
-        def settle() -> None:
-            split = words_of_pieces(vocabulary.word, [" " + piece for piece in seen])
-            for found, times in zip(split, seen.values()):
-                for word in found:
-                    words[word] += times
-            seen.clear()
-
-        def rows() -> pa.RecordBatch:
-            settle()
-            batch = {"word": pa.array(words.keys(), pa.string()), "count": pa.array(words.values(), pa.int64())}
-            words.clear()
-            return pa.RecordBatch.from_pydict(batch)
+    Runs of white space of several kinds may be split otherwise than in the whole text; counts only choose words.
+    """
 
-        for chunk in text_chunks(batches, text, CHUNK):
-            for value in chunk.column(0).to_pylist():
-                for segment in pieces.segments(value or ""):
-                    if segment not in vocabulary.special:
-                        first, *later = pieces.cut(segment)
-                        seen.update(later)
-                        words.update(vocabulary.word.findall(first))
-            if len(seen) > KEPT_PIECES:
-                settle()
-            if len(words) > KEPT_PIECES:
-                yield rows()
-        yield rows()
-
-    return mapped(docs.select(text), count, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = loaded(Vocabulary, path).word
+        for batch in batches:
+            pieces = [" " + piece if blank else piece for piece, blank in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            times: Counter = Counter()
+            for found, n in zip(words_of_pieces(word, pieces), batch.column(2).to_pylist()):
+                for each in found:
+                    times[each] += n
+            yield pa.RecordBatch.from_pydict({"word": pa.array(times.keys(), pa.string()), "count": pa.array(times.values(), pa.int64())})
+
+    pieces = docs.select(F.posexplode(F.split(text, " ", -1)).alias("place", "piece")).groupBy("piece", (F.col("place") > 0).alias("blank"))
+    return mapped(pieces.agg(F.count("*").alias("n")), split, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
 def _word_ids(words: DataFrame, path: str) -> DataFrame:
