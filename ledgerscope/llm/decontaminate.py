@@ -86,8 +86,8 @@ class Canonical:
         self.cores = [""]
         self.table = np.array([(0, NOTHING, 0, 1)], "u8,u1,u1,u1")
 
-    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """For each token: hash, kind, text number and core (names: the run). A name run is one token."""
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+        """For each token: hash, kind and text number, and what :meth:`core` needs. A name run is one token."""
         split = [(text or "").replace("\n", " \x00 ").split() for text in texts]
         if len(self.number) > KEPT_TOKENS:
             self._forget()
@@ -110,11 +110,12 @@ class Canonical:
         again[1:] = name[1:] & name[:-1] & (owner[1:] == owner[:-1])
         kept = np.flatnonzero(~again)
         stops = np.r_[kept[1:], len(codes)]
-        return hashes[kept], kind[kept], owner[kept], (codes, kept, stops)
+        return hashes[kept], kind[kept], owner[kept], (codes, stops)
 
     def core(self, run: tuple, at: int) -> str:
-        codes, starts, stops = run
-        return " ".join(self.cores[code] for code in codes[starts[at] : stops[at]])
+        """The value of a token; of a name its last word, as a run may have taken in a capital word before the name."""
+        codes, stops = run
+        return self.cores[codes[stops[at] - 1]]
 
 
 def _windows(hashes: np.ndarray, kind: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -202,7 +202,7 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] |
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
             rows = chunk.select(passed).take(pa.array(row, pa.int64())) if passed else None
             own = [pa.array(values, kind) for values, kind in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays([*(rows.columns if rows else []), *own], [*passed, *names])
+            yield pa.RecordBatch.from_arrays([*(rows.columns if rows is not None else []), *own], [*passed, *names])
 
     kinds = ["string", "long", "long", "long", "double"]
     schema = [f"`{column}` {docs.schema[column].dataType.simpleString()}" for column in passed] + [f"{n} {k}" for n, k in zip(names, kinds)]

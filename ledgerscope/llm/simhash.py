@@ -9,8 +9,8 @@ Nothing within the radius is lost; pivots only steer the work.
 
 Fingerprints are made distinct first, so copies cost one row. A key with many
 fingerprints is dealt into cells of two blocks of about ``CELL`` of them, so no task
-gathers a group of unbounded size. A cell gives a tree of its links, not all pairs. Components of
-these trees are the components of all links.
+gathers a group of unbounded size. A cell gives a star over each component of its links, not all pairs. Components of
+these stars are the components of all links.
 
 Null texts and texts without words have fingerprint zero and link like any other. A null
 doc_id is no component's name unless no other is there. Repeated rows get the same class.
@@ -114,7 +114,7 @@ def _tables(fps: DataFrame) -> DataFrame:
 
 
 def _trees(fps: np.ndarray, side: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of the links among ``fps``; of links between the sides only, if both are there."""
+    """A star over each component of the links among ``fps``; of links between the sides only, if both are there."""
     whole = block_distances(fps).sum(axis=1, dtype=np.int16).astype(np.int8)
     linked = np.zeros((len(fps), len(fps)), bool)
     for at in range(0, len(fps), 256):
@@ -140,7 +140,7 @@ def _trees(fps: np.ndarray, side: np.ndarray, radius: int) -> Iterator[tuple[int
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``(u, v)``: trees over all linked pairs among distinct ``fp``; equal components, far fewer rows than pairs."""
+    """``(u, v)``: stars with the components of all linked pairs among distinct ``fp``; far fewer rows than pairs."""
     if not 0 <= radius <= 3:
         raise ValueError("six blocks find links of up to three bits")
     rows = _tables(fps)
