@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.functions.columns import require_columns
-from ledgerscope.sources.storage import lookup_side
+from ledgerscope.functions.columns import quoted, require_columns
 
 
 def percent_of(part: Column, whole: Column) -> Column:
@@ -27,14 +26,19 @@ def measures(quantity: Column, unit_price: Column, discount: Column, cost_ratio:
     return {"revenue": revenue, "cost": cost, "profit": (revenue - cost).cast("decimal(18,2)")}
 
 
+def one_per_key(lookup: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, value)`` with an error for a key that occurs more than once, so that a join adds no rows."""
+    twice = F.raise_error(F.concat(F.lit(f"{key} is not unique: "), F.coalesce(quoted(key).cast("string"), F.lit("null"))))
+    return lookup.groupBy(quoted(key).alias(key)).agg(F.when(F.count("*") == 1, F.first(quoted(value))).otherwise(twice).alias(value))
+
+
 def derive_financials(df: DataFrame, ratios: DataFrame, key: str) -> DataFrame:
     """Add revenue, cost and profit from quantity, unit price, discount and a lookup of cost ratios.
 
-    ``ratios`` has ``key`` (unique) and ``cost_ratio``. It is counted here and
-    broadcast only if it is short.
+    ``ratios`` has ``key`` and ``cost_ratio``; a key that it holds twice is an error while the plan runs.
     """
     require_columns(df, key, "quantity", "unit_price", "discount")
     require_columns(ratios, key, "cost_ratio")
-    joined = df.join(lookup_side(ratios.select(key, "cost_ratio")), key, "left")
+    joined = df.join(one_per_key(ratios, key, "cost_ratio"), key, "left")
     columns = measures(F.col("quantity"), F.col("unit_price"), F.col("discount"), F.col("cost_ratio"))
     return joined.withColumns(columns)

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerscope.functions.columns import numeric, quoted
+from ledgerscope.functions.columns import data_type, numeric, quoted
 from ledgerscope.functions.text import CHART_FILE, PERCENTAGE
 
 # A claim may differ from its evidence by this much, or this part of itself.
@@ -33,7 +34,8 @@ def extract_claims(texts: DataFrame, question: str = "question_id", text: str =
 
 
 def evidence_long(results: DataFrame, question: str, columns: Sequence[str], seq: int = 1) -> DataFrame:
-    """The numbers of a result as ``(question_id, seq, path, value)``, one row each."""
+    """The numbers of a result as ``(question_id, seq, path, value)``, one row each. A flag is no number."""
+    columns = [name for name in columns if not isinstance(data_type(results, name), T.BooleanType)]
     numbers = results.select(
         quoted(question).alias("question_id"), *(numeric(results, name).cast("double").alias(name) for name in columns)
     )

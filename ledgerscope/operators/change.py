@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerscope.functions.columns import data_type, numeric, quoted, time_column
+from ledgerscope.functions.columns import numeric, quoted, time_column
 from ledgerscope.functions.labels import GroupKey, group_key, period_start
 from ledgerscope.functions.money import percent_change, percent_of
-from ledgerscope.sources.storage import checkpointed
 
-ONE_TASK_ROWS = 100_000
+BANDS = 65_536
 
 
-def period_change(
-    df: DataFrame, column: str, group_by: str, time_col: str | None = None, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def period_change(df: DataFrame, column: str, group_by: str, time_col: str | None = None) -> DataFrame:
     """Sum per group and its change against the previous group that occurs, in ascending order."""
     key = group_key(df, group_by, time_col)
     sums = df.groupBy(key.column.alias("key")).agg(F.coalesce(F.sum(numeric(df, column)), F.lit(0)).alias("value"))
-    lagged = _with_previous(sums, key, one_task_rows)
+    lagged = _with_previous(sums, key)
     return lagged.orderBy(F.col("key").asc_nulls_last()).select(
         key.label(F.col("key")).alias("group"),
         "value",
@@ -27,79 +27,95 @@ def period_change(
     )
 
 
-def _with_previous(sums: DataFrame, key: GroupKey, one_task_rows: int) -> DataFrame:
+def _with_previous(sums: DataFrame, key: GroupKey) -> DataFrame:
     """Add the value of the previous key.
 
-    Time labels are few, so one task orders them. Any other key may have as
-    many groups as the table has rows: the sums are range-partitioned by key and
-    written once, and if they are more than ``one_task_rows`` each range is
-    lagged by itself and takes its first previous value from the range before.
+    Time labels are few, so one task orders them. Any other key may have as many groups as the table has
+    rows: they are cut into bands in key order, each band is lagged by itself, and its first key takes
+    the last value of the band before.
     """
     rising = F.col("key").asc_nulls_last()
     if key.calendar:
         return sums.withColumn("previous", F.lag("value").over(Window.orderBy(rising)))
 
-    ranged = checkpointed(sums.repartitionByRange(rising).withColumn("part", F.spark_partition_id()))
-    if ranged.count() <= one_task_rows:
-        return ranged.withColumn("previous", F.lag("value").over(Window.orderBy(rising))).drop("part")
-
-    # One row per partition of the written table. The null key sorts last in its range.
-    last = F.struct(F.col("key").isNull(), F.col("key"))
-    edges = ranged.groupBy("part").agg(F.max_by("value", last).alias("last_value"))
-    carried = edges.select("part", F.lag("last_value").over(Window.orderBy("part")).alias("carried"))
-    within = Window.partitionBy("part").orderBy(rising)
-    lagged = ranged.withColumn("place", F.row_number().over(within)).withColumn("inside", F.lag("value").over(within))
+    banded = sums.withColumn("band", _band(sums))
+    edges = banded.groupBy("band").agg(F.max_by("value", "key").alias("last_value"))
+    in_order = Window.orderBy(F.col("band").asc_nulls_last())  # one row per band
+    carried = edges.select(F.col("band").alias("of_band"), F.lag("last_value").over(in_order).alias("carried"))
+    within = Window.partitionBy("band").orderBy(rising)
+    lagged = banded.withColumn("place", F.row_number().over(within)).withColumn("inside", F.lag("value").over(within))
     previous = F.when(F.col("place") == 1, F.col("carried")).otherwise(F.col("inside"))
-    return lagged.join(F.broadcast(carried), "part", "left").select("key", "value", previous.alias("previous"))
-
+    return lagged.join(carried, F.col("band").eqNullSafe(F.col("of_band")), "left").select("key", "value", previous.alias("previous"))
+
+
+def _band(sums: DataFrame) -> Column:
+    """A band that rises with the key: even steps of numbers and times, three characters behind the common start of texts."""
+    dtype, key = sums.schema["key"].dataType, F.col("key")
+    low_high = lambda value: sums.agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    if isinstance(dtype, T.StringType):
+        shorter = F.least(F.length("low"), F.length("high"))
+        places = F.when(shorter > 0, F.sequence(F.lit(1), shorter)).otherwise(F.array().cast("array<int>"))
+        same = F.filter(places, lambda i: F.substr(F.col("low"), F.lit(1), i) == F.substr(F.col("high"), F.lit(1), i))
+        common = low_high(key).select(F.size(same)).scalar()
+        return F.when(key.isNotNull(), F.substr(key, common + 1, F.lit(3)))
+    if isinstance(dtype, T.DateType):
+        value = F.unix_date(key).cast("double")
+    elif isinstance(dtype, T.TimestampNTZType):
+        value = key.cast("timestamp").cast("double")
+    elif isinstance(dtype, (T.NumericType, T.TimestampType)):
+        value = key.cast("double")
+    else:
+        return F.when(key.isNotNull(), F.lit(0))
+    finite = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    ends = low_high(finite).select(F.struct("low", "high")).scalar()
+    low, high = ends.getField("low"), ends.getField("high")
+    step = F.coalesce(F.floor(F.try_divide(finite - low, high - low) * (BANDS - 1)), F.lit(0))
+    return F.when(key.isNotNull(), F.when(finite.isNotNull(), step).when(value < 0, F.lit(-1)).otherwise(F.lit(BANDS)))
+
+
+def period_sums(df: DataFrame, metric: str, by: str, unit: str = "month", time_col: str | None = None) -> DataFrame:
+    """``(start, key, value)``: the sum of a metric per period and group. Rows without a time are left out."""
+    ts = quoted(time_column(df, time_col))
+    key = group_key(df, by, time_col)
+    return (
+        df.where(ts.isNotNull())
+        .groupBy(period_start(unit, ts).alias("start"), key.column.alias("key"))
+        .agg(F.coalesce(F.sum(numeric(df, metric)), F.lit(0)).alias("value"))
+    )
 
-def latest_period_starts(df: DataFrame, unit: str = "month", time_col: str | None = None) -> tuple[Column, Column]:
-    """First day of the latest and of the previous period that occur, as scalar subqueries.
 
-    Scalars of the time column's own type reach the scan as plain range filters.
-    Both read the same distinct periods, so the time column is scanned once. The
-    previous one is null if there is only one period.
-    """
-    column = time_column(df, time_col)
-    ts, type_name = quoted(column), data_type(df, column).simpleString()
-    starts = df.where(ts.isNotNull()).select(period_start(unit, ts).cast(type_name).alias("start")).distinct()
+def compare_sums(sums: DataFrame, label: Callable[[Column], Column]) -> DataFrame:
+    """The two latest periods of :func:`period_sums` side by side, largest decline first; no row means 0."""
+    starts = sums.select("start").distinct()
     latest = starts.agg(F.max("start")).scalar()
-    last_two = starts.orderBy(F.desc("start")).limit(2)
-    previous = last_two.agg(F.when(F.count("*") == 2, F.min("start"))).scalar()
-    return latest, previous
-
-
-def compare_periods(
-    df: DataFrame, metric: str, by: str, unit: str = "month", time_col: str | None = None
-) -> DataFrame:
-    """Sum of a metric per group in the two latest periods, largest decline first.
+    previous = starts.orderBy(F.desc("start")).limit(2).agg(F.when(F.count("*") == 2, F.min("start"))).scalar()
 
-    Only the rows of those two periods are aggregated, in one pass; a group
-    missing from one period counts as 0 there.
-    """
-    ts = quoted(time_column(df, time_col))
-    latest_start, previous_start = latest_period_starts(df, unit, time_col)
-    value = numeric(df, metric)
-    key = group_key(df, by, time_col)
-    recent = df.where(ts >= previous_start)
+    def part(start: Column) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("start") == start, F.col("value"))), F.lit(0))
 
-    def part(inside: Column) -> Column:
-        return F.coalesce(F.sum(F.when(inside, value)), F.lit(0))
-
-    sums = recent.groupBy(key.column.alias("key")).agg(
-        part(ts < latest_start).alias("previous_value"), part(ts >= latest_start).alias("latest_value")
-    )
-    change = F.col("latest_value") - F.col("previous_value")
+    recent = sums.where(F.col("start") >= previous)
+    both = recent.groupBy("key").agg(part(previous).alias("previous_value"), part(latest).alias("latest_value"))
     return (
-        sums.withColumn("change", change)
+        both.withColumn("change", F.col("latest_value") - F.col("previous_value"))
         .orderBy(F.col("change"), F.col("key").asc_nulls_last())
         .select(
-            key.label(F.col("key")).alias("group"), "previous_value", "latest_value", "change",
+            label(F.col("key")).alias("group"), "previous_value", "latest_value", "change",
             percent_of(F.col("change"), F.col("previous_value")).alias("percentage_change"),
         )
     )
 
 
+def compare_periods(
+    df: DataFrame, metric: str, by: str, unit: str = "month", time_col: str | None = None
+) -> DataFrame:
+    """Sum of a metric per group in the two latest periods, largest decline first.
+
+    The table is read once: sums per period and group tell the latest periods as
+    well. A group missing from one period counts as 0 there.
+    """
+    return compare_sums(period_sums(df, metric, by, unit, time_col), group_key(df, by, time_col).label)
+
+
 def largest_decline(
     df: DataFrame, metric: str, by: str, unit: str = "month", time_col: str | None = None
 ) -> DataFrame:

@@ -43,8 +43,9 @@ def chart_series(
     if kind != "pie":
         return series
     total = series.agg(F.sum("y")).scalar()
-    checked = F.when(F.col("y") < 0, F.raise_error(F.lit("a pie chart cannot show a negative slice")).cast("double"))
-    return series.withColumn("percent", checked.otherwise(percent_of(F.col("y"), total)))
+    negative = F.raise_error(F.lit("a pie chart cannot show a negative slice")).cast(series.schema["y"].dataType)
+    checked = series.withColumn("y", F.when(F.col("y") < 0, negative).otherwise(F.col("y")))
+    return checked.withColumn("percent", percent_of(F.col("y"), total))
 
 
 def scatter_points(
@@ -68,4 +69,5 @@ def chart_points(points: DataFrame, limit: int = POINT_LIMIT) -> DataFrame:
         raise OperationError(f"a chart lists 1 to {POINT_LIMIT} points, not {limit}")
     total = points.agg(F.count("*")).scalar()
     ordered = points.orderBy(F.col("x").asc_nulls_last(), F.col("y").asc_nulls_last()).limit(limit)
-    return ordered.select(F.col("x").cast("string").alias("x"), "y", total.alias("points"))
+    percent = ["percent"] if "percent" in points.columns else []
+    return ordered.select(F.col("x").cast("string").alias("x"), "y", *percent, total.alias("points"))

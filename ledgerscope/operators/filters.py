@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from datetime import date, datetime
+from datetime import date, datetime, timezone
 from decimal import Decimal
 from typing import Any
 
@@ -95,7 +95,8 @@ def _moment(value: Any) -> datetime | None:
         except ValueError:
             continue
     try:
-        return datetime.fromisoformat(text).replace(tzinfo=None)
+        moment = datetime.fromisoformat(text)
+        return moment if moment.tzinfo is None else moment.astimezone(timezone.utc).replace(tzinfo=None)
     except ValueError:
         return None
 

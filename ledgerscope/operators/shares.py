@@ -19,15 +19,17 @@ def ratio_by(
 ) -> DataFrame:
     """Both sums per group and their ratio in percent, highest first. A ratio of sums, not a mean of ratios."""
     key = group_key(df, by, time_col)
-    sums = df.groupBy(key.column.alias("key")).agg(
-        F.coalesce(F.sum(numeric(df, denominator)), F.lit(0)).alias(denominator),
-        F.coalesce(F.sum(numeric(df, numerator)), F.lit(0)).alias(numerator),
+    sums = df.groupBy(key.column.alias("__key")).agg(
+        F.coalesce(F.sum(numeric(df, denominator)), F.lit(0)).alias("__below"),
+        F.coalesce(F.sum(numeric(df, numerator)), F.lit(0)).alias("__above"),
     )
-    ratio = percent_of(quoted(numerator), quoted(denominator))
     return (
-        sums.withColumn(name, ratio)
-        .orderBy(F.col(name).desc_nulls_last(), F.col("key").asc_nulls_last())
-        .select(key.label(F.col("key")).alias("group"), quoted(denominator), quoted(numerator), F.col(name))
+        sums.withColumn("__ratio", percent_of(F.col("__above"), F.col("__below")))
+        .orderBy(F.col("__ratio").desc_nulls_last(), F.col("__key").asc_nulls_last())
+        .select(
+            key.label(F.col("__key")).alias("group"), F.col("__below").alias(denominator),
+            F.col("__above").alias(numerator), F.col("__ratio").alias(name),
+        )
     )
 
 
@@ -88,8 +90,10 @@ def deviations(df: DataFrame, column: str, threshold: float) -> DataFrame:
 def missing_by(df: DataFrame, column: str, by: Sequence[str], time_col: str | None = None) -> DataFrame:
     """Rows and missing cells per group; ``by`` may mix columns and time words."""
     keys = {name: group_key(df, name, time_col) for name in by}
-    counts = df.groupBy(*(key.column.alias(name) for name, key in keys.items())).agg(
-        F.count("*").alias("rows"), F.count_if(present(df, column).isNull()).alias("missing")
+    inner = {name: F.col(f"__key{i}") for i, name in enumerate(keys)}
+    counts = df.groupBy(*(key.column.alias(f"__key{i}") for i, key in enumerate(keys.values()))).agg(
+        F.count("*").alias("__rows"), F.count_if(present(df, column).isNull()).alias("__missing")
     )
-    ordered = counts.orderBy(*(quoted(name).asc_nulls_last() for name in by))
-    return ordered.select(*(key.label(quoted(name)).alias(name) for name, key in keys.items()), "rows", "missing")
+    ordered = counts.orderBy(*(column.asc_nulls_last() for column in inner.values()))
+    labels = (key.label(inner[name]).alias(name) for name, key in keys.items())
+    return ordered.select(*labels, F.col("__rows").alias("rows"), F.col("__missing").alias("missing"))

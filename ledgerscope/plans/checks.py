@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +16,6 @@ from pyspark.sql import types as T
 
 from ledgerscope.errors import AnalysisInputError
 from ledgerscope.functions.columns import quoted
-from ledgerscope.sources.storage import checkpointed
 
 EVIDENCE_SCHEMA = "question string, name string, text string, number double"
 
@@ -39,19 +37,19 @@ def evidence_rows(question: str, result: DataFrame) -> DataFrame:
 
 
 def run_checks(spark: SparkSession, results: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
-    """The evidence of all questions; a question that fails gives one ``error`` row.
+    """The evidence of all questions as one plan; no job runs here.
 
-    Each question runs here, once, and its few evidence rows are written to the
-    checkpoint folder, so judging and reporting do not compute it again.
+    A question that cannot be built (a missing column, a wrong type) gives one ``error`` row.
     """
     parts = []
     for question, build in results.items():
         try:
-            parts.append(checkpointed(evidence_rows(question, build())))
-        except (AnalysisInputError, PySparkException, Py4JJavaError) as error:
+            parts.append(evidence_rows(question, build()))
+        except (AnalysisInputError, PySparkException) as error:
             first_line = str(error).strip().splitlines()[0]
-            row = [(question, "error", f"{type(error).__name__}: {first_line}", None)]
-            parts.append(spark.createDataFrame(row, EVIDENCE_SCHEMA))
+            row = {"question": question, "name": "error", "text": f"{type(error).__name__}: {first_line}", "number": None}
+            cells = [F.lit(row[name]).cast(kind).alias(name) for name, kind in (field.split(" ") for field in EVIDENCE_SCHEMA.split(", "))]
+            parts.append(spark.range(1).select(*cells))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.operators.change import largest_decline, period_change
+from ledgerscope.functions.labels import time_label
+from ledgerscope.functions.money import percent_change
+from ledgerscope.operators.change import compare_sums, period_sums
 from ledgerscope.operators.shares import ratio_by
 from ledgerscope.operators.statistics import group_aggregate
 
@@ -27,17 +29,18 @@ QUESTIONS = {
 }
 
 
-def latest_change(table: Table, metric: str = "revenue") -> DataFrame:
-    """The latest month with its change, beside the month before it."""
-    monthly = period_change(table("order_date", metric), metric, "month").where(F.col("group").isNotNull())
-    in_time = Window.orderBy("group")  # one row per month
+def latest_change(sums: DataFrame) -> DataFrame:
+    """The latest month with its change, beside the month before it, from sums per month and group."""
+    monthly = sums.groupBy("start").agg(F.sum("value").alias("value"))
+    in_time = Window.orderBy("start")  # one row per month
+    before, month = F.lag("value").over(in_time), lambda start: time_label("month", start)
     return (
         monthly.select(
-            F.lag("group").over(in_time).alias("previous_month"),
-            F.lag("value").over(in_time).alias("previous_value"),
-            F.col("group").alias("latest_month"),
+            month(F.lag("start").over(in_time)).alias("previous_month"),
+            before.alias("previous_value"),
+            month(F.col("start")).alias("latest_month"),
             F.col("value").alias("latest_value"),
-            "percentage_change",
+            percent_change(F.col("value"), before).alias("percentage_change"),
         )
         .orderBy(F.desc("latest_month"))
         .limit(1)
@@ -46,9 +49,10 @@ def latest_change(table: Table, metric: str = "revenue") -> DataFrame:
 
 def sales_decrease(table: Table) -> DataFrame:
     """Q1: the latest monthly change and the category that declined most."""
-    decline = largest_decline(table("order_date", "category", "revenue"), "revenue", "category")
+    sums = period_sums(table("order_date", "category", "revenue"), "revenue", "category")
+    decline = compare_sums(sums, lambda key: key.cast("string")).limit(1)
     worst = decline.select(F.struct("group", "change", "percentage_change")).scalar()
-    return latest_change(table).select(
+    return latest_change(sums).select(
         "*",
         worst.getField("group").alias("largest_decline"),
         worst.getField("change").alias("largest_decline_change"),
@@ -97,9 +101,10 @@ def kpi_totals(table: Table) -> DataFrame:
 
 def management_summary(table: Table, column_count: int) -> DataFrame:
     """Q5: size, totals, top category, latest change and missing discounts."""
-    top = top_category(table).select("category").scalar()
-    latest = latest_change(table).select(F.struct("latest_month", "percentage_change")).scalar()
-    totals = table("revenue", "profit", "discount").agg(
+    rows = table("order_date", "category", "revenue", "profit", "discount")
+    top = top_category(lambda *names: rows.select(*names)).select("category").scalar()
+    latest = latest_change(period_sums(rows, "revenue", "category")).select(F.struct("latest_month", "percentage_change")).scalar()
+    totals = rows.agg(
         F.count("*").alias("rows"),
         F.lit(column_count).cast("bigint").alias("columns"),
         F.coalesce(F.sum("revenue"), F.lit(0)).alias("total_revenue"),

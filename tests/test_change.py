@@ -20,19 +20,30 @@ def test_change_over_present_months(spark):
     assert rows == [("2026-01", 100, None), ("2026-02", 150, 50.0), ("2026-04", 0, -100.0), ("2026-05", 30, None), (None, 60, 100.0)]
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_any_column_with_and_without_one_task(spark, limit):
+KEYS = {
+    "string": [f"k{i:05d}" for i in range(3000)],
+    "string, uneven": ["", "a", "ab", "abc", "abcdefgh", "b", "é", "日"],
+    "bigint": list(range(-50, 3000, 7)),
+    "double": [-1e300, -2.5, 0.0, 0.1, 7.0, 1e18, float("inf"), float("nan")],
+    "boolean": [False, True],
+    "string, one": ["x"],
+}
+
+
+@pytest.mark.parametrize("kind", KEYS)
+def test_any_column(spark, kind):
     numbers = random.Random(4)
-    sums = {f"k{i:05d}": numbers.randint(1, 999) for i in range(3000)}
+    sums = {key: numbers.randint(1, 999) for key in KEYS[kind]}
     rows = [(k, v) for k, v in sums.items()] + [(None, 77)]
-    df = spark.createDataFrame(rows, "k string, v bigint").repartition(6)
-    found = [tuple(r) for r in period_change(df, "v", "k", one_task_rows=limit).collect()]
+    df = spark.createDataFrame(rows, f"k {kind.split(',')[0]}, v bigint").repartition(6)
+    found = [tuple(r) for r in period_change(df, "v", "k").collect()]
     expected, previous = [], None
-    for key in sorted(sums) + [None]:
+    for key in KEYS[kind] + [None]:
         value = 77 if key is None else sums[key]
         expected.append((key, value, None if previous is None else (value / previous - 1) * 100))
         previous = value
-    assert found == expected
+    assert [r[1:] for r in found] == [r[1:] for r in expected]
+    assert found[-1][0] is None and (kind[0] != "s" or found == expected)
 
 
 GOLDEN = [
@@ -60,11 +71,13 @@ def test_one_period_has_no_comparison(spark):
     assert compare_periods(table(spark, GOLDEN[:1]), "revenue", "category").count() == 0
 
 
-def test_comparison_reads_a_range(spark, tmp_path):
+def test_comparison_reads_the_table_once(spark, tmp_path):
     table(spark, GOLDEN).write.parquet(str(tmp_path / "sales"))
-    df = spark.read.parquet(str(tmp_path / "sales"))
-    plan = compare_periods(df, "revenue", "category")._jdf.queryExecution().executedPlan()
-    assert "GreaterThanOrEqual(order_date,ScalarSubquery" in plan.toString()
+    df = compare_periods(spark.read.parquet(str(tmp_path / "sales")), "revenue", "category")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    scans = {line.split("FileScan parquet [")[1].split("]")[0] for line in plan.splitlines() if "FileScan parquet" in line}
+    assert len({scan.count(",") for scan in scans}) == 1  # the same columns wherever it is read, so that the exchange is shared
 
 
 def test_hot_group(spark):

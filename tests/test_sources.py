@@ -6,7 +6,6 @@ from ledgerscope.functions.periods import period_filter
 from ledgerscope.sources.dates import promote_dates
 from ledgerscope.operators.change import period_change
 from ledgerscope.sources.star import SALES_COLUMNS, SCHEMAS, read_table, sales
-from ledgerscope.sources.storage import lookup_side
 from ledgerscope.sources.tables import MONTH_PARTITION, read_monthly, read_sales, write_csv, write_sales
 
 CSV = """order_id,order_date,customer_id,discount,quantity,note,flag,code,empty
@@ -121,13 +120,6 @@ def test_stated_schemas_are_those_of_the_files(spark):
         assert ", ".join(f"{column} {kind}" for column, kind in found) == ddl
 
 
-def test_lookup_size_is_checked(spark):
-    small, large = lookup_side(spark.range(10), 10), lookup_side(spark.range(11), 10)
-    assert "broadcast" in small._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in large._jdf.queryExecution().logical().toString().lower()
-    assert large.count() == 11
-
-
 def test_hot_order_is_split(spark, tmp_path):
     """A third of the lines belong to one order: the shuffled join splits its partition."""
     lines = read_table(spark, DIR, "lineitem")

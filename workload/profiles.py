@@ -78,8 +78,8 @@ def sample(spark, sf_dir):
 LINES = """lines AS (
 SELECT l_orderkey AS order_id, l_linenumber AS line, p_type AS category, CAST(l_quantity AS INT) AS quantity,
        CAST(p_retailprice AS DECIMAL(12,2)) AS unit_price, CAST(l_discount AS DECIMAL(5,4)) AS discount,
-       CAST(CASE p_type WHEN 'ECONOMY' THEN 0.48 WHEN 'SMALL' THEN 0.56 WHEN 'STANDARD' THEN 0.62
-            WHEN 'MEDIUM' THEN 0.66 WHEN 'LARGE' THEN 0.72 ELSE 0.76 END AS DECIMAL(5,4)) AS cost_ratio
+       CAST(CASE p_type WHEN 'ECONOMY' THEN 0.41 WHEN 'SMALL' THEN 0.53 WHEN 'STANDARD' THEN 0.59
+            WHEN 'MEDIUM' THEN 0.67 WHEN 'LARGE' THEN 0.74 ELSE 0.79 END AS DECIMAL(5,4)) AS cost_ratio
 FROM lineitem LEFT JOIN part ON l_partkey = p_partkey)"""
 GROSS = "CAST({quantity} AS DECIMAL(10,0)) * unit_price"
 MEASURES = (

@@ -28,8 +28,8 @@ SELECT l_orderkey AS order_id, o_orderdate AS order_date, o_custkey AS customer_
 FROM (SELECT l_orderkey, o_orderdate, o_custkey, p_name AS product, p_type AS category, r_name AS region,
              l_quantity AS quantity, l_extendedprice / l_quantity AS unit_price, nullif(l_discount, 0.0) AS discount,
              CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS revenue,
-             CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(CASE p_type WHEN 'ECONOMY' THEN 0.48 WHEN 'SMALL' THEN 0.56
-               WHEN 'STANDARD' THEN 0.62 WHEN 'MEDIUM' THEN 0.66 WHEN 'LARGE' THEN 0.72 ELSE 0.76 END AS DECIMAL(4,2)) AS cost,
+             CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(CASE p_type WHEN 'ECONOMY' THEN 0.41 WHEN 'SMALL' THEN 0.53
+               WHEN 'STANDARD' THEN 0.59 WHEN 'MEDIUM' THEN 0.67 WHEN 'LARGE' THEN 0.74 ELSE 0.79 END AS DECIMAL(4,2)) AS cost,
              s_name AS salesperson
       FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey
       LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN customer ON o_custkey = c_custkey
