@@ -19,7 +19,7 @@ from ledgerscope.operators.shares import deviations, missing_by, pivot_sum, rati
 from ledgerscope.operators.statistics import group_aggregate, rows_analyzed, statistics, summarize
 from ledgerscope.operators.updates import apply_overrides
 from ledgerscope.plans.checks import check_sections, checks_summary, judge, run_checks
-from ledgerscope.plans.reports import rejected_questions, report_documents
+from ledgerscope.plans.reports import rejected_questions, report_documents, write_reports
 from ledgerscope.sources.dates import promote_dates
 from ledgerscope.sources.tables import read_monthly, read_sales, write_csv, write_sales
 

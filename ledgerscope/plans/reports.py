@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions.text import REPORT_SLUG_LENGTH, slug
 
-STEPS_PER_PART = 200
-NO_STEPS = "No analytical tools were used."
+NO_STEPS = "No analytical tools were used.\n"
+EDGE_SPACE = r"^[\t-\r \x1c-\x1f\x85\p{Z}]+|[\t-\r \x1c-\x1f\x85\p{Z}]+$"
+
+
+def _stripped(text: str) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(F.col(text), EDGE_SPACE, "")
 
 
 def _blank(text: str) -> Column:
-    return F.coalesce(F.trim(F.col(text)), F.lit("")) == ""
+    return F.coalesce(_stripped(text), F.lit("")) == ""
 
 
 def rejected_questions(questions: DataFrame) -> DataFrame:
@@ -42,19 +47,16 @@ def step_block(seq: Column, tool: Column, arguments: Column, status: Column, mes
     )
 
 
-def report_documents(
-    questions: DataFrame, steps: DataFrame, generated: str, steps_per_part: int = STEPS_PER_PART
-) -> DataFrame:
-    """``(question_id, part, filename, body)``; part 0 holds the head and the first steps.
+def report_documents(questions: DataFrame, steps: DataFrame, generated: str) -> DataFrame:
+    """``(question_id, seq, filename, block)``: the blocks of each report in order of ``seq``, head first (0).
 
-    A question with more than ``steps_per_part`` steps continues in further
-    parts, so no group gathers more than that many, and no step is left out.
-    ``generated`` is ``yyyy-MM-dd HH:mm:ss`` text.
+    A report is its blocks one after another; :func:`write_reports` puts them into files. No group
+    is gathered, so a question may have any number of steps. ``generated`` is ``yyyy-MM-dd HH:mm:ss`` text.
     """
     stamp = generated.replace("-", "").replace(":", "").replace(" ", "_")
-    name = F.concat(F.lit(f"{stamp}_"), slug(F.col("question"), "analysis_report", REPORT_SLUG_LENGTH))
+    name = F.concat(F.lit(f"{stamp}_"), slug(F.col("question"), "analysis_report", REPORT_SLUG_LENGTH), F.lit(".md"))
     valid = questions.where(~(_blank("question") | _blank("answer") | _blank("dataset"))).select(
-        "question_id", name.alias("name"), *(F.trim(F.col(c)).alias(c) for c in ("question", "answer", "dataset"))
+        "question_id", name.alias("filename"), *(_stripped(c).alias(c) for c in ("question", "answer", "dataset"))
     )
     head = F.concat(
         F.lit(f"# Analysis Report\n\n**Generated:** {generated}\n\n**Dataset:** `"), F.col("dataset"),
@@ -62,23 +64,18 @@ def report_documents(
         F.lit("\n\n---\n\n## Final Analysis\n\n"), F.col("answer"),
         F.lit("\n\n---\n\n## Analytical Tools Used\n"),
     )
-    heads = valid.select("question_id", "name", F.lit(0).cast("bigint").alias("seq"), head.alias("block"))
+    heads = valid.select("question_id", F.lit(0).cast("bigint").alias("seq"), "filename", head.alias("block"))
     block = step_block(F.col("seq"), F.col("tool"), F.col("arguments"), F.col("status"), F.col("message"))
-    blocks = steps.join(valid.select("question_id", "name"), "question_id").select(
-        "question_id", "name", F.col("seq").cast("bigint").alias("seq"), block.alias("block")
-    )
-    part = F.floor(F.greatest(F.col("seq") - 1, F.lit(0)) / steps_per_part)
-    gathered = (
-        heads.unionByName(blocks)
-        .groupBy("question_id", part.alias("part"))
-        .agg(F.first("name").alias("name"), F.sort_array(F.collect_list(F.struct("seq", "block"))).alias("blocks"))
-    )
-    text = F.array_join(F.transform("blocks", lambda entry: entry.getField("block")), "\n")
-    no_steps = (F.col("part") == 0) & (F.size("blocks") == 1)
-    suffix = F.when(F.col("part") == 0, ".md").otherwise(
-        F.concat(F.lit("_part"), (F.col("part") + 1).cast("string"), F.lit(".md"))
-    )
-    return gathered.select(
-        "question_id", "part", F.concat(F.col("name"), suffix).alias("filename"),
-        F.when(no_steps, F.concat(text, F.lit(f"\n{NO_STEPS}\n"))).otherwise(text).alias("body"),
+    blocks = steps.join(valid.select("question_id", "filename"), "question_id").select(
+        "question_id", F.col("seq").cast("bigint").alias("seq"), "filename", block.alias("block")
     )
+    bare = valid.join(steps.select("question_id"), "question_id", "left_anti")
+    notes = bare.select("question_id", F.lit(1).cast("bigint").alias("seq"), "filename", F.lit(NO_STEPS).alias("block"))
+    return heads.unionByName(blocks).unionByName(notes)
+
+
+def write_reports(documents: DataFrame, path: str) -> None:
+    """One folder for each report with its text; a task writes a report block by block and holds none whole."""
+    ordered = documents.repartition("question_id").sortWithinPartitions("question_id", "filename", "seq")
+    folder = F.concat_ws("_", F.col("question_id").cast("string"), "filename")
+    ordered.select(folder.alias("report"), F.col("block").alias("value")).write.partitionBy("report").text(path)

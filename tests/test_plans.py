@@ -9,7 +9,7 @@ from ledgerscope.functions.text import slug
 from ledgerscope.operators.updates import apply_overrides
 from ledgerscope.plans import questions
 from ledgerscope.plans.checks import check_sections, checks_summary, judge, run_checks
-from ledgerscope.plans.reports import rejected_questions, report_documents
+from ledgerscope.plans.reports import rejected_questions, report_documents, write_reports
 
 STEPS = "question_id bigint, seq int, tool string, arguments string, status string, message string"
 QUESTIONS = "question_id bigint, question string, answer string, dataset string"
@@ -71,36 +71,34 @@ def test_checks(spark, table):
 
 def test_reports(spark):
     asked = spark.createDataFrame(
-        [(1, "  Why did sales fall? ", "They fell.", "sales.csv"), (2, "???", "None", "sales.csv"), (3, " ", "x", "d"), (4, "q", None, "d"), (5, "q", "a", "")],
+        [(1, "\n  Why did sales fall? \u2003\n", "They fell.", "sales.csv"), (2, "???", "None", "sales.csv"), (3, " \n\t\u00a0", "x", "d"), (4, "q", None, "d"), (5, "q", "a", "")],
         QUESTIONS,
     )
     steps = spark.createDataFrame(
         [(1, 2, "create_chart", "{'x': 1}", "error", "no such column"), (1, 1, "filter", "{}", "success", None),
          (1, 3, "stat", "{}", "error", None), (9, 1, "orphan", "{}", None, None)], STEPS)
-    documents = {(r.question_id, r.part): r for r in report_documents(asked, steps, "2026-09-15 10:30:00", 2).collect()}
-    assert set(documents) == {(1, 0), (1, 1), (2, 0)}
-    first = documents[1, 0]
-    assert first.filename == "20260915_103000_why_did_sales_fall.md"
-    assert documents[1, 1].filename == "20260915_103000_why_did_sales_fall_part2.md"
-    assert "**Dataset:** `sales.csv`" in first.body and "## Question\n\nWhy did sales fall?\n" in first.body
-    assert first.body.index("### 1. `filter`") < first.body.index("### 2. `create_chart`")
-    assert "**Status:** Error — no such column" in first.body and "**Status:** Completed" in first.body
-    assert documents[1, 1].body == "### 3. `stat`\n\n**Arguments**\n\n```text\n{}\n```\n\n**Status:** Error — Unknown error\n"
-    assert documents[2, 0].filename == "20260915_103000_analysis_report.md"
-    assert "No analytical tools were used." in documents[2, 0].body
+    documents = {(r.question_id, r.seq): r for r in report_documents(asked, steps, "2026-09-15 10:30:00").collect()}
+    assert set(documents) == {(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1)}
+    assert {r.filename for r in documents.values()} == {"20260915_103000_why_did_sales_fall.md", "20260915_103000_analysis_report.md"}
+    assert "**Dataset:** `sales.csv`" in documents[1, 0].block and "## Question\n\nWhy did sales fall?\n" in documents[1, 0].block
+    assert documents[1, 1].block.startswith("### 1. `filter`") and "**Status:** Completed" in documents[1, 1].block
+    assert "**Status:** Error — no such column" in documents[1, 2].block
+    assert documents[1, 3].block == "### 3. `stat`\n\n**Arguments**\n\n```text\n{}\n```\n\n**Status:** Error — Unknown error\n"
+    assert documents[2, 1].block == "No analytical tools were used.\n"
     reasons = {r.question_id: r.reason for r in rejected_questions(asked).collect()}
     assert reasons == {3: "question is empty", 4: "answer is empty", 5: "dataset name is empty"}
 
 
-def test_one_question_with_most_steps(spark):
+def test_one_question_with_most_steps(spark, tmp_path):
     asked = spark.createDataFrame([(1, "q", "a", "d")], QUESTIONS)
     steps = spark.range(1, 5001).select(
         F.lit(1).cast("bigint").alias("question_id"), F.col("id").cast("int").alias("seq"), F.lit("t").alias("tool"),
         F.lit("{}").alias("arguments"), F.lit("success").alias("status"), F.lit(None).cast("string").alias("message"))
-    documents = report_documents(asked, steps, "2026-09-15 10:30:00").orderBy("part").collect()
-    assert len(documents) == 25
-    assert sum(d.body.count("### ") for d in documents) == 5000
-    assert max(d.body.count("### ") for d in documents) == 200
+    write_reports(report_documents(asked, steps, "2026-09-15 10:30:00"), str(tmp_path / "reports"))
+    files = list((tmp_path / "reports").glob("report=1_20260915_103000_q.md/*.txt"))
+    body = "".join(file.read_text() for file in files)
+    places = [body.index(f"### {seq}. ") for seq in range(1, 5001)]
+    assert len(files) == 1 and places == sorted(places) and body.startswith("# Analysis Report")
 
 
 @pytest.mark.parametrize("text, expected", [

@@ -178,35 +178,32 @@ def _conversation_reports(spark, sf_dir):
 REPORT_SQL = """
 WITH questions AS (SELECT conv_id AS question_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS question,
                           arg_max(text, turn) FILTER (WHERE role = 'assistant') AS answer FROM conversations GROUP BY 1),
-valid AS (SELECT question_id, trim(question, ' ') AS question, trim(answer, ' ') AS answer FROM questions
-          WHERE coalesce(trim(question, ' '), '') <> '' AND coalesce(trim(answer, ' '), '') <> ''),
-named AS (SELECT *, concat('20260915_103000_', {slug}) AS name FROM valid),
-blocks AS (
-SELECT question_id, name, 0 AS seq, concat('# Analysis Report', chr(10, 10), '**Generated:** 2026-09-15 10:30:00', chr(10, 10),
+bare AS (SELECT question_id, regexp_replace(question, '^[[:space:]\\p{{Z}}]+|[[:space:]\\p{{Z}}]+$', '', 'g') AS question,
+                regexp_replace(answer, '^[[:space:]\\p{{Z}}]+|[[:space:]\\p{{Z}}]+$', '', 'g') AS answer FROM questions),
+valid AS (SELECT * FROM bare WHERE coalesce(question, '') <> '' AND coalesce(answer, '') <> ''),
+named AS (SELECT *, concat('20260915_103000_', {slug}, '.md') AS filename FROM valid)
+SELECT question_id, CAST(0 AS BIGINT) AS seq, filename, concat('# Analysis Report', chr(10, 10), '**Generated:** 2026-09-15 10:30:00', chr(10, 10),
        '**Dataset:** `conversations`', chr(10, 10), '---', chr(10, 10), '## Question', chr(10, 10), question, chr(10, 10), '---', chr(10, 10),
        '## Final Analysis', chr(10, 10), answer, chr(10, 10), '---', chr(10, 10), '## Analytical Tools Used', chr(10)) AS block FROM named
 UNION ALL
-SELECT question_id, name, turn + 1, concat('### ', turn + 1, '. `', role, '`', chr(10, 10), '**Arguments**', chr(10, 10), '```text', chr(10),
+SELECT question_id, CAST(turn + 1 AS BIGINT), filename, concat('### ', turn + 1, '. `', role, '`', chr(10, 10), '**Arguments**', chr(10, 10), '```text', chr(10),
        '{{''chars'': ', length(text), '}}', chr(10), '```', chr(10, 10), '**Status:** ',
        CASE WHEN length(text) < 60 THEN 'Error — short turn' ELSE 'Completed' END, chr(10))
-FROM conversations JOIN named ON conv_id = question_id)
-SELECT question_id, CAST(greatest(seq - 1, 0) // 4 AS BIGINT) AS part,
-       concat(any_value(name), CASE WHEN greatest(seq - 1, 0) // 4 = 0 THEN '' ELSE concat('_part', CAST(greatest(seq - 1, 0) // 4 + 1 AS BIGINT)) END, '.md') AS filename,
-       string_agg(block, chr(10) ORDER BY seq) AS body
-FROM blocks GROUP BY question_id, greatest(seq - 1, 0) // 4"""
+FROM conversations JOIN named ON conv_id = question_id"""
 
 
 @register("report_documents", REPORT_SQL.format(
     slug=SLUG_SQL.format(text="question", default="analysis_report", length=70)).replace("chr(10, 10)", "chr(10), chr(10)"))
 def reports(spark, sf_dir):
     questions, steps = _conversation_reports(spark, sf_dir)
-    return report_documents(questions, steps, "2026-09-15 10:30:00", steps_per_part=4)
+    return report_documents(questions, steps, "2026-09-15 10:30:00")
 
 
 @register("report_rejects", """
 WITH questions AS (SELECT conv_id AS question_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS question,
-                          arg_max(text, turn) FILTER (WHERE role = 'assistant') AS answer FROM conversations GROUP BY 1)
-SELECT question_id, CASE WHEN coalesce(trim(question, ' '), '') = '' THEN 'question is empty' ELSE 'answer is empty' END AS reason
-FROM questions WHERE coalesce(trim(question, ' '), '') = '' OR coalesce(trim(answer, ' '), '') = ''""")
+                          arg_max(text, turn) FILTER (WHERE role = 'assistant') AS answer FROM conversations GROUP BY 1),
+bare AS (SELECT question_id, regexp_replace(question, '[[:space:]\\p{Z}]+', '', 'g') AS question, regexp_replace(answer, '[[:space:]\\p{Z}]+', '', 'g') AS answer FROM questions)
+SELECT question_id, CASE WHEN coalesce(question, '') = '' THEN 'question is empty' ELSE 'answer is empty' END AS reason
+FROM bare WHERE coalesce(question, '') = '' OR coalesce(answer, '') = ''""")
 def report_rejects(spark, sf_dir):
     return rejected_questions(_conversation_reports(spark, sf_dir)[0])
