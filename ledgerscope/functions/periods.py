@@ -16,11 +16,13 @@ from ledgerscope.functions.labels import period_start, time_label
 MONTH_NUMBERS = {name.lower(): number for number, name in enumerate(calendar.month_name) if name}
 
 # The date spellings that select their whole month.
-MONTH_FORMATS = ("%Y-%m", "%Y/%m", "%B %Y", "%b %Y", "%B, %Y")
+MONTH_FORMATS = ("%Y-%m", "%Y/%m", "%m/%Y", "%B %Y", "%b %Y", "%B, %Y")
 DAY_FORMATS = (
     "%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S",
     "%d %B %Y", "%B %d, %Y", "%B %d %Y", "%d %b %Y", "%b %d, %Y", "%b %d %Y",
+    "%Y.%m.%d", "%Y-%m-%d %H:%M", "%Y-%m-%dT%H:%M", "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%dT%H:%M:%S.%f", "%m/%d/%Y %H:%M", "%Y/%m/%d %H:%M:%S",
 )
+COMPACT_DAY = "%Y%m%d"  # eight digits
 
 
 @dataclass(frozen=True)
@@ -38,7 +40,8 @@ def parse_period(text: str) -> Period:
         return Period(datetime(int(words), 1, 1), _january(int(words) + 1))
     if words.lower() in MONTH_NUMBERS:
         return Period(month=MONTH_NUMBERS[words.lower()])
-    for pattern in MONTH_FORMATS + DAY_FORMATS:
+    compact = (COMPACT_DAY,) if words.isascii() and words.isdigit() and len(words) == 8 else ()
+    for pattern in MONTH_FORMATS + DAY_FORMATS + compact:
         try:
             day = datetime.strptime(words, pattern)
         except ValueError:

@@ -11,15 +11,17 @@ from ledgerscope.functions.columns import present, quoted
 
 
 def check_constraints(
-    df: DataFrame, required: Sequence[str], key: str, not_null: Sequence[str], min_rows: int, max_rows: int
+    df: DataFrame, required: Sequence[str], key: str, not_null: Sequence[str], min_rows: int, max_rows: int,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Rows ``(constraint, violations, passed)``.
 
     All come from one grouping by key, merged before its shuffle: a key that
     holds much of the table is one row per task there. A constraint on a
     missing column is a violation of ``required columns`` and is left out.
+    For a view of which ``df`` has only the checked columns, ``columns`` names all.
     """
-    missing = [name for name in required if name not in df.columns]
+    missing = [name for name in required if name not in (columns or df.columns)]
     checked = [name for name in not_null if name in df.columns]
     nulls = [F.count_if(present(df, name).isNull()).alias(f"nulls_{i}") for i, name in enumerate(checked)]
     keys = [quoted(key).alias("key")] if key in df.columns else []

@@ -35,7 +35,7 @@ def condition(df: DataFrame, column: str, operator: str, value: Any) -> Column:
     dtype = data_type(df, column)
     cell = quoted(column)
     if word == "contains":
-        return present(df, column).cast("string").rlike(f"(?iU){value}")
+        return plain_text(present(df, column), dtype).rlike(f"(?iU){value}")
 
     literal = _literal(dtype, value)
     if word == "equals":
@@ -54,6 +54,19 @@ def condition(df: DataFrame, column: str, operator: str, value: Any) -> Column:
     return ordered
 
 
+def plain_text(cell: Column, dtype: T.DataType) -> Column:
+    """A cell as one would write it: midnight as its date, decimals without closing zeros, doubles without exponent."""
+    text = cell.cast("string")
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.regexp_replace(text, " 00:00:00$", "")
+    if isinstance(dtype, T.DecimalType):
+        return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        exact = F.regexp_replace(F.regexp_replace(cell.try_cast("decimal(38,12)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
+        return F.when(text.contains("E"), F.coalesce(exact, text)).otherwise(text)
+    return text
+
+
 def _literal(dtype: T.DataType, value: Any) -> Column | None:
     """The value as a literal that leaves the column uncast, or None if the kinds differ."""
     if isinstance(dtype, (T.NumericType, T.BooleanType)):

@@ -27,9 +27,9 @@ def _per_column(totals: DataFrame, columns: list[str], fields: dict[str, str]) -
     return totals.select(F.inline(F.array(*structs)))
 
 
-def profile_header(df: DataFrame) -> DataFrame:
-    """Row and column counts."""
-    return df.agg(F.count("*").alias("rows"), F.lit(len(df.columns)).cast("bigint").alias("columns"))
+def profile_header(df: DataFrame, columns: int | None = None) -> DataFrame:
+    """Row and column counts. For a view of which ``df`` has only some columns, ``columns`` says how many it has."""
+    return df.agg(F.count("*").alias("rows"), F.lit(columns or len(df.columns)).cast("bigint").alias("columns"))
 
 
 def profile_types(df: DataFrame) -> DataFrame:

@@ -35,9 +35,13 @@ def read_sales(
     fmt: str = "csv",
     schema: T.StructType | str | None = None,
     null_tokens: Iterable[str] = NULL_TOKENS,
+    multiline: bool = False,
 ) -> DataFrame:
     """Load the table with typed columns and promoted date columns.
 
+    With ``multiline`` quoted cells of a CSV may hold line breaks, and each file is one task. Without it files are
+    split, and a row whose number of cells does not fit, as a line break in a cell makes it, is an error.
+
     Give ``schema`` for a large CSV: without it the types are inferred, which
     reads the whole input once more.
     """
@@ -49,7 +53,9 @@ def read_sales(
         raise SourceError(f"unsupported format {fmt}; use csv or parquet")
     if PurePosixPath(path).suffix.lower() not in (".csv", ""):
         raise SourceError(f"not a .csv file: {path}")
-    text = _load(lambda: spark.read.option("header", True).option("escape", '"').csv(path), path)
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
+    reader = reader.option("mode", "FAILFAST").option("columnPruning", False)
+    text = _load(lambda: reader.csv(path), path)
     _require_content(text)
     text = text.select(*(_without_tokens(name, null_tokens) for name in text.columns))
     typed = _cast(text, schema) if schema is not None else _infer(text)

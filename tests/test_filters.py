@@ -142,3 +142,20 @@ def test_periods_that_occur(rows):
     assert [tuple(r) for r in distinct_periods(rows).collect()] == [("2025-02", 1), ("2026-01", 1), ("2026-02", 2)]
     assert [tuple(r) for r in latest_periods(rows, 2).collect()] == [("2026-02", 2), ("2026-01", 1)]
     assert [tuple(r) for r in latest_periods(rows, 5, "quarter").collect()] == [("2026Q1", 3), ("2025Q1", 1)]
+
+
+def test_contains_reads_plain_text(spark):
+    df = spark.sql("SELECT CAST('2026-01-05 00:00:00' AS TIMESTAMP_NTZ) AS t, CAST(45.5 AS DECIMAL(18,4)) AS d, CAST(12345678 AS DOUBLE) AS x, CAST(7 AS DECIMAL(9,2)) AS w")
+    for column, pattern in (("t", "2026-01-05$"), ("d", "^45[.]5$"), ("x", "^12345678"), ("w", "^7$")):
+        assert filter_rows(df, column, "contains", pattern).count() == 1
+
+
+def test_offsets_become_utc(spark):
+    df = spark.sql("SELECT CAST('2026-01-04 22:00:00' AS TIMESTAMP_NTZ) AS t")
+    assert filter_rows(df, "t", "equals", "2026-01-05T00:00:00+02:00").count() == 1
+    assert filter_rows(df, "t", "equals", "2026-01-05T00:00:00").count() == 0
+
+
+@pytest.mark.parametrize("text", ["20260915", "2026-09-15T10:30:00Z", "2026-09-15 10:30", "09/2026", "2026.09.15"])
+def test_further_period_texts(text):
+    assert parse_period(text) == parse_period("2026-09")

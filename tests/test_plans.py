@@ -123,3 +123,14 @@ def test_financials_and_overrides(spark):
     assert updated == {1: (2, rows[1][0], rows[1][2]), 2: (10, Decimal("2505.50"), Decimal("952.09")), 3: (1, Decimal("10.00"), None)}
     with pytest.raises(ColumnError):
         derive_financials(lines.drop("discount"), ratios, "product")
+
+
+def test_repeated_lookup_keys_are_an_error(spark):
+    lines = spark.sql("SELECT 'a' AS product, 2 AS quantity, 10.0 AS unit_price, 0.0 AS discount")
+    ratios = spark.sql("SELECT * FROM VALUES ('a', 0.5), ('a', 0.6) AS t(product, cost_ratio)")
+    with pytest.raises(Exception, match="product is not unique: a"):
+        derive_financials(lines, ratios, "product").collect()
+    changes = spark.sql("SELECT * FROM VALUES ('a', 3), ('a', 4) AS t(product, quantity)")
+    whole = derive_financials(lines, ratios.limit(1), "product")
+    with pytest.raises(Exception, match="product is not unique: a"):
+        apply_overrides(whole, changes, "product").collect()

@@ -34,6 +34,30 @@ def test_csv_types_and_null_tokens(spark, csv_path):
     assert rows[0].order_date.isoformat() == "2026-01-05T00:00:00"
 
 
+def test_line_breaks_in_cells(spark, tmp_path):
+    path = tmp_path / "broken.csv"
+    path.write_text('a,day_date,note,n\n1,2026-01-05,"two\nlines",5\n2,2026-01-06,x,6\n')
+    df = read_sales(spark, str(path), multiline=True)
+    assert [r.note for r in df.orderBy("a").collect()] == ["two\nlines", "x"]
+    assert dict(df.dtypes)["day_date"] == "timestamp_ntz"
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        read_sales(spark, str(path)).collect()
+
+
+@pytest.mark.parametrize("text", [
+    "2026-01-31T10:00:00Z", "2026-01-31 12:00:00+02:00", "2026-01-31T12:00:00+0200", "1/31/2026 10:00", "01/31/2026 10:00:00", "2026/01/31 10:00:00",
+])
+def test_shapes_with_a_time(spark, text):
+    row = promote_dates(spark.createDataFrame([(text,)], "day_date string")).first()
+    assert row.day_date.isoformat() == "2026-01-31T10:00:00"
+
+
+@pytest.mark.parametrize("text", ["20260131", "31-01-2026", "January 31, 2026", "Jan 31, 2026", "31 January 2026"])
+def test_shapes_of_days(spark, text):
+    row = promote_dates(spark.createDataFrame([(text,)], "day_date string")).first()
+    assert row.day_date.isoformat() == "2026-01-31T00:00:00"
+
+
 def test_csv_with_schema(spark, csv_path):
     df = read_sales(spark, csv_path, schema="order_id bigint, discount decimal(4,2), order_date string")
     assert df.dtypes == [("order_id", "bigint"), ("discount", "decimal(4,2)"), ("order_date", "timestamp_ntz")]

@@ -29,7 +29,7 @@ def _per_column(template: str, names) -> str:
 
 @register("profile_header", with_sales("SELECT count(*) AS rows, CAST(13 AS BIGINT) AS columns FROM sales"))
 def header(spark, sf_dir):
-    return profile_header(sales(spark, sf_dir))
+    return profile_header(sales(spark, sf_dir, "order_id"), len(SALES_COLUMNS))
 
 
 @register("profile_types", with_sales(
@@ -55,7 +55,7 @@ def duplicates(spark, sf_dir):
 SELECT 'order_date' AS column, strftime(min(order_date), '%Y-%m-%dT%H:%M:%S') AS min,
        strftime(max(order_date), '%Y-%m-%dT%H:%M:%S') AS max FROM sales"""))
 def date_ranges(spark, sf_dir):
-    return profile_dates(sales(spark, sf_dir))
+    return profile_dates(sales(spark, sf_dir, "order_date"))
 
 
 @register("profile_numeric", with_sales(_per_column("""
@@ -142,7 +142,8 @@ UNION ALL """ + " UNION ALL ".join(
     f"SELECT 'no missing {name}', count(*) - count({name}) FROM sales" for name in MEASURE_COLUMNS) + """)
 SELECT "constraint", violations, violations = 0 AS passed FROM found"""))
 def constraints(spark, sf_dir):
-    return check_constraints(sales(spark, sf_dir), SALES_COLUMNS, "order_id", MEASURE_COLUMNS, 500, 2000)
+    checked = sales(spark, sf_dir, "order_id", *MEASURE_COLUMNS)
+    return check_constraints(checked, SALES_COLUMNS, "order_id", MEASURE_COLUMNS, 500, 2000, SALES_COLUMNS)
 
 
 @register("kpi_totals", with_sales("""

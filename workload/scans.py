@@ -52,6 +52,8 @@ _register_filter("filter_gte", "quantity", "greater_than_or_equal", 45, "quantit
 _register_filter("filter_lt", "quantity", "less_than", 5, "quantity < 5")
 _register_filter("filter_lte", "quantity", "less_than_or_equal", 5, "quantity <= 5")
 _register_filter("filter_contains", "product", "contains", "AN.IL|ring$", "regexp_matches(product, 'AN.IL|ring$', 'i')")
+_register_filter("filter_contains_date", "order_date", "contains", "-06-1\\d$", "strftime(order_date, '%m-%d') LIKE '06-1%' AND order_date = date_trunc('day', order_date)")
+_register_filter("filter_contains_decimal", "revenue", "contains", "^\\d+[.]5$", "(revenue * 10000) % 10000 = 5000")
 _register_filter("filter_date_from", "order_date", "greater_than_or_equal", "2000-06", "order_date >= TIMESTAMP '2000-06-01'")
 
 COUNTED = {
@@ -104,6 +106,7 @@ _register_period("period_year", "2000", "year(order_date) = 2000")
 _register_period("period_month", "2000-09", "strftime(order_date, '%Y-%m') = '2000-09'")
 _register_period("period_month_name", "September", "month(order_date) = 9")
 _register_period("period_named_month_year", "September 2000", "strftime(order_date, '%Y-%m') = '2000-09'")
+_register_period("period_compact_date", "19991215", "strftime(order_date, '%Y-%m') = '1999-12'")
 _register_period("period_date_month", "1999-12-15", "strftime(order_date, '%Y-%m') = '1999-12'")
 
 
