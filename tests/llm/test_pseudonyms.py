@@ -97,6 +97,14 @@ def test_dates_are_permuted(spark):
             assert all(r["new"].day > 12 for r in hidden)
 
 
+def test_marks_in_texts(spark):
+    value = "a.b77@x.org 10.20.30.40, 4111 1111 1111 1111@ 5551234567890@mail.net"
+    (plain,), (marked,) = shown(spark, [value]), shown(spark, ["\x01" + value + "\x01\x01"])
+    assert marked == "\x01" + plain + "\x01\x01"
+    assert "77" not in plain.split("@")[0] or plain.split("@")[0] != "a.b77"
+    assert plain.endswith("@mail.net") and "5551234567890" not in plain and len(plain.split()) == len(value.split())
+
+
 def test_odd_documents(odd_documents, no_documents):
     out = p.pseudonymise(odd_documents, "k")
     assert sorted(map(str, (r["text"] for r in out.collect()))) == sorted(map(str, (r["text"] for r in odd_documents.collect())))
