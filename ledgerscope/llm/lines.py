@@ -8,8 +8,8 @@ word, sizes too different, places that leave too few words (positional filter),
 differ too often are passed over; the rest is verified on the sets.
 
 Equal sets are found first, by 128-bit sums of word hashes, within tasks and then across, so a line that fills a third of the corpus is
-one row a task. From each crowded word a line only gets its earliest partner that passes the filters, so copies
-of a passage give no square of rows; of these the earliest is verified. Lines for which that fails get all their partners in a second
+one row a task. From each word a line only gets one partner that passes the filters, the nearest by its classes, so copies
+of a passage give no square of rows; of these the nearest is verified. Lines for which that fails get all their partners in a second
 round. A word shared by more than ``CELL`` lines is dealt into cells of two blocks each, so
 no task holds an unbounded group. Words are told apart by 64-bit hashes.
 
@@ -212,7 +212,10 @@ PLAIN = ["token", "doc", "line", "shape", "low", "high"]
 
 
 def _partners(rows: DataFrame, every: bool = False) -> DataFrame:
-    """``(doc, line, to_doc, to_line)``: earlier lines that pass the filters: for each word and line the earliest, or all with ``every``.
+    """``(doc, line, slack, to_doc, to_line)``: earlier lines that pass the filters, or all of them with ``every``.
+
+    Else each word gives a line one: the first whose classes differ in at most half of what is allowed, or the nearest.
+    ``slack`` is by how much the differing classes stay below what is allowed, negative.
 
     ``rows`` has the columns of ``PLAIN``, where ``shape`` packs the set's size and the word's place in it; ``i``, ``j`` and
     ``side`` where words are dealt into cells, and ``asks`` where only some lines look for partners.
@@ -233,6 +236,7 @@ def _partners(rows: DataFrame, every: bool = False) -> DataFrame:
             side = columns["side"]
             split = np.repeat(np.add.reduceat(side.astype(np.int64), starts) > 0, counts)  # a cell of two blocks
         x = np.flatnonzero(x)
+        best, partner = np.ones(len(doc), np.int64), np.zeros(len(doc), np.int64)  # slack of the best one so far; 1: none
         found, turn = [], 0
         while len(x):
             y = first[x] + turn
@@ -240,17 +244,27 @@ def _partners(rows: DataFrame, every: bool = False) -> DataFrame:
             need = -(-4 * both // 9)
             passed = np.minimum(size[x] - at[x], size[y] - at[y]) >= need
             passed &= (5 * size[y] >= 4 * size[x]) & (5 * size[x] >= 4 * size[y])
-            passed &= np.bitwise_count(low[x] ^ low[y]).astype(np.int64) + np.bitwise_count(high[x] ^ high[y]) <= both - 2 * need
+            allowed = both - 2 * need
+            slack = np.bitwise_count(low[x] ^ low[y]).astype(np.int64) + np.bitwise_count(high[x] ^ high[y]) - allowed
+            passed &= slack <= 0
             passed &= (doc[y] < doc[x]) | ((doc[y] == doc[x]) & (line[y] < line[x]))
             if "side" in columns:
                 passed &= ~split[x] | (side[x] != side[y])
-            found.append((x[passed], y[passed]))
             turn += 1
-            x = x[index[x] > turn] if every else x[~passed & (index[x] > turn)]
+            if every:
+                found.append((x[passed], y[passed], slack[passed]))
+                x = x[index[x] > turn]
+                continue
+            better = passed & (slack < best[x])
+            best[x[better]], partner[x[better]] = slack[better], y[better]
+            x = x[(2 * best[x] > -allowed) & (index[x] > turn)]
+        if not every:
+            x = np.flatnonzero(best <= 0)
+            found = [(x, partner[x], best[x])]
         if found:
-            x, y = (np.concatenate(part) for part in zip(*found))
+            x, y, slack = (np.concatenate(part) for part in zip(*found))
             if len(x):
-                yield pa.RecordBatch.from_pydict({"doc": doc[x], "line": line[x], "to_doc": doc[y], "to_line": line[y]})
+                yield pa.RecordBatch.from_pydict({"doc": doc[x], "line": line[x], "slack": slack.astype(np.int32), "to_doc": doc[y], "to_line": line[y]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by cell. Whole cells are solved together; the last one waits for more rows."""
@@ -285,7 +299,7 @@ def _partners(rows: DataFrame, every: bool = False) -> DataFrame:
             yield from flush(True)
 
     dealt = rows.select(names).repartition(*cell).sortWithinPartitions(*cell)
-    return mapped(dealt, run, "doc long, line int, to_doc long, to_line int")
+    return mapped(dealt, run, "doc long, line int, slack int, to_doc long, to_line int")
 
 
 def _exploded(lines: DataFrame) -> DataFrame:
@@ -316,8 +330,10 @@ def _places(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return spark_hash(doc, line) >> np.uint64(64 - NEEDED_BITS)
 
 
-def _token_places(tokens: np.ndarray) -> np.ndarray:
-    return _mixed(tokens.astype(np.int64).view(np.uint64)) >> np.uint64(64 - NEEDED_BITS)
+def _token_places(tokens: np.ndarray, sizes: np.ndarray, step: int = 0) -> np.ndarray:
+    """Places of words with the band of their line's size; sizes that may match lie at most one band apart."""
+    band = np.floor(np.log(sizes) / np.log(1.26)).astype(np.int64) + step + 1
+    return _mixed((tokens.astype(np.int64) << 16 | band).view(np.uint64)) >> np.uint64(64 - NEEDED_BITS)
 
 
 def _asked(marked: DataFrame, asking: np.ndarray) -> DataFrame:
@@ -331,10 +347,13 @@ def _asked(marked: DataFrame, asking: np.ndarray) -> DataFrame:
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ask = _held(sent.value, _places(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            tokens = batch.column(2).filter(pa.array(ask)).flatten().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_pydict({"place": np.unique(_token_places(tokens)).view(np.int64)})
+            prefixes, sizes = batch.column(2).filter(pa.array(ask)), batch.column(3).to_numpy()[ask]
+            tokens = prefixes.flatten().to_numpy(zero_copy_only=False)
+            sizes = np.repeat(sizes, pc.list_value_length(prefixes).to_numpy(zero_copy_only=False))
+            places = np.concatenate([_token_places(tokens, sizes, step) for step in (-1, 0, 1)])
+            yield pa.RecordBatch.from_pydict({"place": np.unique(places).view(np.int64)})
 
-    table = marked.sparkSession.sparkContext.broadcast(_bit_table(mapped(lines.select("doc", "line", "prefix"), words, "place long")))
+    table = marked.sparkSession.sparkContext.broadcast(_bit_table(mapped(lines.select("doc", "line", "prefix", "size"), words, "place long")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,12 +361,12 @@ def _asked(marked: DataFrame, asking: np.ndarray) -> DataFrame:
             ask = _held(sent.value, _places(doc, line))
             counts = pc.list_value_length(batch.column(5)).to_numpy(zero_copy_only=False)
             tokens, owner, at = batch.column(5).flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(doc)), counts), _steps(counts)
-            use = _held(table.value, _token_places(tokens))
+            use = _held(table.value, _token_places(tokens, size[owner]))
             owner, at = owner[use], at[use]
             shape = size[owner].astype(np.int64) << 32 | at
             yield pa.RecordBatch.from_pydict({"token": tokens[use], "doc": doc[owner], "line": line[owner], "shape": shape, "low": low[owner], "high": high[owner], "asks": ask[owner]})
 
-    return mapped(lines, rows, "token int, doc long, line int, shape long, low long, high long, asks boolean")
+    return kept(mapped(lines, rows, "token int, doc long, line int, shape long, low long, high long, asks boolean"))
 
 
 def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -407,13 +426,13 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     known = marked.where("prefix is null").select("doc", "line", F.col("first_doc").alias("to_doc"), F.col("first_line").alias("to_line"))
     same = firsts.where(F.struct("doc", "line") > F.col("first")).select("doc", "line", F.col("first.doc").alias("to_doc"), F.col("first.line").alias("to_line"))
     leaders = firsts.where("number = 1").select("doc", "line", "size", "low", "high", "prefix")
-    earliest = F.min(F.struct("to_doc", "to_line")).alias("to")
-    pairs = kept(_found(_exploded(leaders)).groupBy("doc", "line").agg(earliest).select("doc", "line", "to.to_doc", "to.to_line"))
+    best = F.min(F.struct("slack", "to_doc", "to_line")).alias("to")
+    pairs = kept(_found(_exploded(leaders)).groupBy("doc", "line").agg(best).select("doc", "line", "to.to_doc", "to.to_line"))
     near = kept(_verified(ours, pairs))
     gone = known.union(same).union(near)
     untried = kept(pairs.join(near.select("doc", "line"), ["doc", "line"], "left_anti"))
     if not untried.isEmpty():
-        rest = _found(_asked(marked, _bit_table(untried.select(_place().alias("place")))), every=True).distinct()
+        rest = _found(_asked(marked, _bit_table(untried.select(_place().alias("place")))), every=True).drop("slack").distinct()
         more = kept(rest.join(pairs, ["doc", "line", "to_doc", "to_line"], "left_anti"))
         gone = gone.union(_verified(ours, more))
     return gone
