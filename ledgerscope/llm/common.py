@@ -88,7 +88,12 @@ def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
                 file.write(path, path.relative_to(root))
         context.addPyFile(str(archive))
         _SHIPPED.add(context.applicationId)
-    return df.mapInArrow(run, schema)
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()  # a worker lives on after its task
+
+    return df.mapInArrow(freed, schema)
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ MIN_WORDS = 5
 BITS = 20  # of the table of word counts
 CELL = 16_384
 NEEDED_BITS = 25
-SEEN = 150_000
+SEEN = 80_000
 LAST = (1 << 63) - 1
 CHUNK = 1 << 20
 PAGE = 4096  # numbers of an array that tasks put together
@@ -93,7 +93,7 @@ def _rarity(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, np.int64)
-        for chunk in text_chunks(batches, "text", 2 * CHUNK):
+        for chunk in text_chunks(batches, "text", CHUNK):
             coded = pc.utf8_split_whitespace(pc.utf8_lower(chunk.column(0))).flatten().dictionary_encode()
             n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
             total += np.bincount((_digests(coded.dictionary) >> np.uint64(64 - BITS)).astype(np.int64), n, 1 << BITS).astype(np.int64)
@@ -292,7 +292,7 @@ def _partners(rows: DataFrame, every: bool = False) -> DataFrame:
             if batch.num_rows:
                 held.append({name: batch.column(name).to_numpy(zero_copy_only=False) for name in names})
                 size += batch.num_rows
-                if size > 200_000:
+                if size > 100_000:
                     yield from flush(False)
                     size = len(held[0]["token"])
         if sum(len(part["token"]) for part in held):
