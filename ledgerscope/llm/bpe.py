@@ -39,7 +39,7 @@ WORD = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
 CHUNK, IDS = 1 << 20, 1 << 18  # bytes of text, and ids, that a worker handles at a time
 LONG = 64  # bytes; longer words merge one by one with a heap
 NONE = np.iinfo(np.int32).max
-KEPT_PIECES = 800_000  # pieces whose ids a worker keeps between chunks
+KEPT_PIECES = 500_000  # pieces whose ids a worker keeps between chunks
 
 
 def _byte_letters() -> list[str]:
