@@ -66,8 +66,14 @@ class Lines:
         self.owner = np.repeat(np.arange(len(lines)), sizes)[full]
         self.codes = codes[full]
 
-    def sets(self, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Lines with enough different words: their numbers, sizes and first words, and all words' hashes, rarest first."""
+    @staticmethod
+    def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words and how often each is there."""
+        coded = pc.utf8_split_whitespace(pc.utf8_lower(texts)).flatten().dictionary_encode()
+        return _digests(coded.dictionary), np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
+
+    def sets(self, rarity: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lines with ``least`` different words or more: their numbers, sizes and first words, and all words' hashes, rarest first."""
         order = np.lexsort((self.hashes, rarity[self.hashes >> np.uint64(64 - BITS)]))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -76,7 +82,7 @@ class Lines:
         line = key >> 32
         starts = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.zeros(0, np.int64)
         line, sizes = line[starts], np.diff(np.r_[starts, len(line)])
-        long = sizes >= MIN_WORDS
+        long = sizes >= least
         key = key[np.repeat(long, sizes)]
         line, sizes = line[long], sizes[long]
         return line, sizes, np.cumsum(sizes) - sizes, self.hashes[order[key & 0xFFFFFFFF]]
@@ -88,15 +94,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def _rarity(docs: DataFrame) -> np.ndarray:
+def _rarity(docs: DataFrame, unit: type[Lines]) -> np.ndarray:
     """Word counts of the whole corpus by the first bits of the word's hash, on a scale of sixteenths of a doubling."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, np.int64)
         for chunk in text_chunks(batches, "text", CHUNK):
-            coded = pc.utf8_split_whitespace(pc.utf8_lower(chunk.column(0))).flatten().dictionary_encode()
-            n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
-            total += np.bincount((_digests(coded.dictionary) >> np.uint64(64 - BITS)).astype(np.int64), n, 1 << BITS).astype(np.int64)
+            hashes, n = unit.counted(chunk.column(0))
+            total += np.bincount((hashes >> np.uint64(64 - BITS)).astype(np.int64), n, 1 << BITS).astype(np.int64)
         pages = total.reshape(-1, PAGE)
         at = np.flatnonzero(pages.any(axis=1))
         yield pa.RecordBatch.from_pydict({"page": at.astype(np.int32), "n": pa.array([zlib.compress(pages[i].tobytes(), 1) for i in at], pa.binary())})
@@ -158,7 +163,7 @@ def _held(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _marked(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
+def _marked(docs: DataFrame, rarity: np.ndarray, least: int, unit: type[Lines]) -> DataFrame:
     """A row for each line of enough words: its place and set, and either its prefix or an earlier equal line of the same task."""
     sent = docs.sparkSession.sparkContext.broadcast(rarity)
     crowded = np.uint16(np.ceil(16 * np.log2(CELL)) + 17)
@@ -167,8 +172,8 @@ def _marked(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
         seen: dict[bytes, tuple[int, int]] = {}
         scale = sent.value
         for chunk in text_chunks(batches, "text", CHUNK):
-            lines = Lines(chunk.column(1))
-            line, sizes, starts, words = lines.sets(scale)
+            lines = unit(chunk.column(1))
+            line, sizes, starts, words = lines.sets(scale, least)
             if not len(line):
                 continue
             doc = chunk.column(0).to_numpy(zero_copy_only=False)[lines.row[line]]
@@ -369,7 +374,7 @@ def _asked(marked: DataFrame, asking: np.ndarray) -> DataFrame:
     return kept(mapped(lines, rows, "token int, doc long, line int, shape long, low long, high long, asks boolean"))
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, pairs: DataFrame, least: int, unit: type[Lines]) -> DataFrame:
     """``(doc, line, words)`` of the lines in ``pairs``, and some others that the bit tables of documents and places hold."""
     ends = pairs.select("doc", "line").union(pairs.select(F.col("to_doc").alias("doc"), F.col("to_line").alias("line")))
     of_docs = F.shiftrightunsigned(F.xxhash64("doc", F.lit(0)), 64 - NEEDED_BITS)
@@ -382,8 +387,8 @@ def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             chosen = batch.filter(pa.array(_held(some.value, _places(doc, np.zeros(len(doc), np.int32)))))
             for chunk in text_chunks(iter([chosen]), "text", CHUNK):
                 doc = chunk.column(0).to_numpy(zero_copy_only=False)
-                lines = Lines(chunk.column(1), lambda row, line: _held(sent.value, _places(doc[row], line)))  # noqa: B023
-                line, sizes, _, words = lines.sets(np.zeros(1 << BITS, np.uint16))
+                lines = unit(chunk.column(1), lambda row, line: _held(sent.value, _places(doc[row], line)))  # noqa: B023
+                line, sizes, _, words = lines.sets(np.zeros(1 << BITS, np.uint16), least)
                 sets = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(words.view(np.int64)))
                 yield pa.RecordBatch.from_pydict({"doc": doc[lines.row[line]], "line": lines.place[line].astype(np.int32), "words": sets})
 
@@ -407,9 +412,9 @@ def spark_hash(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
         return end(turn(h, 23) * p2 + p3)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, least: int, unit: type[Lines]) -> DataFrame:
     """The pairs whose sets have a Jaccard similarity of 4/5 or more."""
-    sets = _sets_of(docs, pairs)
+    sets = _sets_of(docs, pairs, least, unit)
     own = sets.select(F.col("doc").alias("doc"), F.col("line").alias("line"), F.col("words").alias("words"))
     to = sets.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("words").alias("to_words"))
     both = pairs.join(own, ["doc", "line"]).join(to, ["to_doc", "to_line"])
@@ -419,8 +424,12 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc, line, to_doc, to_line)``: each line that goes and an earlier line that it matches; ``doc`` as in :func:`order_of`."""
-    ours = docs.select(order_of(F.col(doc_id)).alias("doc"), F.col(text).alias("text"))
-    marked = written(_marked(ours, _rarity(ours)))
+    return matches(docs.select(order_of(F.col(doc_id)).alias("doc"), F.col(text).alias("text")), MIN_WORDS, Lines)
+
+
+def matches(ours: DataFrame, least: int, unit: type[Lines]) -> DataFrame:
+    """As :func:`repeats`, of ``(doc, text)``: the sets are what ``unit`` makes of a text, those of ``least`` members or more."""
+    marked = written(_marked(ours, _rarity(ours, unit), least, unit))
     equal = Window.partitionBy("set_a", "set_b").orderBy("doc", "line")
     firsts = marked.where("prefix is not null").withColumns({"first": F.first(F.struct("doc", "line")).over(equal), "number": F.row_number().over(equal)})
     known = marked.where("prefix is null").select("doc", "line", F.col("first_doc").alias("to_doc"), F.col("first_line").alias("to_line"))
@@ -428,13 +437,13 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     leaders = firsts.where("number = 1").select("doc", "line", "size", "low", "high", "prefix")
     best = F.min(F.struct("slack", "to_doc", "to_line")).alias("to")
     pairs = kept(_found(_exploded(leaders)).groupBy("doc", "line").agg(best).select("doc", "line", "to.to_doc", "to.to_line"))
-    near = kept(_verified(ours, pairs))
+    near = kept(_verified(ours, pairs, least, unit))
     gone = known.union(same).union(near)
     untried = kept(pairs.join(near.select("doc", "line"), ["doc", "line"], "left_anti"))
     if not untried.isEmpty():
         rest = _found(_asked(marked, _bit_table(untried.select(_place().alias("place")))), every=True).drop("slack").distinct()
         more = kept(rest.join(pairs, ["doc", "line", "to_doc", "to_line"], "left_anti"))
-        gone = gone.union(_verified(ours, more))
+        gone = gone.union(_verified(ours, more, least, unit))
     return gone
 
 
