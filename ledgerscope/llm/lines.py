@@ -13,7 +13,8 @@ of a passage give no square of rows; of these the nearest is verified. Lines for
 round. A word shared by more than ``CELL`` lines is dealt into cells of two blocks each, so
 no task holds an unbounded group. Words are told apart by 64-bit hashes.
 
-Lines of fewer than five words are kept: they are no evidence of copying. Null texts have no lines and stay
+Lines of fewer than ``least`` different words are kept: by default those of fewer than five; with 1 only lines without words. Sets of
+up to three words only match equal ones and need no words to be found by; one of four also matches one of five. Null texts have no lines and stay
 null. A null doc_id comes last. Rows with the same doc_id are one document: equal places in them do not remove each
 other, but a place removed in one is removed in all.
 """
@@ -182,7 +183,7 @@ def _marked(docs: DataFrame, rarity: np.ndarray, least: int, unit: type[Lines])
             # 128 word classes: bit 6 of a word says which half has its class.
             bit, high = np.uint64(1) << (words & np.uint64(63)), words >> np.uint64(6) & np.uint64(1) == 1
             parity = [np.bitwise_xor.reduceat(np.where(high == half, bit, np.uint64(0)), starts) for half in (False, True)]
-            width = sizes - -(-4 * sizes // 5) + 1
+            width = np.where(sizes > 3, sizes - -(-4 * sizes // 5) + 1, 0)  # sets of up to three words only match equal ones
             names = np.ascontiguousarray(np.stack(sums, axis=1)).view("V16").ravel().tolist()
             order = np.lexsort((place, doc))
             first = [None] * len(line)
@@ -422,9 +423,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, least: int, unit: type[Lines])
     return both.where(9 * common >= 4 * (F.size("words") + F.size("to_words"))).select("doc", "line", "to_doc", "to_line")
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """``(doc, line, to_doc, to_line)``: each line that goes and an earlier line that it matches; ``doc`` as in :func:`order_of`."""
-    return matches(docs.select(order_of(F.col(doc_id)).alias("doc"), F.col(text).alias("text")), MIN_WORDS, Lines)
+    return matches(docs.select(order_of(F.col(doc_id)).alias("doc"), F.col(text).alias("text")), least, Lines)
 
 
 def matches(ours: DataFrame, least: int, unit: type[Lines]) -> DataFrame:
@@ -447,14 +448,14 @@ def matches(ours: DataFrame, least: int, unit: type[Lines]) -> DataFrame:
     return gone
 
 
-def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """``(doc, removed)``: the places of the lines that go, in order, for each document that loses any."""
-    return repeats(docs, doc_id, text).groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    return repeats(docs, doc_id, text, least).groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated lines taken out of the texts."""
-    gone = removed(docs, doc_id, text).select(F.col("doc").alias("gone doc"), F.col("removed").alias("gone lines"))
+    gone = removed(docs, doc_id, text, least).select(F.col("doc").alias("gone doc"), F.col("removed").alias("gone lines"))
     joined = docs.join(gone, order_of(docs[doc_id]) == gone["gone doc"], "left")
     lines = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains("gone lines", i))
     return joined.withColumn(text, F.when(F.col("gone lines").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))).select(docs.columns)

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerscope.llm import lines
+from ledgerscope.llm.queries import QUERIES
 
 
 def expected_of(rows):
@@ -45,6 +46,14 @@ def test_equals_brute_force(spark):
         assert found(spark, rows) == expected_of(rows)
 
 
+def test_short_lines(spark, tmp_path):
+    """Lines of any number of words in the query: equal ones, and four words against five."""
+    rows = [(1, "Les.\na b c\n\na b c d\nx x x x x x"), (2, "les.\nb c\n \na b c d e\nX"), (3, "c b a\nLes. Les.\na b c f\nb a\nd c b a\nb"), (4, "b c x")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["removed"] for r in QUERIES["op10_line_join"].build(spark, str(tmp_path)).collect()}
+    assert found == {1: [], 2: [0, 3, 4], 3: [0, 1, 4], 4: []}
+
+
 def test_crowded_words_in_cells(spark, monkeypatch):
     monkeypatch.setattr(lines, "CELL", 6)
     rows = made(3)
