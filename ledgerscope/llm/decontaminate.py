@@ -7,7 +7,9 @@ of fixed size over the benchmark's hashes goes to the tasks first, so that only
 a large benchmark fills it, more rows go to the join and the result stays the same.
 
 A document holds an item if, within a stretch of about the item's length, 0.8 of the item's windows
-match and the slots are consistent: each value of the item stands for one value in the document throughout.
+match and the slots are consistent: each value of the item stands for one value in the document throughout. Matches are
+judged along an alignment, the distance between a place in the document and its place in the item: of matches of the
+same window only the one nearest to it counts, so windows that an item holds twice do not meet crosswise.
 
 Null and empty texts hold nothing; items without such a window match nothing. Repeated rows
 are found once. Extra columns are ignored by :func:`leaks` and kept by :func:`clean`. Documents are told apart by
@@ -186,12 +188,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     length, apart = F.col("item_windows") + WINDOW, F.col("at") - F.col("item_at")
     grids = F.array(*(F.struct(F.lit(i).alias("grid"), F.floor((apart + shift) / length).alias("cell")) for i, shift in enumerate((F.lit(0), length / 2))))
     pairs = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))
-    placed = met.select("doc_id", "text_hash", "item_id", "item_at", "item_windows", pairs.alias("pairs"), F.explode(grids).alias("stretch"))
-    found = (
-        placed.groupBy("doc_id", "text_hash", "item_id", "item_windows", "stretch")
-        .agg(F.countDistinct("item_at").alias("matched"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-        .withColumn("coverage", F.col("matched") / F.col("item_windows"))
+    placed = met.select("doc_id", "text_hash", "item_id", "item_at", "item_windows", apart.alias("apart"), pairs.alias("pairs"), F.explode(grids).alias("stretch"))
+    cell = ["doc_id", "text_hash", "item_id", "item_windows", "stretch"]
+    full = (
+        placed.groupBy(*cell)
+        .agg(F.collect_set(F.struct("item_at", "apart", "pairs")).alias("matches"))
+        .withColumn("coverage", F.size(F.array_distinct("matches.item_at")) / F.col("item_windows"))
         .where(f"coverage >= {COVERAGE}")
+    )
+    # Each distance in the cell is tried as the alignment: of an item's window the match nearest to it counts, others are strays.
+    tried = full.withColumn("along", F.explode(F.array_distinct("matches.apart"))).withColumn("match", F.explode("matches"))
+    nearest = F.min(F.struct(F.abs(F.col("match.apart") - F.col("along")).alias("off"), F.col("match.apart").alias("apart"), F.col("match.pairs").alias("pairs")))
+    chosen = tried.groupBy(*cell, "coverage", "along", "match.item_at").agg(nearest.alias("match"))
+    found = (
+        chosen.groupBy(*cell, "coverage", "along")
+        .agg(F.array_distinct(F.flatten(F.collect_list("match.pairs"))).alias("pairs"))
         .where(F.size(F.array_distinct("pairs.item")) == F.size("pairs"))
     )
     changed = F.size(F.filter("pairs", lambda pair: pair["item"] != pair["doc"]))

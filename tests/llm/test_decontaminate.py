@@ -19,6 +19,16 @@ def test_templates(spark):
     assert 3 not in found  # Ann Lee stands for Tom Smith once, Bob the other time
 
 
+def test_repeated_windows(spark):
+    item = "The left jar holds 3 red balls and the right jar holds 5 red balls. How many balls are there?"
+    other = item.replace("3", "8").replace("5", "4")
+    stray = "First the old jar holds 7 red balls. "
+    docs = spark.createDataFrame([(1, item), (2, "So: " + other), (3, stray + item), (4, item + " " + stray), (5, "no")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r["doc_id"]: (r["coverage"], r["changed"]) for r in decontaminate.leaks(docs, items).collect()}
+    assert {doc: found[doc] for doc in (1, 2, 3, 4)} == {1: (1, 0), 2: (1, 2), 3: (1, 0), 4: (1, 0)} and 5 not in found
+
+
 def test_words_alone_are_no_template(spark):
     docs, items = tables(spark, [(1, "Tom 3 Paris 5 kg Smith 7 " * 30), (2, "1 2 3 4 5 6 7 8 9"), (3, "and buys more apples from a shop near a house that many have")])
     assert decontaminate.leaks(docs, items).count() == 0
