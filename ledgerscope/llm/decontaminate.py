@@ -11,7 +11,12 @@ match and the slots are consistent: each value of the item stands for one value
 judged along an alignment, the distance between a place in the document and its place in the item: of matches of the
 same window only the one nearest to it counts, so windows that an item holds twice do not meet crosswise.
 
-Null and empty texts hold nothing; items without such a window match nothing. Repeated rows
+Windows are made twice: with names as placeholders, and with names as lower-cased words, so that a copy in other letter
+case is found as well. An item without any window is found by its words and numbers as they are, in any letter case, as
+one run of tokens; so an item of one word is found wherever that word stands. In scripts that are written without blanks each
+character is a token.
+
+Null and empty texts hold nothing; items without a letter or digit match nothing. Repeated rows
 are found once. Extra columns are ignored by :func:`leaks` and kept by :func:`clean`. Documents are told apart by
 doc_id and text, so null or repeated ids are no trouble.
 """
@@ -43,6 +48,8 @@ UNITS = set(
 )
 NUMBER = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*")
 BREAK = "\x00"
+# Chinese characters, kana, Thai, Lao, Burmese, Khmer: written without blanks.
+BLANKLESS = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
 LITERAL, NUMERIC, UNIT, MEASURE, NAME, NOTHING = range(6)
 
 
@@ -77,6 +84,11 @@ def _token(raw: str) -> tuple[str, int, bool, bool]:
     return core, LITERAL, core[0].isupper() and core[1:].islower(), ends
 
 
+def _raws(text: str | None) -> list[str]:
+    text = (text or "").replace("\n", " \x00 ")
+    return (text if text.isascii() else BLANKLESS.sub(r" \1 ", text)).split()
+
+
 class Canonical:
     """Canonical tokens of many texts at once; what is known of a raw token is kept, at most ``KEPT_TOKENS`` and one chunk's."""
 
@@ -86,11 +98,11 @@ class Canonical:
     def _forget(self) -> None:
         self.number = {BREAK: 0}
         self.cores = [""]
-        self.table = np.array([(0, NOTHING, 0, 1)], "u8,u1,u1,u1")
+        self.table = np.array([(0, NOTHING, 0, 1, 0)], "u8,u1,u1,u1,u8")
 
-    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-        """For each token: hash, kind and text number, and what :meth:`core` needs. A name run is one token."""
-        split = [(text or "").replace("\n", " \x00 ").split() for text in texts]
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the raw tokens, and the text of each."""
+        split = [_raws(text) for text in texts]
         if len(self.number) > KEPT_TOKENS:
             self._forget()
         new = list(set().union(*split) - self.number.keys())
@@ -98,13 +110,21 @@ class Canonical:
             known = [_token(raw) for raw in new]
             self.number.update(zip(new, range(len(self.cores), len(self.cores) + len(new))))
             self.cores += [core for core, *_ in known]
-            rows = [(MARKS.get(kind) if kind else _digest(core.lower()), kind, name, ends) for core, kind, name, ends in known]
+            rows = [(MARKS.get(kind) if kind else _digest(core.lower()), kind, name, ends, _digest(core.lower())) for core, kind, name, ends in known]
             self.table = np.r_[self.table, np.array(rows, self.table.dtype)]
         codes = np.fromiter((c for raws in split for c in (0, *map(self.number.__getitem__, raws))), np.int64)  # each text starts after a break
-        owner = np.repeat(np.arange(len(texts)), [len(raws) + 1 for raws in split])
+        return codes, np.repeat(np.arange(len(texts)), [len(raws) + 1 for raws in split])
+
+    def values(self, codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each token its lower-cased value's hash, and its text."""
+        real = self.table["f1"][codes] != NOTHING
+        return self.table["f4"][codes[real]], owner[real]
+
+    def tokens(self, codes: np.ndarray, owner: np.ndarray, names: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+        """For each token: hash, kind and text number, and what :meth:`core` needs. A name run is one token, or with ``names`` off words."""
         hashes, kind, named, ends = (self.table[f"f{i}"][codes] for i in range(4))
         name = np.zeros(len(codes), bool)
-        name[1:] = named[1:].astype(bool) & ~ends[:-1].astype(bool)
+        name[1:] = named[1:].astype(bool) & ~ends[:-1].astype(bool) & names
         hashes, kind = np.where(name, np.uint64(MARKS[NAME]), hashes), np.where(name, NAME, kind)
         real = kind != NOTHING
         codes, owner, hashes, kind, name = codes[real], owner[real], hashes[real], kind[real], name[real]
@@ -135,10 +155,26 @@ def _windows(hashes: np.ndarray, kind: np.ndarray, owner: np.ndarray) -> tuple[n
     return at, mixed[at]
 
 
-def _window_rows(texts: DataFrame, table: np.ndarray | None) -> DataFrame:
-    """``(key columns, hash, at, windows, slots)`` of the windows that the bit table may hold, or of all windows.
+def _whole(hashes: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places where ``length`` tokens start that lie in one text, and the hash of them."""
+    count = len(hashes) - length + 1
+    at = np.flatnonzero(owner[:count] == owner[length - 1 :]) if count > 0 else np.zeros(0, np.int64)
+    mixed = np.full(len(at), length, np.uint64)
+    for j in range(length):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + hashes[at + j]
+        mixed ^= mixed >> np.uint64(29)
+    return at, mixed
+
+
+NAMES, CASELESS, WHOLE = range(3)  # how a row's hash was made
+SALTS = [np.uint64(0), np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)]
+
 
-    ``texts`` has the text last. ``windows``: how many the text has; ``slots``: kind and value of the placeholders.
+def _window_rows(texts: DataFrame, table: np.ndarray | None, lengths: list[int] | None = None) -> DataFrame:
+    """``(key columns, hash, at, windows, way, length, slots)`` of the windows that the bit table may hold, or of all windows.
+
+    ``texts`` has the text last. ``windows``: how many the text has; ``way``: with names, without, or a whole item of ``length`` tokens;
+    ``slots``: kind and value of the placeholders. Without ``lengths`` texts are items: those that have no window give a row for the whole.
     """
     *names, _ = texts.columns
     sent = texts.sparkSession.sparkContext.broadcast(table)
@@ -146,24 +182,39 @@ def _window_rows(texts: DataFrame, table: np.ndarray | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical = Canonical()
         bits = sent.value
-        for chunk in text_chunks(batches, texts_name):
-            hashes, kind, owner, runs = canonical.tokens(chunk.column(len(names)).to_pylist())
-            at, mixed = _windows(hashes, kind, owner)
-            total = np.bincount(owner[at], minlength=chunk.num_rows)
+
+        def rows(chunk, way, at, mixed, text, total, length, slots_of) -> pa.RecordBatch:
+            mixed = mixed ^ SALTS[way]
             if bits is not None:
                 place = mixed >> np.uint64(64 - BITS)
                 hit = bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1
-                at, mixed = at[hit], mixed[hit]
-            first = np.searchsorted(owner, np.arange(chunk.num_rows))
-            text = owner[at]
-            slots = [[f"{kind[i]}:{canonical.core(runs, i)}" for i in range(a, a + WINDOW) if kind[i]] for a in at.tolist()]
+                at, mixed, text = at[hit], mixed[hit], text[hit]
             out = {name: chunk.column(i).take(pa.array(text)) for i, name in enumerate(names)}
+            first = np.searchsorted(slots_of[0], np.arange(chunk.num_rows))
             out |= {"hash": mixed.view(np.int64), "at": (at - first[text]).astype(np.int64), "windows": total[text].astype(np.int64)}
-            yield pa.RecordBatch.from_pydict({**out, "slots": pa.array(slots, pa.list_(pa.string()))})
+            out |= {"way": np.full(len(at), way, np.int32), "length": np.full(len(at), length, np.int32)}
+            return pa.RecordBatch.from_pydict({**out, "slots": pa.array([slots_of[1](a) for a in at.tolist()], pa.list_(pa.string()))})
+
+        for chunk in text_chunks(batches, texts_name):
+            codes, of = canonical.read(chunk.column(len(names)).to_pylist())
+            for way in (NAMES, CASELESS):
+                hashes, kind, owner, runs = canonical.tokens(codes, of, way == NAMES)
+                at, mixed = _windows(hashes, kind, owner)
+                total = np.bincount(owner[at], minlength=chunk.num_rows)
+                slots = lambda a: [f"{kind[i]}:{canonical.core(runs, i)}" for i in range(a, a + WINDOW) if kind[i]]  # noqa: E731, B023
+                yield rows(chunk, way, at, mixed, owner[at], total, 0, (owner, slots))
+            hashes, owner = canonical.values(codes, of)
+            sizes, one = np.bincount(owner, minlength=chunk.num_rows), np.ones(chunk.num_rows, np.int64)
+            for length in np.unique(sizes[(total == 0) & (sizes > 0)]).tolist() if lengths is None else lengths:
+                at, mixed = _whole(hashes, owner, length)
+                if lengths is None:
+                    own = (sizes[owner[at]] == length) & (total[owner[at]] == 0)
+                    at, mixed = at[own], mixed[own]
+                yield rows(chunk, WHOLE, at, mixed, owner[at], one, length, (owner, lambda a: []))
 
     texts_name = texts.columns[-1]
     kinds = ", ".join(f"`{name}` {texts.schema[name].dataType.simpleString()}" for name in names)
-    return mapped(texts, run, f"{kinds}, hash long, at long, windows long, slots array<string>")
+    return mapped(texts, run, f"{kinds}, hash long, at long, windows long, way int, length int, slots array<string>")
 
 
 def _bit_table(hashes: DataFrame) -> np.ndarray:
@@ -180,16 +231,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     ``coverage``: the best share of the item's windows in one stretch; ``changed``: how many of its slot values differ there.
     """
     items = _window_rows(benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")), None)
-    ours = items.select("hash", "item_id", F.col("at").alias("item_at"), F.col("windows").alias("item_windows"), F.col("slots").alias("item_slots"))
+    ours = items.select("hash", "way", "item_id", F.col("at").alias("item_at"), F.col("windows").alias("item_windows"), F.col("slots").alias("item_slots"))
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    rows = _window_rows(keyed, _bit_table(items)).drop("windows")
-    met = rows.join(ours, "hash")
+    lengths = [row["length"] for row in items.where(F.col("way") == WHOLE).select("length").distinct().orderBy("length").collect()]
+    rows = _window_rows(keyed, _bit_table(items), lengths).drop("windows", "length")
+    met = rows.join(ours, ["hash", "way"])
     # Matches of one stretch have nearby distances; of two grids of item lengths one holds them together.
     length, apart = F.col("item_windows") + WINDOW, F.col("at") - F.col("item_at")
     grids = F.array(*(F.struct(F.lit(i).alias("grid"), F.floor((apart + shift) / length).alias("cell")) for i, shift in enumerate((F.lit(0), length / 2))))
     pairs = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))
-    placed = met.select("doc_id", "text_hash", "item_id", "item_at", "item_windows", apart.alias("apart"), pairs.alias("pairs"), F.explode(grids).alias("stretch"))
-    cell = ["doc_id", "text_hash", "item_id", "item_windows", "stretch"]
+    placed = met.select("doc_id", "text_hash", "item_id", "way", "item_at", "item_windows", apart.alias("apart"), pairs.alias("pairs"), F.explode(grids).alias("stretch"))
+    cell = ["doc_id", "text_hash", "item_id", "way", "item_windows", "stretch"]
     full = (
         placed.groupBy(*cell)
         .agg(F.collect_set(F.struct("item_at", "apart", "pairs")).alias("matches"))

@@ -29,6 +29,15 @@ def test_repeated_windows(spark):
     assert {doc: found[doc] for doc in (1, 2, 3, 4)} == {1: (1, 0), 2: (1, 2), 3: (1, 0), 4: (1, 0)} and 5 not in found
 
 
+def test_letter_case_and_short_items(spark):
+    items = [(1, ITEM), (2, "What is 7*8?"), (3, "小明有3个苹果,又买了5个,现在一共有几个苹果?"), (4, "ราคา 5"), (5, "Tom 3 5 Paris 5 7 Smith"), (6, "?!")]
+    texts = [ITEM.lower(), ITEM.upper(), "so WHAT is\n7*8 then", "what is 7*9", "题目:" + items[2][1] + "请回答", "他有3个苹果", "xราคา 5", "said tom 3 5 paris 5 7 smith x", "tom 4 5 paris 5 7 smith"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, table).collect()}
+    assert found == {(0, 1), (1, 1), (2, 2), (4, 3), (6, 4), (7, 5)}
+
+
 def test_words_alone_are_no_template(spark):
     docs, items = tables(spark, [(1, "Tom 3 Paris 5 kg Smith 7 " * 30), (2, "1 2 3 4 5 6 7 8 9"), (3, "and buys more apples from a shop near a house that many have")])
     assert decontaminate.leaks(docs, items).count() == 0
