@@ -9,8 +9,8 @@ more coordinate that brings all vectors to the longest one's length. Every query
 shard, and the shards' results are merged with exact scores.
 
 Vectors that are null, zero, of another length than most, or hold null or not finite
-components take no part. Repeated rows are points of their own; a query never finds its own row's
-id. Ties go to the smaller id. Fewer candidates than asked for give all of them. An empty table
+components take no part. Graphs hold distinct vectors; each stands for its rows, of which the ``count`` smallest ids other than the
+query's are given. Repeated rows are rows of their own; a query never finds its own row's id. Ties go to the smaller id. Fewer candidates than asked for give all of them. An empty table
 gives no rows. Other columns are ignored.
 """
 
@@ -173,26 +173,57 @@ class Graph:
 
 
 class Shard:
-    """The graph of one shard's vectors, and exact scores of what it finds."""
+    """The graph of one shard's distinct vectors, and exact scores of what it finds. Each vector stands for all rows that have it."""
 
     def __init__(self, names: np.ndarray, points: np.ndarray, most: float):
         order = np.argsort(names, kind="stable")
-        self.names, self.points, self.most = names[order], points[order], most
+        names, points = names[order], points[order] + 0.0  # -0.0 becomes 0.0
+        _, first, group = np.unique(points.view(f"V{points.itemsize * points.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        turn = np.argsort(first)  # by the least id of each
+        rank = np.empty(len(turn), np.int64)
+        rank[turn] = np.arange(len(turn))
+        group = rank[group]
+        self.points, self.most = points[first[turn]], most
+        rows = np.argsort(group, kind="stable")  # ids ascend within a group
+        self.names, group = names[rows], group[rows]
+        self.ends = np.searchsorted(group, np.arange(len(turn) + 1))
+        self.known, code = np.unique(self.names, return_inverse=True)
+        self.keys = group * (len(self.known) + 1) + code
+        # Vectors that only rows of one id have: these give nothing to a query of that id.
+        alone = code[self.ends[:-1]] == code[self.ends[1:] - 1]
+        self.alone = np.bincount(code[self.ends[:-1]][alone], minlength=len(self.known) + 1)
         rest = np.sqrt(np.maximum(most - (self.points**2).sum(axis=1), 0))
-        mixed = (np.arange(len(names), dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (np.arange(len(turn), dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
         uniform = ((mixed >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
         self.graph = Graph(np.c_[self.points, rest].astype(np.float32), (-np.log(uniform) / np.log(LINKS)).astype(np.int64))
 
-    def answer(self, ids: np.ndarray, queries: np.ndarray, count: int, beam: int) -> pa.RecordBatch:
+    def answer(self, ids: np.ndarray, queries: np.ndarray, count: int, beam: int) -> Iterator[pa.RecordBatch]:
+        """The best ``count`` rows found for each query; more vectors are looked for where the query's own id has many."""
+        code = np.searchsorted(self.known, ids)
+        code[self.known[np.minimum(code, len(self.known) - 1)] != ids] = len(self.known)
+        spare = np.maximum(self.alone[code], 1)
+        for more in np.unique(spare).tolist():
+            own = spare == more
+            yield self._answer(ids[own], code[own], queries[own], count, min(count + more, len(self.points)), beam)
+
+    def _answer(self, ids: np.ndarray, code: np.ndarray, queries: np.ndarray, count: int, vectors: int, beam: int) -> pa.RecordBatch:
         length = np.sqrt(self.most / (queries**2).sum(axis=1, keepdims=True))  # the scale of a query does not change its order
-        found = self.graph.nearest(np.c_[queries * length, np.zeros(len(queries))].astype(np.float32), count + 1, beam)
+        found = self.graph.nearest(np.c_[queries * length, np.zeros(len(queries))].astype(np.float32), vectors, beam)
         rows, columns = np.nonzero(found >= 0)
         place = found[rows, columns]
-        other = self.names[place] != ids[rows]
-        rows, place = rows[other], place[other]
         score = (queries[rows] * self.points[place]).sum(axis=1)
-        return pa.RecordBatch.from_pydict({"query_id": ids[rows], "vec_id": self.names[place], "score": score})
+        # Each vector's least ids; those of the query's own id, which lie side by side, are stepped over.
+        key = place * (len(self.known) + 1) + code[rows]
+        left, right = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, "right")
+        at = self.ends[place][:, None] + np.arange(count)
+        at += np.where(at >= left[:, None], (right - left)[:, None], 0)
+        pair, column = np.nonzero(at < self.ends[place + 1][:, None])
+        rows, score, names = rows[pair], score[pair], self.names[at[pair, column]]
+        order = np.lexsort((names, -score, rows))
+        rows, score, names = rows[order], score[order], names[order]
+        best = np.arange(len(rows)) - np.searchsorted(rows, rows) < count
+        return pa.RecordBatch.from_pydict({"query_id": ids[rows[best]], "vec_id": names[best], "score": score[best]})
 
 
 def usable(vector: Column) -> Column:
@@ -237,7 +268,7 @@ def neighbours(vectors: DataFrame, is_query: Column, count: int, id_column: str
                 elif parts:
                     graph = graph or Shard(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), most)
                     for at in range(0, len(ids), BATCH):
-                        yield graph.answer(ids[at : at + BATCH], own[at : at + BATCH], count, beam)
+                        yield from graph.answer(ids[at : at + BATCH], own[at : at + BATCH], count, beam)
 
     dealt = both.select("shard", "asks", "vec_id", "vector").repartition(shards, "shard").sortWithinPartitions("shard", "asks")
     found = mapped(dealt, run, "query_id long, vec_id long, score double")

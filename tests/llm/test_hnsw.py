@@ -45,6 +45,21 @@ def test_equal_vectors(spark):
     assert all(len(near) == 3 for near in found.values())
 
 
+def test_equal_vectors_by_smallest_id(spark):
+    """Groups larger than a result, and more rows of the query's own id than that."""
+    near = [[2.0, 1.0], [2.0, 0.5], [1.0, 2.0]]
+    rows = [(i * 7 % 400 + 1000, near[i % 3] if i % 2 else [-1.0, float(i)], 1) for i in range(400)]
+    rows += [(20, near[0], 1)] * 30 + [(20, [1.9, 0.9 + j / 1000], 1) for j in range(30)] + [(40, near[1], 1), (60, near[2], 1)]
+    others = {20: [(i, v) for i, v, _ in rows if i != 20], 40: [(i, v) for i, v, _ in rows if i != 40], 60: [(i, v) for i, v, _ in rows if i != 60]}
+    for shard in (1000, 150):
+        found = search(spark, [r for r in rows if r[0] % 20 or r[0] < 100], 5, shard=shard)
+        for query, vector in ((40, near[1]), (60, near[2])):
+            scored = [(i, float(np.dot(np.array(vector, np.float32).astype(float), np.array(v, np.float32).astype(float)))) for i, v in others[query] if i % 20 or i < 100]
+            best = sorted(scored, key=lambda s: (-s[1], s[0]))[:5]
+            assert [i for i, _ in found[query]] == [i for i, _ in best]
+        assert len(found[20]) == 5 and all(i != 20 for i, _ in found[20])
+
+
 def test_empty_tables(spark):
     assert search(spark, []) == {}
     assert search(spark, [(1, [0.0], 1)]) == {}
