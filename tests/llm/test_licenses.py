@@ -1,4 +1,5 @@
 import random
+import re
 from itertools import combinations
 
 from ledgerscope.llm import licenses
@@ -69,6 +70,32 @@ def test_odd_documents(odd_documents, no_documents):
     assert (row["doc_id"], row["license"], row["start"], row["stop"], row["ids"]) == (3, "MIT", 0, 30, "x")
 
 
+def test_whole_licenses():
+    """Every whole text is found as itself, from its beginning to its end."""
+    whole = licenses.whole_texts()
+    scanner = Scanner(tuple(TEMPLATES + whole), 0.8)
+    for name, text in TEMPLATES[-4:] + whole:
+        (found,) = [f for f in scanner.scan("foo " + text + " bar") if f[0] == name]
+        assert found[4] == 1 and found[2] - found[1] > 0.98 * len(text.strip()) - 4
+    names = [f[0] for f in scanner.scan("Copyright (c) 2020 Bo. All rights reserved. " + dict(TEMPLATES)["AGPL-3.0-or-later"] + " " + dict(TEMPLATES)["GPL-2.0-or-later"])]
+    assert names == ["Copyright-notice", "All-rights-reserved", "AGPL-3.0-or-later", "GPL-2.0-or-later"]
+
+
+def test_every_license_line(spark):
+    """Each line of the documents that names a license or a right is in some find."""
+    folder = "/root/testdata/sf0.01"
+    found = {}
+    for r in QUERIES["op1_patience_licenses"].build(spark, folder).collect():
+        found.setdefault(r["doc_id"], []).append((r["start"], r["stop"]))
+    lines = 0
+    for doc in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        text = doc["text"].lower()
+        for line in re.finditer(r"[^\n]*\b(?:licen[sc]ed?|rights reserved|copyright)\b[^\n]*", text):
+            lines += 1
+            assert any(a >= line.start() and b <= line.end() for a, b in found.get(doc["doc_id"], [])), line[0]
+    assert lines > 40
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.01"
     found = {(r["doc_id"], r["license"]) for r in QUERIES["op1_patience_licenses"].build(spark, folder).collect()}
