@@ -9,8 +9,8 @@ values have equal ones in every document. Values that are not valid stay as they
 | --- | --- | --- |
 | email | the pattern | letters and digits of the local part, each in its class |
 | card | 13 to 19 digits with a right check digit | digits; the check digit is computed anew |
-| iban | the remainder of 97 is 1 | digits of the account part; the check digits are computed anew |
-| phone | the pattern | the digits after the country code |
+| iban | the country's length, and the remainder of 97 is 1 | digits of the account part; the check digits are computed anew |
+| phone | the pattern, up to the plan's length where it is fixed | the digits after the country code |
 | ssn | area 001-899 but 666, group and serial not 0 | all such numbers |
 | ip | four numbers up to 255 | all addresses |
 | date | a day from 1904 to 2099; y-m-d, m/d/y, d/m/y or d.m.y | such days; d/m/y with a day over 12 among those |
@@ -33,15 +33,42 @@ LATE_DAYS = 1461 - 48 * 12  # days of a cycle after the 12th of a month
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+# The registered length of an IBAN by country, and the digits after the country code where a plan has one number of them.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+PHONE_DIGITS = {8: "45 47 65 852 853", 9: "31 33 34 41 48 61 351 420", 10: "7 52 57 90 91"}
+
+
+def _ibans() -> str:
+    tails = {n: rf"(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n in IBAN_LENGTHS}
+    known = [rf"(?:{'|'.join(codes.split())})\d{{2}}{tails[n]}" for n, codes in IBAN_LENGTHS.items()]
+    every = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+    other = rf"(?!{every})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
+    return rf"(?=[A-Z]{{2}}\d{{2}})(?:{'|'.join([*known, other])})"
+
+
+def _phones() -> str:
+    """By the length of the plan; else groups joined by hyphens or by dots, to which nothing after a blank belongs; else all groups."""
+    planned = "|".join(rf"\+(?:{'|'.join(codes.split())})(?:[ .-]?\(?\d\)?){{{n}}}" for n, codes in PHONE_DIGITS.items())
+    planned = rf"\+1[ .-]?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{4}}|{planned}"
+    start = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}"
+    joined = "|".join(rf"{start}(?:{mark}\d{{2,4}}){{2,4}}" for mark in ("-", r"\."))
+    return rf"(?=\+)(?:{planned}|{joined}|{start}(?:[ .-]?\d{{2,4}}){{1,4}})|\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}"
+
+
 SHAPES = {
-    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "iban": _ibans(),
     "date": r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
     "ip": rf"(?<!\d\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\.\d)",
     "card": r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5}".replace("([ -])", "[ -]").replace(r"\1", "[ -]").replace(r"\2", "[ -]"),
-    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}",
+    "phone": _phones(),
 }
-PATTERN = f"{EMAIL}|(?<![A-Za-z0-9])(?:{'|'.join(f'(?:{shape})' for shape in SHAPES.values())})(?![A-Za-z0-9])"
+STAMPED = r"\d{4}-\d{2}-\d{2}(?=[Tt]\d{2})"  # the day of a timestamp
+PATTERN = f"{EMAIL}|(?<![A-Za-z0-9])(?:{STAMPED}|(?:{'|'.join(f'(?:{shape})' for shape in SHAPES.values())})(?![A-Za-z0-9]))"
 
 
 def _keyed(key: str, tweak: str, turn: Column, half: Column) -> Column:

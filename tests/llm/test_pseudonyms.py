@@ -79,6 +79,22 @@ def test_links_and_keys(spark):
         shown(spark, ["x"], "")
 
 
+def test_neighbours_stay_apart(spark):
+    """Equal values before different neighbours: the value alone is hidden, in the same way."""
+    values = {
+        "AT611904300234573201": [" BIC GIBAATWW", " 2024", ".", " AB12 x"], "ES9121000418450200051332": [" 2024", " and"], "DE89 3704 0044 0532 0130 00": [" 12", " A"],
+        "+1 (293) 555-9179": [" 12", " 2024", ", x", ""], "+1 293.555.9179": [" 77", ""], "+33 1 23 45 67 89": [" 12", ""], "+49 30-1234-5678": [" 12", ""], "+44 20 7946-0958": ["", "."],
+        "2024-01-31": ["T10:00:00Z", "t10:00", " 10:00", ""],
+    }
+    texts = [f"x {value}{after}" for value, others in values.items() for after in others]
+    hidden = iter(shown(spark, texts))
+    for value, others in values.items():
+        new = {after: next(hidden) for after in others}
+        assert all(text.endswith(after) for after, text in new.items())
+        alone = {text[: len(text) - len(after)] for after, text in new.items()}
+        assert len(alone) == 1 and alone != {f"x {value}"}
+
+
 def test_invalid_values_stay(spark):
     texts = ["4111 1111 1111 1112", "2021-02-30", "1900-01-01", "13/13/2020", "000-12-3456", "666-12-3456", "300.1.1.1", "v1.2.3.4.5", "DE00 3704 0044 0532 0130 00", "x0641917ea4e9", "Version 2.0"]
     assert shown(spark, texts) == texts
