@@ -10,12 +10,13 @@ from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerscope.errors import AnalysisInputError
 from ledgerscope.functions.columns import quoted
+from ledgerscope.sources.text_files import write_pieces
 
 EVIDENCE_SCHEMA = "question string, name string, text string, number double"
 
@@ -111,3 +112,26 @@ def check_sections(evidence: DataFrame, judged: DataFrame, questions: Mapping[st
         .orderBy("number")
     )
 
+
+def check_document(sections: DataFrame, judged: DataFrame, dataset: str, generated: str) -> DataFrame:
+    """``(name, at, piece)``: the report of all checks as one file, from :func:`check_sections`.
+
+    The head states the passed and total counts. There is a section for each question, so their places are summed in one task. ``generated`` is
+    ``yyyy-MM-dd HH:mm:ss`` text.
+    """
+    counts = judged.agg(F.struct(F.count_if("passed").cast("string").alias("passed"), F.count("*").cast("string").alias("total"))).scalar()
+    head = F.concat(
+        F.lit(f"# Required Query Evaluation\n\n**Generated:** {generated}\n\n**Dataset:** `{dataset}`\n\n**Overall:** "),
+        counts.getField("passed"), F.lit("/"), counts.getField("total"), F.lit(" PASS\n\n---\n"),
+    )
+    top = sections.sparkSession.range(1).select(F.lit(0).alias("number"), head.alias("piece"))
+    pieces = top.union(sections.select("number", F.concat(F.lit("\n"), "section").alias("piece")))
+    order = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    stamp = generated.replace("-", "").replace(":", "").replace(" ", "_")
+    at = F.sum(F.octet_length("piece")).over(order) - F.octet_length("piece")
+    return pieces.select(F.lit(f"required_query_evaluation_{stamp}.md").alias("name"), at.cast("bigint").alias("at"), "piece")
+
+
+def write_check_report(sections: DataFrame, judged: DataFrame, path: str, dataset: str, generated: str) -> None:
+    """Writes the report of all checks into the folder ``path``."""
+    write_pieces(check_document(sections, judged, dataset, generated), path)

@@ -7,11 +7,13 @@ counting 1, 2, ... within a question.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.text import REPORT_SLUG_LENGTH, slug
+from ledgerscope.sources.text_files import write_pieces
 
+BAND = 65_536  # blocks of a report that are put in order together
 NO_STEPS = "No analytical tools were used.\n"
 EDGE_SPACE = r"^[\t-\r \x1c-\x1f\x85\p{Z}]+|[\t-\r \x1c-\x1f\x85\p{Z}]+$"
 
@@ -36,12 +38,12 @@ def rejected_questions(questions: DataFrame) -> DataFrame:
 
 
 def step_block(seq: Column, tool: Column, arguments: Column, status: Column, message: Column) -> Column:
-    """Text of one step; its status is an error or completed."""
+    """Text of one step; its status is an error or completed. A step without a number shows a dash."""
     outcome = F.when(
         status == "error", F.concat(F.lit("Error — "), F.coalesce(message, F.lit("Unknown error")))
     ).otherwise("Completed")
     return F.concat(
-        F.lit("### "), seq.cast("string"), F.lit(". `"), F.coalesce(tool, F.lit("unknown_tool")),
+        F.lit("### "), F.coalesce(seq.cast("string"), F.lit("–")), F.lit(". `"), F.coalesce(tool, F.lit("unknown_tool")),
         F.lit("`\n\n**Arguments**\n\n```text\n"), F.coalesce(arguments, F.lit("{}")),
         F.lit("\n```\n\n**Status:** "), outcome, F.lit("\n"),
     )
@@ -79,3 +81,30 @@ def write_reports(documents: DataFrame, path: str) -> None:
     ordered = documents.repartition("question_id").sortWithinPartitions("question_id", "filename", "seq")
     folder = F.concat_ws("_", F.col("question_id").cast("string"), "filename")
     ordered.select(folder.alias("report"), F.col("block").alias("value")).write.partitionBy("report").text(path)
+
+
+def report_pieces(documents: DataFrame) -> DataFrame:
+    """``(name, at, piece)``: the blocks of :func:`report_documents` with the file of their report and the byte where they start.
+
+    Blocks are put in order within bands of ``BAND`` numbers; a band starts after the bytes of the bands before
+    it, so a report of any length is spread over tasks. Of reports with the same file name the one of the smallest
+    question_id keeps it, the others get their id at its end. Blocks of equal number stand by their text, those without a number last.
+    """
+    names = documents.where("seq = 0").select("question_id", "filename")
+    firsts = names.groupBy("filename").agg(F.min("question_id").alias("first_id"))
+    own = F.concat(F.regexp_replace("filename", r"\.md$", "_"), F.col("question_id").cast("string"), F.lit(".md"))
+    files = names.join(firsts, "filename").select("question_id", F.when(F.col("question_id") == F.col("first_id"), F.col("filename")).otherwise(own).alias("name"))
+
+    band = F.coalesce(F.floor(F.col("seq") / BAND), F.lit((1 << 31) - 1)).cast("bigint")
+    sized = documents.select("question_id", "seq", F.coalesce("block", F.lit("")).alias("block"), band.alias("band"), F.octet_length(F.coalesce("block", F.lit(""))).cast("bigint").alias("size"))
+    totals = sized.groupBy("question_id", "band").agg(F.sum("size").alias("total"))
+    before = F.sum("total").over(Window.partitionBy("question_id").orderBy("band")) - F.col("total")
+    starts = totals.withColumn("start", before).join(files, "question_id").select("question_id", "band", "start", "name")  # a row for each band
+    within = Window.partitionBy("question_id", "band").orderBy(F.col("seq").asc_nulls_last(), "block").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sized.withColumn("within", F.sum("size").over(within) - F.col("size")).join(starts, ["question_id", "band"])
+    return placed.select("name", (F.col("start") + F.col("within")).alias("at"), F.col("block").alias("piece"))
+
+
+def write_report_files(documents: DataFrame, path: str, overwrite: bool = False) -> None:
+    """One ``.md`` file for each report in the folder ``path``; a failed task leaves none."""
+    write_pieces(report_pieces(documents), path, overwrite)
