@@ -3,7 +3,8 @@
 In each round every node joins the node of least random rank among itself and its
 neighbours, and edges are rewritten to those nodes; a fixed share of the nodes goes in each round
 whatever the shape. Only sums and minima by key are shuffled; each round is
-written to the checkpoint folder, so that lineage stays short and a lost executor costs one round.
+written to a table in the checkpoint folder, so that lineage stays short and a lost executor costs one round. (A checkpointed
+DataFrame would keep the conditions known of its columns; over the rounds they grow until planning takes minutes.)
 """
 
 from __future__ import annotations
@@ -11,23 +12,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import kept
+from ledgerscope.llm.common import written
 
 
 def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
     """``(node, component)`` for every node of an edge; ``component`` is some node of it, the same for all its nodes."""
     edge = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v")
-    edge = kept(edge.union(edge.select("v", "u")).distinct())
-    label = kept(edge.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+    edge = written(edge.union(edge.select("v", "u")).distinct())
+    label = written(edge.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
     turn = 0
     while not edge.isEmpty():
         turn += 1
         rank = lambda name: F.struct(F.xxhash64(F.col(name), F.lit(turn)).alias("rank"), F.col(name).alias("to"))  # noqa: E731, B023
         least = edge.groupBy("u").agg(F.min(rank("v")).alias("near"), F.min(rank("u")).alias("own"))
-        step = kept(least.select(F.col("u").alias("at"), F.least("near", "own")["to"].alias("to")))
-        label = kept(
+        step = written(least.select(F.col("u").alias("at"), F.least("near", "own")["to"].alias("to")))
+        label = written(
             label.join(step, label["component"] == step["at"], "left").select("node", F.coalesce("to", "component").alias("component"))
         )
         a, b = step.select(F.col("at").alias("u"), F.col("to").alias("x")), step.select(F.col("at").alias("v"), F.col("to").alias("y"))
-        edge = kept(edge.join(a, "u").join(b, "v").where("x <> y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct())
+        edge = written(edge.join(a, "u").join(b, "v").where("x <> y").select(F.col("x").alias("u"), F.col("y").alias("v")).distinct())
     return label

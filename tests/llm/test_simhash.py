@@ -83,3 +83,12 @@ def test_query_equals_brute_force(spark):
     pairs = [(a, b) for a in docs for b in docs if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
     expected = classes_of(pairs, docs)
     assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in rows} == {(d, f"{prints[d]:016x}", expected[d]) for d in docs}
+
+
+def test_components_of_a_long_path(spark):
+    """Many rounds; their plans must not grow from round to round."""
+    from ledgerscope.llm.components import components
+
+    edges = spark.range(3000).selectExpr("id as u", "id + 1 as v").where("u % 1000 <> 999")
+    label = components(edges)
+    assert label.groupBy("component").count().where("count = 1000").count() == 3
