@@ -10,10 +10,10 @@ hashed there. The differing bits are no more than the differing shingles, so the
 intersected as sorted arrays. Pairs that are connected already are passed over, and a tile gives a tree over what it
 connects, never its pairs.
 
-There are two rounds. In the first each set meets the others of one of its tiles only (the one of smallest hash, which near copies
-mostly share), so that large groups of copies are connected at the cost of one row each. In the second, tiles whose sets are
-not all connected yet are taken up; tiles over the same components are one. There signatures alone choose the
-sets that need their arrays sent. Nothing within the similarity is lost.
+First signatures alone say which sets may link; each tile gives a tree over these. What such trees connect is a group of candidates, and only
+its members get their shingles sent, once, to be intersected within the group. A group of more than ``BLOCK`` sets is cut into
+blocks that share one member; where that leaves it in parts, the tiles that still hold several parts are taken up
+once more, with pairs of blocks. So large groups of copies cost one row each. Nothing within the similarity is lost.
 
 A tile of more than ``BLOCK`` sets, or of more than ``HEAVY`` shingles, is dealt into cells of two blocks each, so no task holds an unbounded
 group. Shingles are told apart by 64-bit hashes, sets by 128 bits.
@@ -43,6 +43,8 @@ PERCENT = 80
 BLOCK = 1024
 HEAVY = 1 << 19
 CHUNK = 1 << 20
+SMALL = 50_000  # rows of a table of crowded tiles up to which it is broadcast
+KEYS = ["key_a", "key_b"]
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +128,7 @@ def _marked(docs: DataFrame, rarity: np.ndarray, width: int, percent: int, doc_i
     return mapped(rows, run, f"doc_id {kind}, key_a long, key_b long, size long, set_a long, set_b long, rarest array<long>, mark binary")
 
 
-def _tiles(nodes: DataFrame, percent: int) -> DataFrame:
+def _tiles(marked: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """``(tile, id, size)``: the nodes of each tile of two or more; a crowded shingle has a tile for each band of sizes."""
 
     def cut(columns: dict[str, np.ndarray], crowded: bool) -> pa.RecordBatch | None:
@@ -136,6 +138,8 @@ def _tiles(nodes: DataFrame, percent: int) -> DataFrame:
             band = size if percent == 100 else np.floor(np.log(size) / np.log(100 / percent) + 1e-9).astype(np.int64)
             tile = [_mixed(token.view(np.uint64) ^ _mixed((band + step).astype(np.uint64) + np.uint64(1 << 32))) for step in (0, 1)]
             return pa.RecordBatch.from_pydict({"tile": np.concatenate(tile).view(np.int64), "id": np.r_[ids, ids], "size": np.r_[size, size]})
+        twice = np.r_[False, (token[1:] == token[:-1]) & (ids[1:] == ids[:-1])]  # repeated rows
+        token, ids, size = token[~twice], ids[~twice], size[~twice]
         new = np.r_[True, (token[1:] != token[:-1]) | (100 * size[:-1] < percent * size[1:])]
         starts = np.flatnonzero(new)
         counts = np.diff(np.r_[starts, len(token)])
@@ -181,8 +185,8 @@ def _tiles(nodes: DataFrame, percent: int) -> DataFrame:
             held[name] = np.concatenate([held[name], *(part.column(name).to_numpy(zero_copy_only=False) for part in parts)])
         yield from flushed(True)
 
-    rows = nodes.select(F.explode("rarest").alias("token"), "id", "size")
-    dealt = rows.repartition("token").sortWithinPartitions("token", "size")
+    rows = marked.select(*KEYS, "rarest").join(nodes.select(*KEYS, "id", "size"), KEYS).select(F.explode("rarest").alias("token"), "id", "size")
+    dealt = rows.repartition("token").sortWithinPartitions("token", "size", "id")
     return mapped(dealt, run, "tile long, id long, size long").distinct()
 
 
@@ -261,6 +265,18 @@ def forest(ids, labels, sides, arrays: list[np.ndarray], percent: int) -> list[t
     return found
 
 
+def candidates(ids, sizes, labels, sides, marks: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A tree over the sets that may link, judged by their signatures, beyond what ``labels`` say is connected."""
+    cell = Cell(ids, sizes, labels, sides, marks)
+    found = []
+    for i in range(len(ids)):
+        for j in cell.passing(i, percent).tolist():
+            if cell.label[i] != cell.label[j]:
+                cell.join(i, j)
+                found.append((int(cell.ids[i]), int(cell.ids[j])))
+    return found
+
+
 def promising(ids, sizes, labels, sides, marks: list[np.ndarray], percent: int) -> np.ndarray:
     """Which sets may link with one that they are not connected with."""
     cell = Cell(ids, sizes, labels, sides, marks)
@@ -278,12 +294,19 @@ def promising(ids, sizes, labels, sides, marks: list[np.ndarray], percent: int)
 CELL = ["tile", "i", "j"]
 
 
-def _cells(rows: DataFrame, across: bool) -> DataFrame:
-    """``rows`` (tile, id, size, label) with their cells; tiles of one set go. A block stands alone with the tile's first set, or, ``across``, with every other block."""
-    stats = rows.groupBy("tile").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("id").alias("anchor")).where("n > 1")
+def _crowded(rows: DataFrame) -> DataFrame:
+    """Tiles of more than a block, with the number of their blocks; far fewer than rows."""
+    stats = rows.groupBy("tile").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("id").alias("anchor"))
     parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / HEAVY)).cast("int")
-    dealt = rows.join(stats.select("tile", "anchor", parts.alias("parts")), "tile").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    table = kept(stats.where((F.col("n") > BLOCK) | (F.col("total") > HEAVY)).select("tile", "anchor", parts.alias("parts")))
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
+def _cells(rows: DataFrame, across: bool) -> DataFrame:
+    """``rows`` (tile, id, size, label) with their cells. A block stands alone with the tile's first set, or, ``across``, with every other block."""
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = rows.join(_crowded(rows), "tile", "left").withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    every = F.sequence(F.lit(0), parts - 1)
     if across:
         dealt = dealt.withColumn("other", F.explode(every))
         cells = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"), "side": F.col("block") > F.col("other")})
@@ -342,6 +365,21 @@ def _linked(cells: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return _by_cell(cells.join(arrays, "id"), "words", solve, "u long, v long")
 
 
+def _may_link(cells: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """``(u, v)``: trees over the sets of each cell that may link."""
+
+    def solve(key, part: pa.Table) -> Iterator[pa.RecordBatch]:
+        if part.num_rows < 2:
+            return
+        bits = [np.frombuffer(mark, np.uint64) for mark in part.column("mark").to_pylist()]
+        found = candidates(_numbers(part, "id"), _numbers(part, "size"), _numbers(part, "label"), _numbers(part, "side"), bits, percent)
+        if found:
+            u, v = zip(*found)
+            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return _by_cell(cells.join(marks, "id"), "mark", solve, "u long, v long")
+
+
 def _chosen(cells: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """The rows of the cells that may link with one that they are not connected with."""
 
@@ -356,26 +394,32 @@ def _chosen(cells: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     return _by_cell(cells.join(marks, "id"), "mark", solve, "tile long, i int, j int, side boolean, id long, size long, label long")
 
 
-def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
-    known = label.select(F.col("node").alias("id"), F.col("component").alias("label"))
-    return rows.join(known, "id", "left").select("tile", "id", "size", F.coalesce("label", "id").alias("label"))
-
-
-def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
+def links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """``(u, v)``: links between the ids of ``nodes`` that connect whatever links connect."""
-    tiles = written(_tiles(nodes, percent))
-    wanted = tiles.select("id").distinct()
-    arrays = written(_arrays(docs, nodes.select("id", "key_a", "key_b").join(wanted, "id"), width, doc_id, text))
-    one = tiles.groupBy("id").agg(F.min(F.struct(F.xxhash64("tile"), "tile")).alias("first"), F.first("size").alias("size"))
-    first = one.select("first.tile", "id", "size", F.col("id").alias("label"))
-    near = kept(_linked(_cells(first, across=False), arrays, percent))
-    labelled = written(_labelled(tiles, components(near)))
+    tiles = written(_tiles(marked, nodes, percent))
+    met = nodes.join(tiles.select("id").distinct(), "id", "left_semi").select(*KEYS, "id")
+    marks = met.join(marked.select(*KEYS, "mark").dropDuplicates(KEYS), KEYS).select("id", "mark")
+    each = tiles.withColumn("label", F.col("id"))
+    group = kept(components(kept(_may_link(_cells(each, across=True), marks, percent))))
+    of_group = nodes.join(group, nodes["id"] == group["node"])
+    of_group = kept(of_group.select(*KEYS, "id", "size", F.col("component").alias("tile"), F.col("id").alias("label")))
+    arrays = written(_arrays(docs, of_group.select(*KEYS, "id"), width, doc_id, text))
+    near = kept(_linked(_cells(of_group, across=False), arrays, percent))
+    crowded = _crowded(of_group)
+    if crowded.isEmpty():
+        return near
+    # What blocks with a common member have not connected: the tiles of groups that are still in parts.
+    label = components(near).select("node", F.col("component").alias("new"))
+    of_crowd = of_group.join(crowded.select(F.col("tile").alias("crowd")), F.col("tile") == F.col("crowd"), "left_semi")
+    labelled = kept(of_crowd.join(label, F.col("id") == F.col("node"), "left").select("tile", "id", F.coalesce("new", "id").alias("label")))
+    apart = labelled.groupBy("tile").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("tile")
+    rows = kept(tiles.join(labelled.join(apart, "tile", "left_semi").select("id", "label"), "id"))
     # Tiles of several components, under a name for the set of their components.
-    parts = labelled.groupBy("tile", "label").agg(F.count("*").alias("n")).groupBy("tile")
+    parts = rows.groupBy("tile", "label").agg(F.count("*").alias("n")).groupBy("tile")
     mixed = parts.agg(F.count("*").alias("labels"), F.sum(F.xxhash64("label").cast("decimal(38,0)")).alias("sum")).where("labels > 1")
     named = mixed.select("tile", F.xxhash64("sum", "labels").alias("name"))
-    open_rows = labelled.join(named, "tile").select(F.col("name").alias("tile"), "id", "size", "label").distinct()
-    chosen = kept(_chosen(_cells(open_rows, across=True), nodes.select("id", "mark"), percent))
+    open_rows = kept(rows.join(named, "tile").select(F.col("name").alias("tile"), "id", "size", "label").distinct())
+    chosen = kept(_chosen(_cells(open_rows, across=True), marks, percent))
     return near.union(_linked(chosen, arrays, percent))
 
 
@@ -383,16 +427,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     """``(doc_id, n_shingles, component_id)`` for every row; ``component_id`` is the least doc_id that links lead to."""
     counted = docs.select(F.col(text).alias("text"))
     marked = written(_marked(docs, _rarity(counted, Counted), width, percent, doc_id, text))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key_a", "key_b")).alias("least")
-    sets = marked.where("size > 0").groupBy("set_a", "set_b")
-    grouped = sets.agg(first, F.first("size").alias("size"), F.first("rarest").alias("rarest"), F.first("mark").alias("mark"))
-    nodes = written(
-        grouped.select(
-            F.monotonically_increasing_id().alias("id"), "set_a", "set_b", F.col("least.doc_id").alias("least"),
-            F.col("least.key_a").alias("key_a"), F.col("least.key_b").alias("key_b"), "size", "rarest", "mark",
-        )
-    )
-    label = components(kept(links(docs, nodes, width, percent, doc_id, text)))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *KEYS)).alias("least")
+    sets = marked.where("size > 0").groupBy("set_a", "set_b").agg(first, F.min("size").alias("size"))
+    named_by = [F.col(f"least.{c}").alias(c) for c in KEYS]
+    nodes = written(sets.select(F.monotonically_increasing_id().alias("id"), "set_a", "set_b", F.col("least.doc_id").alias("least"), *named_by, "size"))
+    label = components(kept(links(docs, marked, nodes, width, percent, doc_id, text)))
     named = nodes.select("id", "set_a", "set_b", "least").join(label, F.col("id") == F.col("node"), "left")
     named = named.select("set_a", "set_b", "least", F.coalesce("component", "id").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
