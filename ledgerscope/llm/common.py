@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -92,6 +93,9 @@ def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         pa.default_memory_pool().release_unused()  # a worker lives on after its task
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # what glibc has
+        if trim is not None:
+            trim(0)
 
     return df.mapInArrow(freed, schema)
 

@@ -35,7 +35,7 @@ ORDER = 4
 START, END = "\x02", "\x03"
 WORD = re.compile(r"[^\W\d_]+")
 BEYOND = re.compile("[\U00010000-\U0010ffff]")
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 STANDARD_ERRORS = 3.0
 MODEL_ROWS = 40_000_000  # a model of more rows is refused, not cut
 UNKNOWN = "und"

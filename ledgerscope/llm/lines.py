@@ -9,8 +9,9 @@ differ too often are passed over; the rest is verified on the sets.
 
 Equal sets are found first, by 128-bit sums of word hashes, within tasks and then across, so a line that fills a third of the corpus is
 one row a task. From each word a line only gets one partner that passes the filters, the nearest by its classes, so copies
-of a passage give no square of rows; of these the nearest is verified. Lines for which that fails get all their partners in a second
-round. A word shared by more than ``CELL`` lines is dealt into cells of two blocks each, so
+of a passage give no square of rows; of these the nearest is verified. Lines for which that fails ask for all their partners in a second
+round, by pairs of words: a prefix longer by one holds two common words of any match, and few other lines have both. (Long sets, of which
+pairs would be many, ask by single words.) A word shared by more than ``CELL`` lines is dealt into cells of two blocks each, so
 no task holds an unbounded group. Words are told apart by 64-bit hashes.
 
 Lines of fewer than ``least`` different words are kept: by default those of fewer than five; with 1 only lines without words. Sets of
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import kept, mapped, text_chunks, written
+from ledgerscope.llm.common import fresh, kept, mapped, text_chunks, written
 
 MIN_WORDS = 5
 BITS = 20  # of the table of word counts
@@ -38,6 +39,7 @@ CELL = 16_384
 NEEDED_BITS = 25
 SEEN = 80_000
 LAST = (1 << 63) - 1
+PAIRED = 80  # the largest sets that ask by pairs of words
 CHUNK = 1 << 20
 PAGE = 4096  # numbers of an array that tasks put together
 
@@ -194,10 +196,11 @@ def _marked(docs: DataFrame, rarity: np.ndarray, least: int, unit: type[Lines])
                 if before < own:
                     first[i] = before
             new = np.array([before is None for before in first])
-            take = np.repeat(starts, np.where(new, width, 0)) + _steps(np.where(new, width, 0))
+            width = np.where(new & (width > 0), width + 1, 0)  # the last word is for pairs only
+            take = np.repeat(starts, width) + _steps(width)
             # A word's key is 31 bits of its hash; the lowest bit says whether it may be crowded. Words that share a key only share work.
             keys = (words[take] >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE) | (scale[words[take] >> np.uint64(64 - BITS)] > crowded)
-            offsets = pa.array(np.r_[0, np.cumsum(np.where(new, width, 0))].astype(np.int32), mask=np.r_[~new, False])
+            offsets = pa.array(np.r_[0, np.cumsum(width)].astype(np.int32), mask=np.r_[~new, False])
             yield pa.RecordBatch.from_pydict({
                 "set_a": sums[0].view(np.int64), "set_b": sums[1].view(np.int64), "doc": doc, "line": place.astype(np.int32), "size": sizes.astype(np.int32),
                 "low": parity[0].view(np.int64), "high": parity[1].view(np.int64), "prefix": pa.ListArray.from_arrays(offsets, pa.array(keys.astype(np.uint32).view(np.int32))),
@@ -310,7 +313,8 @@ def _partners(rows: DataFrame, every: bool = False) -> DataFrame:
 
 def _exploded(lines: DataFrame) -> DataFrame:
     shape = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
-    return lines.select("*", F.posexplode("prefix").alias("at", "token")).withColumn("shape", shape).drop("prefix", "size", "at")
+    words = F.slice("prefix", 1, F.greatest(F.size("prefix") - 1, F.lit(0)))
+    return lines.select("*", F.posexplode(words).alias("at", "token")).withColumn("shape", shape).drop("prefix", "size", "at")
 
 
 def _found(prefixes: DataFrame, every: bool = False) -> DataFrame:
@@ -342,21 +346,41 @@ def _token_places(tokens: np.ndarray, sizes: np.ndarray, step: int = 0) -> np.nd
     return _mixed((tokens.astype(np.int64) << 16 | band).view(np.uint64)) >> np.uint64(64 - NEEDED_BITS)
 
 
+def _asking_keys(prefixes: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(line, key, at)``: what lines ask by and answer to in the second round; ``at`` is the place of the first word.
+
+    Sets of up to ``PAIRED`` words have all pairs of their prefix, with the lowest bit set, as a key may be crowded. Longer ones, and those
+    that may match a longer one, have the single words.
+    """
+    tokens = prefixes.flatten().to_numpy(zero_copy_only=False)
+    counts = pc.list_value_length(prefixes).to_numpy(zero_copy_only=False)
+    owner, at = np.repeat(np.arange(len(sizes)), counts), _steps(counts)
+    left = counts[owner] - at - 1  # words behind this one
+    single = (5 * sizes[owner] > 4 * PAIRED) & (left > 0)
+    found = [(owner[single], tokens[single], at[single])]
+    paired = np.where(sizes[owner] <= PAIRED, left, 0)
+    for step in range(1, int(paired.max(initial=0)) + 1):
+        first = np.flatnonzero(paired >= step)
+        both = tokens[first].view(np.uint32).astype(np.uint64) << np.uint64(32) | tokens[first + step].view(np.uint32)
+        keys = (_mixed(both) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        found.append((owner[first], keys.view(np.int32), at[first]))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
 def _asked(marked: DataFrame, asking: np.ndarray) -> DataFrame:
-    """Prefix rows of all lines for the words of the lines that ask, by the bit table of their places.
+    """Rows of all lines for the keys of the lines that ask, by the bit table of their places.
 
-    The tables may hold some more lines and words; these are tried as well, which is only work.
+    The tables may hold some more lines and keys; these are tried as well, which is only work.
     """
-    lines = marked.where("prefix is not null").select("doc", "line", "size", "low", "high", "prefix")
+    lines = marked.where("size(prefix) > 0").select("doc", "line", "size", "low", "high", "prefix")
     sent = marked.sparkSession.sparkContext.broadcast(asking)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ask = _held(sent.value, _places(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            prefixes, sizes = batch.column(2).filter(pa.array(ask)), batch.column(3).to_numpy()[ask]
-            tokens = prefixes.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.repeat(sizes, pc.list_value_length(prefixes).to_numpy(zero_copy_only=False))
-            places = np.concatenate([_token_places(tokens, sizes, step) for step in (-1, 0, 1)])
+            sizes = batch.column(3).to_numpy()[ask]
+            owner, keys, _ = _asking_keys(batch.column(2).filter(pa.array(ask)), sizes)
+            places = np.concatenate([_token_places(keys, sizes[owner], step) for step in (-1, 0, 1)])
             yield pa.RecordBatch.from_pydict({"place": np.unique(places).view(np.int64)})
 
     table = marked.sparkSession.sparkContext.broadcast(_bit_table(mapped(lines.select("doc", "line", "prefix", "size"), words, "place long")))
@@ -365,12 +389,11 @@ def _asked(marked: DataFrame, asking: np.ndarray) -> DataFrame:
         for batch in batches:
             doc, line, size, low, high = (batch.column(i).to_numpy() for i in range(5))
             ask = _held(sent.value, _places(doc, line))
-            counts = pc.list_value_length(batch.column(5)).to_numpy(zero_copy_only=False)
-            tokens, owner, at = batch.column(5).flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(doc)), counts), _steps(counts)
-            use = _held(table.value, _token_places(tokens, size[owner]))
-            owner, at = owner[use], at[use]
+            owner, keys, at = _asking_keys(batch.column(5), size)
+            use = _held(table.value, _token_places(keys, size[owner]))
+            owner, keys, at = owner[use], keys[use], at[use]
             shape = size[owner].astype(np.int64) << 32 | at
-            yield pa.RecordBatch.from_pydict({"token": tokens[use], "doc": doc[owner], "line": line[owner], "shape": shape, "low": low[owner], "high": high[owner], "asks": ask[owner]})
+            yield pa.RecordBatch.from_pydict({"token": keys, "doc": doc[owner], "line": line[owner], "shape": shape, "low": low[owner], "high": high[owner], "asks": ask[owner]})
 
     return kept(mapped(lines, rows, "token int, doc long, line int, shape long, low long, high long, asks boolean"))
 
@@ -455,7 +478,8 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated lines taken out of the texts."""
-    gone = removed(docs, doc_id, text, least).select(F.col("doc").alias("gone doc"), F.col("removed").alias("gone lines"))
-    joined = docs.join(gone, order_of(docs[doc_id]) == gone["gone doc"], "left")
-    lines = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains("gone lines", i))
-    return joined.withColumn(text, F.when(F.col("gone lines").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))).select(docs.columns)
+    by, places = fresh("gone doc", docs.columns), fresh("gone lines", docs.columns)
+    gone = removed(docs, doc_id, text, least).select(F.col("doc").alias(by), F.col("removed").alias(places))
+    joined = docs.join(gone, order_of(docs[doc_id]) == gone[by], "left")
+    lines = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains(places, i))
+    return joined.withColumn(text, F.when(F.col(places).isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))).select(docs.columns)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.llm import lines
+from ledgerscope.llm.common import fresh
 from ledgerscope.llm.simhash import row_keys
 
 SHINGLE = 5
@@ -75,6 +76,7 @@ def without(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     unnamed = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.lit(1), whole, F.col(doc_id)), 2)
     order = F.coalesce(F.col(doc_id).try_cast("long"), unnamed)
     gone = lines.matches(docs.select(order.alias("doc"), whole.alias("text")), 1, Documents).select("doc", "line").distinct()
-    keyed = docs.select("*", *row_keys(doc_id, text))
+    names = [fresh(name, docs.columns) for name in ("key_a", "key_b")]
+    keyed = docs.select("*", *(key.alias(name) for key, name in zip(row_keys(doc_id, text), names)))
     left = keyed.join(gone, (order == gone["doc"]) & (_key(whole) == gone["line"]), "left_anti")
-    return left.dropDuplicates(["key_a", "key_b"]).select(docs.columns)
+    return left.dropDuplicates(names).select(docs.columns)

@@ -7,12 +7,12 @@ from ledgerscope.llm import lines
 from ledgerscope.llm.queries import QUERIES
 
 
-def expected_of(rows):
+def expected_of(rows, least=5):
     sets = []
     for doc, text in rows:
         for place, line in enumerate((text or "").lower().split("\n")):
             words = frozenset(line.split())
-            if len(words) >= 5:
+            if len(words) >= least:
                 sets.append((doc, place, words))
     sets.sort(key=lambda s: s[:2])
     same = lambda a, b: 9 * len(a & b) >= 4 * (len(a) + len(b))
@@ -35,9 +35,9 @@ def made(seed, documents=60):
     return rows
 
 
-def found(spark, rows, schema="doc_id long, text string"):
+def found(spark, rows, schema="doc_id long, text string", least=5):
     docs = spark.createDataFrame(rows, schema).repartition(3)
-    return {(r["doc"], place) for r in lines.removed(docs).collect() for place in r["removed"]}
+    return {(r["doc"], place) for r in lines.removed(docs, least=least).collect() for place in r["removed"]}
 
 
 def test_equals_brute_force(spark):
@@ -54,6 +54,27 @@ def test_short_lines(spark, tmp_path):
     assert found == {1: [], 2: [0, 3, 4], 3: [0, 1, 4], 4: []}
 
 
+def test_dense_lines_of_few_words(spark):
+    """Lines of 1 to 12 words from a vocabulary of 14: most share words, few match, and many ask in the second round."""
+    pick = random.Random(8)
+    words = [f"w{i}" for i in range(14)]
+    rows = [(doc, "\n".join(" ".join(pick.sample(words, pick.randrange(1, 13))) for _ in range(6))) for doc in range(120)]
+    assert found(spark, rows, least=1) == expected_of(rows, 1)
+
+
+def test_sizes_around_the_largest_that_ask_by_pairs(spark):
+    """Every set is the start of a long one with some words changed; first partners mostly fail."""
+    pick = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for doc in range(90):
+        line = base[: pick.randrange(60, 110)]
+        for _ in range(pick.choice([2, 6, 8, 9, 10, 11, 14])):
+            line[pick.randrange(len(line))] = f"z{pick.randrange(12)}"
+        rows.append((doc, " ".join(line)))
+    assert found(spark, rows) == expected_of(rows)
+
+
 def test_crowded_words_in_cells(spark, monkeypatch):
     monkeypatch.setattr(lines, "CELL", 6)
     rows = made(3)
@@ -80,3 +101,5 @@ def test_odd_documents(odd_documents, no_documents):
     assert [t for t in texts if t[0] != 5] == [t for t in before if t[0] != 5]
     assert [t for t in texts if t[0] == 5] == [(5, ""), (5, "")]
     assert lines.without_repeats(no_documents).count() == 0
+    clashing = odd_documents.withColumns({"gone doc": F.lit("g"), "Gone Lines": F.lit(1)})
+    assert lines.without_repeats(clashing).columns == clashing.columns and lines.without_repeats(clashing).count() == odd_documents.count()
