@@ -15,8 +15,17 @@ from ledgerscope.llm.common import register, table, written
 from ledgerscope.llm.queries import tokenizer_path
 
 
+ROWS_AT_ONCE = "1000"  # whole documents that go to a Python worker together
+
+
+def _in_small_batches(spark: SparkSession) -> None:
+    """Documents have kilobytes each; Spark's 10,000 rows a batch would hold tens of megabytes several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents and keeps those whose language is accepted; the label stays as it was."""
+    _in_small_batches(spark)
     judged = langid.identify(docs, langid.learn(docs))
     return judged.where("accepted").select(docs.columns)
 
@@ -37,6 +46,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _in_small_batches(spark)
     coded = bpe.encode(docs, tokenizer_path(), round_trip=True)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return coded.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
