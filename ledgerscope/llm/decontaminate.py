@@ -13,7 +13,8 @@ same window only the one nearest to it counts, so windows that an item holds twi
 
 Windows are made twice: with names as placeholders, and with names as lower-cased words, so that a copy in other letter
 case is found as well. An item without any window is found by its words and numbers as they are, in any letter case, as
-one run of tokens; so an item of one word is found wherever that word stands. In scripts that are written without blanks each
+one run of tokens. Items of fewer than ``LEAST`` tokens, such as one-word answers, stand in many clean texts, so they are found only where a
+text holds nothing else. In scripts that are written without blanks each
 character is a token.
 
 Null and empty texts hold nothing; items without a letter or digit match nothing. Repeated rows
@@ -37,6 +38,7 @@ from ledgerscope.llm.common import mapped, text_chunks
 WINDOW = 5
 PLAIN = 3
 COVERAGE = 0.8
+LEAST = 3  # tokens of an item that is found inside of longer texts
 BITS = 22
 KEPT_TOKENS = 300_000
 # Units that become a placeholder.
@@ -210,6 +212,9 @@ def _window_rows(texts: DataFrame, table: np.ndarray | None, lengths: list[int]
                 if lengths is None:
                     own = (sizes[owner[at]] == length) & (total[owner[at]] == 0)
                     at, mixed = at[own], mixed[own]
+                elif length < LEAST:
+                    alone = sizes[owner[at]] == length
+                    at, mixed = at[alone], mixed[alone]
                 yield rows(chunk, WHOLE, at, mixed, owner[at], one, length, (owner, lambda a: []))
 
     texts_name = texts.columns[-1]

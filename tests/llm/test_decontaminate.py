@@ -38,6 +38,15 @@ def test_letter_case_and_short_items(spark):
     assert found == {(0, 1), (1, 1), (2, 2), (4, 3), (6, 4), (7, 5)}
 
 
+def test_one_word_items_take_no_longer_texts(spark):
+    items = spark.createDataFrame([(1, "Paris"), (2, "yes"), (3, "What is 7*8?"), (4, "the end.")], "item_id long, text string")
+    texts = ["We met in Paris, yes, at the end.", " paris ", "Yes!", "so what is 7*8", "The end", "yes yes", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()}
+    assert found == {(1, 1), (2, 2), (3, 3), (4, 4)}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, items).collect()} == {0, 5, 6, 7}
+
+
 def test_words_alone_are_no_template(spark):
     docs, items = tables(spark, [(1, "Tom 3 Paris 5 kg Smith 7 " * 30), (2, "1 2 3 4 5 6 7 8 9"), (3, "and buys more apples from a shop near a house that many have")])
     assert decontaminate.leaks(docs, items).count() == 0
