@@ -1,4 +1,4 @@
-"""Reports and check reports as files: written by the sink, then read back."""
+"""Reports, check reports and CSV tables as files: written by the sinks, then read back."""
 
 from pyspark.sql import functions as F
 
@@ -6,6 +6,8 @@ from ledgerscope.plans import questions
 from ledgerscope.plans.checks import check_sections, judge, write_check_report
 from ledgerscope.plans.reports import report_documents, write_report_files
 from ledgerscope.sources.scratch import scratch_folder
+from ledgerscope.sources.star import read_table
+from ledgerscope.sources.tables import NULL_TOKENS, read_sales, write_csv
 from workload.audits import REPORT_SQL, SLUG_SQL, _conversation_reports
 from workload.profiles import EVIDENCE_SQL, JUDGED_SQL, _evidence, _rules, check_report  # noqa: F401
 from workload.registry import QUERIES, register, with_sales
@@ -44,3 +46,19 @@ def check_report_file(spark, sf_dir):
     folder = scratch_folder(spark)
     write_check_report(check_sections(evidence, judged, questions.QUESTIONS), judged, folder, "sales", GENERATED)
     return _read_back(spark, folder)
+
+
+@register("csv_round_trip", f"""
+SELECT c_custkey, CASE WHEN c_custkey % 60 < {len(NULL_TOKENS)} THEN NULL ELSE concat(c_name, ', "', c_mktsegment, '"') END AS label,
+       CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS balance FROM customer""")
+def csv_round_trip(spark, sf_dir):
+    """Customers go through the CSV sink and source; each text for a missing cell stands in some rows, and commas and quotes in the others."""
+    key = F.col("c_custkey")
+    token = F.element_at(F.array(*map(F.lit, NULL_TOKENS)), (key % 60 + 1).cast("int"))
+    label = F.concat(F.col("c_name"), F.lit(', "'), F.col("c_mktsegment"), F.lit('"'))
+    rows = read_table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(key % 60 < len(NULL_TOKENS), token).otherwise(label).alias("label"), F.when(key % 7 != 0, F.col("c_acctbal")).alias("balance")
+    )
+    folder = scratch_folder(spark)
+    write_csv(rows, folder)
+    return read_sales(spark, folder, schema="c_custkey bigint, label string, balance double")

@@ -107,6 +107,7 @@ _register_period("period_month", "2000-09", "strftime(order_date, '%Y-%m') = '20
 _register_period("period_month_name", "September", "month(order_date) = 9")
 _register_period("period_named_month_year", "September 2000", "strftime(order_date, '%Y-%m') = '2000-09'")
 _register_period("period_compact_date", "19991215", "strftime(order_date, '%Y-%m') = '1999-12'")
+_register_period("period_blank", " ", "TRUE")
 _register_period("period_date_month", "1999-12-15", "strftime(order_date, '%Y-%m') = '1999-12'")
 
 
