@@ -265,7 +265,6 @@ class Manifest:
 
 def manifest(rows: DataFrame, source: str, order: str, leaf: str, keep: list[str]) -> Manifest:
     """The manifest of ``rows`` with a digest ``leaf`` each; ``keep`` are the columns that proofs carry."""
-    first = [F.col(source).asc_nulls_first(), F.col(order).asc_nulls_first(), F.col(leaf)]
     plain = rows.select(F.col(source).alias("m_source"), F.col(order).alias("m_order"), F.col(leaf).alias("m_leaf"), *(F.col(c).alias(f"k_{c}") for c in keep))
     first = [F.col("m_source").asc_nulls_first(), F.col("m_order").asc_nulls_first(), F.col("m_leaf")]
     # Written before it is read: the cuts between range partitions come from a sample.
