@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import kept, mapped, text_chunks
+from ledgerscope.llm.common import fresh, kept, mapped, text_chunks
 from ledgerscope.llm.components import components
 
 RADIUS = 3
@@ -203,11 +203,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius:
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each class: that of the least doc_id (nulls last; ties by the row's hash)."""
+    """``docs`` with one row of each class: that of the least doc_id (nulls last; ties by hashes of doc_id and text, then of the whole row)."""
     marked = kept(fingerprints(docs, doc_id, text, width))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key_a", "key_b")).alias("least")
     by_fp = marked.groupBy("fp").agg(least)
     stays = by_fp.join(_grouped(marked, radius), "fp").groupBy("component").agg(F.min("least").alias("least"))
-    keys = stays.select(F.col("least.key_a").alias("key_a"), F.col("least.key_b").alias("key_b"))
-    keyed = docs.select("*", *row_keys(doc_id, text))
-    return keyed.join(keys, ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"]).select(docs.columns)
+    names = [fresh(name, docs.columns) for name in ("key_a", "key_b")]
+    keys = stays.select(*(F.col(f"least.key_{end}").alias(name) for end, name in zip("ab", names)))
+    own = [key.alias(name) for key, name in zip(row_keys(doc_id, text), names)]
+    whole = [F.col(f"`{column}`") for column in docs.columns]
+    alike = docs.select(*own, F.xxhash64(*whole).alias("of row"), F.struct(*whole).alias("row")).join(keys, names, "left_semi")
+    return alike.groupBy(*names).agg(F.min_by("row", "of row").alias("row")).select("row.*")

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from ledgerscope.llm import simhash
 from ledgerscope.llm.components import components
@@ -74,6 +75,17 @@ def test_odd_documents(odd_documents, no_documents):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in left.collect()) == [(False, 1), (False, 2), (False, 4), (False, 7), (False, 9), (True, 0)]
 
 
+def test_one_of_each_with_clashing_names_and_ties(spark):
+    rows = [(1, "a b c d", 7, "x"), (1, "a b c d", 8, "y"), (2, "a b c d", 1, "z"), (3, "quite another text of words", 1, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key_a long, KEY_B string")
+    for order in (docs, docs.orderBy(F.desc("key_a")).coalesce(1)):
+        left = simhash.one_of_each(order)
+        assert left.columns == docs.columns
+        found = sorted(left.collect())
+        assert [r["doc_id"] for r in found] == [1, 3]
+        assert found == sorted(simhash.one_of_each(docs).collect())
+
+
 def test_query_equals_brute_force(spark):
     from ledgerscope.llm.queries import QUERIES
 
