@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import bpe, decontaminate, langid, lines, near_copies
+from ledgerscope.llm import bpe, decontaminate, langid, lines, simhash
 from ledgerscope.llm.common import register, table, written
 from ledgerscope.llm.queries import tokenizer_path
 
@@ -36,8 +36,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that are a copy or near copy, by the sets of their five-word shingles, of an earlier one."""
-    return near_copies.without(docs)
+    """One document of each group of linked SimHash fingerprints stays, that of the smallest doc_id."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
