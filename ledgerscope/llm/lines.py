@@ -37,6 +37,7 @@ MIN_WORDS = 5
 BITS = 20  # of the table of word counts
 CELL = 16_384
 NEEDED_BITS = 25
+PROBES = 3  # places of a word in the bit table of the second round
 SEEN = 80_000
 LAST = (1 << 63) - 1
 PAIRED = 80  # the largest sets that ask by pairs of words
@@ -236,37 +237,47 @@ def _partners(rows: DataFrame, every: bool = False) -> DataFrame:
     def solved(columns: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         doc, line, low, high = (columns[name] for name in ("doc", "line", "low", "high"))
         size, at = columns["shape"] >> 32, columns["shape"] & 0xFFFFFFFF
-        counts = np.diff(np.r_[starts, len(doc)])
-        index, first = _steps(counts), np.repeat(starts, counts)
-        x = index > 0
-        if "asks" in columns:
-            x &= columns["asks"]
+        group, band = columns["group"], columns["band"]
+        looks = columns["asks"].copy() if "asks" in columns else np.ones(len(doc), bool)
         if "side" in columns:
             side = columns["side"]
-            split = np.repeat(np.add.reduceat(side.astype(np.int64), starts) > 0, counts)  # a cell of two blocks
-        x = np.flatnonzero(x)
+            split = np.logical_or.reduceat(side, starts)[group]  # a cell of two blocks
+        by_place = np.lexsort((line, doc))
+        later = (doc[by_place[1:]] != doc[by_place[:-1]]) | (line[by_place[1:]] != line[by_place[:-1]])
+        when = np.zeros(len(doc), np.int64)  # equal for equal places
+        when[by_place[1:]] = np.cumsum(later)
+        run = np.r_[0, np.cumsum((group[1:] != group[:-1]) | (band[1:] != band[:-1]))]  # of a group's lines in one band
+        begins = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        in_order = run * (len(doc) + 1) + when
         best, partner = np.ones(len(doc), np.int64), np.zeros(len(doc), np.int64)  # slack of the best one so far; 1: none
-        found, turn = [], 0
-        while len(x):
-            y = first[x] + turn
-            both = size[x] + size[y]
-            need = -(-4 * both // 9)
-            passed = np.minimum(size[x] - at[x], size[y] - at[y]) >= need
-            passed &= (5 * size[y] >= 4 * size[x]) & (5 * size[x] >= 4 * size[y])
-            allowed = both - 2 * need
-            slack = np.bitwise_count(low[x] ^ low[y]).astype(np.int64) + np.bitwise_count(high[x] ^ high[y]) - allowed
-            passed &= slack <= 0
-            passed &= (doc[y] < doc[x]) | ((doc[y] == doc[x]) & (line[y] < line[x]))
-            if "side" in columns:
-                passed &= ~split[x] | (side[x] != side[y])
-            turn += 1
-            if every:
-                found.append((x[passed], y[passed], slack[passed]))
-                x = x[index[x] > turn]
-                continue
-            better = passed & (slack < best[x])
-            best[x[better]], partner[x[better]] = slack[better], y[better]
-            x = x[(2 * best[x] > -allowed) & (index[x] > turn)]
+        found = []
+        for step in (0, -1, 1):  # only sizes of neighbouring bands can match
+            to = np.clip(run + step, 0, len(begins) - 1)
+            fits = (group[begins[to]] == group) & (band[begins[to]] == band + step)
+            low_end, high_end = begins[to], np.searchsorted(in_order, to * (len(doc) + 1) + when)
+            earlier = np.where(fits, high_end - low_end, 0)
+            x, turn = np.flatnonzero(looks & (earlier > 0)), 0
+            while len(x):
+                y = low_end[x] + turn
+                both = size[x] + size[y]
+                need = -(-4 * both // 9)
+                passed = np.minimum(size[x] - at[x], size[y] - at[y]) >= need
+                passed &= (5 * size[y] >= 4 * size[x]) & (5 * size[x] >= 4 * size[y])
+                allowed = both - 2 * need
+                slack = np.bitwise_count(low[x] ^ low[y]).astype(np.int64) + np.bitwise_count(high[x] ^ high[y]) - allowed
+                passed &= slack <= 0
+                if "side" in columns:
+                    passed &= ~split[x] | (side[x] != side[y])
+                turn += 1
+                if every:
+                    found.append((x[passed], y[passed], slack[passed]))
+                    x = x[earlier[x] > turn]
+                    continue
+                better = passed & (slack < best[x])
+                best[x[better]], partner[x[better]] = slack[better], y[better]
+                enough = 2 * best[x] <= -allowed
+                looks[x[enough]] = False
+                x = x[~enough & (earlier[x] > turn)]
         if not every:
             x = np.flatnonzero(best <= 0)
             found = [(x, partner[x], best[x])]
@@ -291,8 +302,9 @@ def _partners(rows: DataFrame, every: bool = False) -> DataFrame:
             if stop:
                 starts = starts[starts < stop]
                 group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, stop]))
-                order = np.lexsort((columns["line"][:stop], columns["doc"][:stop], group))
-                part = {name: column[:stop][order] for name, column in columns.items()}
+                band = _band(columns["shape"][:stop] >> 32)
+                order = np.lexsort((columns["line"][:stop], columns["doc"][:stop], band, group))
+                part = {name: column[:stop][order] for name, column in columns.items()} | {"group": group[order], "band": band[order]}
                 part["low"], part["high"] = part["low"].view(np.uint64), part["high"].view(np.uint64)
                 yield from solved(part, starts)
             held[:] = [{name: column[stop:] for name, column in columns.items()}]
@@ -340,10 +352,15 @@ def _places(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return spark_hash(doc, line) >> np.uint64(64 - NEEDED_BITS)
 
 
-def _token_places(tokens: np.ndarray, sizes: np.ndarray, step: int = 0) -> np.ndarray:
-    """Places of words with the band of their line's size; sizes that may match lie at most one band apart."""
-    band = np.floor(np.log(sizes) / np.log(1.26)).astype(np.int64) + step + 1
-    return _mixed((tokens.astype(np.int64) << 16 | band).view(np.uint64)) >> np.uint64(64 - NEEDED_BITS)
+def _band(sizes: np.ndarray) -> np.ndarray:
+    """Bands of sizes; sizes that may match lie at most one band apart."""
+    return np.floor(np.log(sizes) / np.log(1.26)).astype(np.int64)
+
+
+def _token_places(tokens: np.ndarray, sizes: np.ndarray, step: int = 0, probe: int = 0) -> np.ndarray:
+    """Places of words with the band of their line's size. Each has ``PROBES`` and is in the table if all of them are."""
+    own = (tokens.astype(np.int64) << 16 | _band(sizes) + step + 1).view(np.uint64)
+    return _mixed(_mixed(own) ^ np.uint64(probe)) >> np.uint64(64 - NEEDED_BITS)
 
 
 def _asking_keys(prefixes: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -380,7 +397,7 @@ def _asked(marked: DataFrame, asking: np.ndarray) -> DataFrame:
             ask = _held(sent.value, _places(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
             sizes = batch.column(3).to_numpy()[ask]
             owner, keys, _ = _asking_keys(batch.column(2).filter(pa.array(ask)), sizes)
-            places = np.concatenate([_token_places(keys, sizes[owner], step) for step in (-1, 0, 1)])
+            places = np.concatenate([_token_places(keys, sizes[owner], step, probe) for step in (-1, 0, 1) for probe in range(PROBES)])
             yield pa.RecordBatch.from_pydict({"place": np.unique(places).view(np.int64)})
 
     table = marked.sparkSession.sparkContext.broadcast(_bit_table(mapped(lines.select("doc", "line", "prefix", "size"), words, "place long")))
@@ -390,8 +407,10 @@ def _asked(marked: DataFrame, asking: np.ndarray) -> DataFrame:
             doc, line, size, low, high = (batch.column(i).to_numpy() for i in range(5))
             ask = _held(sent.value, _places(doc, line))
             owner, keys, at = _asking_keys(batch.column(5), size)
-            use = _held(table.value, _token_places(keys, size[owner]))
-            owner, keys, at = owner[use], keys[use], at[use]
+            sizes = size[owner]
+            for probe in range(PROBES):
+                use = _held(table.value, _token_places(keys, sizes, probe=probe))
+                owner, keys, at, sizes = owner[use], keys[use], at[use], sizes[use]
             shape = size[owner].astype(np.int64) << 32 | at
             yield pa.RecordBatch.from_pydict({"token": keys, "doc": doc[owner], "line": line[owner], "shape": shape, "low": low[owner], "high": high[owner], "asks": ask[owner]})
 
