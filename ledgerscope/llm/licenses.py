@@ -4,16 +4,21 @@ A template is found where at least ``COVERAGE`` of its words align, in order, wi
 most one and a half times its length. The alignment anchors on words that occur once in both, takes
 the longest increasing run of these anchors, and aligns the gaps between them in the same way; equal words
 at the ends of a gap are matched first. Stretches are tried only where enough of the template's words
-are there at all, which no aligned stretch can lack; so nothing is lost, and a license
-that stands twice in a text is found twice. Of overlapping finds the one with most matched words stays.
+are there at all, which no aligned stretch can lack. Of stretches that begin within a quarter of the template's length the
+fullest is aligned and, if that gives nothing, all of them as one, so the work grows with the text and not with its square. A license
+that stands twice in a text is found twice. Of overlapping finds the one with most matched words stays, of equally full ones the first.
 
-Null and empty texts hold no license. Repeated rows are scanned each. Words are runs of a-z and 0-9
+Notices (templates of up to ``NOTICE`` words) are found only with the right version: the words of the license's name and the numbers
+that a notice holds must be among the matched ones, and no word of another variant (``VARIANTS``) may stand between them.
+
+Null and empty texts hold no license, an empty table gives none. Long texts are scanned whole. Repeated rows are scanned each. Words are runs of a-z and 0-9
 after lower-casing, so line breaks, punctuation and comment signs do not matter.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
@@ -22,9 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.common import mapped, text_chunks
+from ledgerscope.llm.common import fresh, mapped, text_chunks
 
 COVERAGE = 0.8
+NOTICE = 250  # words
+# Words that make another license of one with the same text.
+VARIANTS = frozenset(["nc", "nd", "sa", "noncommercial", "noderivatives", "noderivs", "sharealike", "lesser", "library", "affero"])
 WORD = re.compile(r"[a-z0-9]+")
 # Notices by which public licenses are granted or named.
 TEMPLATES = [
@@ -129,6 +137,55 @@ _ENDORSEMENT = (
     " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
     "software without specific prior written permission. "
 )
+# The parts of public licenses by their short names, and the versions there are.
+_COMMONS = {
+    "BY": "Attribution",
+    "BY-SA": "Attribution-ShareAlike",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+_GNU = {"GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License", "AGPL": "GNU Affero General Public License"}
+_VERSIONS = {
+    "CC": ["1.0", "2.0", "2.5", "3.0", "4.0"],
+    "GPL": ["1.0", "2.0", "3.0"],
+    "LGPL": ["2.1", "3.0"],
+    "AGPL": ["3.0"],
+    "Apache": ["1.0", "1.1", "2.0"],
+    "MPL": ["1.0", "1.1", "2.0"],
+    "EPL": ["1.0", "2.0"],
+}
+
+
+def _notices() -> list[tuple[str, str]]:
+    """Short notices of all versions and variants."""
+    made = [("MIT", "MIT License")]
+    for kind, words in _COMMONS.items():
+        for version in _VERSIONS["CC"]:
+            made.append((f"CC-{kind}-{version}", f"Licensed under CC {kind} {version}."))
+            for port in ("International", "Unported"):
+                made.append((f"CC-{kind}-{version}", f"This work is licensed under a Creative Commons {words} {version} {port} License."))
+    for kind, words in _GNU.items():
+        for version in _VERSIONS[kind]:
+            made.append((f"{kind}-{version}", f"This work is licensed under the {words}, version {version.removesuffix('.0')}."))
+            made.append((f"{kind}-{version}", f"{words} version {version.removesuffix('.0')}"))
+    made += [(f"Apache-{version}", f"Apache License, Version {version}") for version in _VERSIONS["Apache"]]
+    made += [(f"MPL-{version}", f"Mozilla Public License, version {version}") for version in _VERSIONS["MPL"]]
+    made += [(f"EPL-{version}", f"Eclipse Public License, version {version}") for version in _VERSIONS["EPL"]]
+    return [notice for notice in made if notice not in TEMPLATES]
+
+
+def tags() -> list[tuple[str, str]]:
+    """Tags by which files of source code name their license."""
+    names = ["MIT", "ISC", "Unlicense", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "BSL-1.0", "Zlib"]
+    names += [f"CC-{kind}-{version}" for kind in _COMMONS for version in _VERSIONS["CC"]]
+    names += [f"{kind}-{version}" for kind in ("Apache", "MPL", "EPL") for version in _VERSIONS[kind]]
+    names += [f"{kind}-{version}{end}" for kind in _GNU for version in _VERSIONS[kind] for end in ("", "-only", "-or-later")]
+    return [(name, f"SPDX-License-Identifier: {name}") for name in names]
+
+
+TEMPLATES += _notices()
 # Whole licenses that follow from their openings above.
 TEMPLATES += [
     (
@@ -216,6 +273,17 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def _free(taken: list[tuple[int, int]], start: int, stop: int) -> list[tuple[int, int]]:
+    """What ``taken``, disjoint and in order, leaves of a stretch."""
+    pieces = []
+    i = bisect_right(taken, start, key=lambda span: span[1])
+    while i < len(taken) and taken[i][0] < stop:
+        pieces.append((start, taken[i][0]))
+        start = taken[i][1]
+        i += 1
+    return [piece for piece in [*pieces, (start, stop)] if piece[0] < piece[1]]
+
+
 class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...], coverage: float):
         self.names = [name for name, _ in templates]
@@ -223,6 +291,10 @@ class Scanner:
         self.counts = [Counter(words) for words in self.words]
         self.need = [-(-len(words) * round(coverage * 1000) // 1000) for words in self.words]  # rounded up
         self.vocabulary = frozenset().union(*self.counts)
+        self.marks = [
+            {word for word in words if word.isdigit() or word in VARIANTS or word in WORD.findall(name.lower())} if len(words) <= NOTICE else None
+            for name, words in zip(self.names, self.words)
+        ]
 
     def _stretches(self, words: list[str], number: int) -> Iterator[tuple[int, int, int]]:
         """``(common words, start, stop)`` of the stretches that hold enough of a template's words."""
@@ -242,17 +314,59 @@ class Scanner:
             common -= have[word] <= wanted[word]
             have[word] -= 1
 
+    def _cells(self, words: list[str], number: int) -> list[tuple[int, int, int, int, int]]:
+        """``(common words, start, stop)`` of the fullest stretch and ``start, stop`` of all that begin in the same quarter of the template's length."""
+        step = max(len(self.words[number]) // 4, 1)
+        cells: dict[int, tuple[int, int, int, int, int]] = {}
+        for common, start, stop in self._stretches(words, number):
+            most, a, b, first, _ = cells.get(start // step, (0, 0, 0, start, 0))
+            cells[start // step] = (common, start, stop, first, stop) if common > most else (most, a, b, first, stop)
+        return sorted(cells.values(), key=lambda cell: (-cell[0], cell[1]))
+
+    def _matched(self, words: list[str], number: int, start: int, stop: int) -> tuple[int, int, int] | None:
+        """``(matched, start, stop)`` of the fullest alignment in a stretch that is enough, if any."""
+        template, need = self.words[number], self.need[number]
+        if stop - start < need:
+            return None
+        pairs = align(words[start:stop], template)
+        if len(pairs) < need:
+            return None
+        reach, places = len(template) + len(template) // 2, [i for i, _ in pairs]
+        ends = [bisect_left(places, place + reach) for place in places]
+        first = max(range(len(pairs)), key=lambda k: (ends[k] - k, -k))
+        pairs = pairs[first : ends[first]]
+        if len(pairs) < need:
+            return None
+        a, b = start + pairs[0][0], start + pairs[-1][0] + 1
+        if self.marks[number] is not None:
+            if not self.marks[number] <= {template[j] for _, j in pairs}:
+                return None
+            met = {start + i for i, _ in pairs}
+            if any(words[i] in VARIANTS and i not in met for i in range(a, b)):
+                return None
+        return len(pairs), a, b
+
+    def _widened(self, words: list[str], number: int, taken: list[tuple[int, int]], find: tuple[int, int, int]) -> tuple[int, int, int]:
+        """The find itself, or a fuller one that begins or ends where it does; the stretch may have cut it."""
+        reach = len(self.words[number]) + len(self.words[number]) // 2
+        _, a, b = find
+        onward = _free(taken, a, min(a + reach, len(words)))[0]
+        back = _free(taken, max(b - reach, 0), b)[-1]
+        others = [self._matched(words, number, *piece) for piece in (onward, back) if piece != (a, b)]
+        return max([find, *filter(None, others)], key=lambda f: f[0])
+
     def _finds(self, words: list[str], number: int) -> Iterator[tuple[int, int, int, int]]:
         """``(matched, template, start, stop)``; finds of one template do not overlap, the fullest stretch is tried first."""
         taken: list[tuple[int, int]] = []
-        for _, start, stop in sorted(self._stretches(words, number), key=lambda s: (-s[0], s[1])):
-            if any(start < b and a < stop for a, b in taken):
-                continue
-            pairs = align(words[start:stop], self.words[number])
-            if len(pairs) >= self.need[number]:
-                span = start + pairs[0][0], start + pairs[-1][0] + 1
-                taken.append(span)
-                yield len(pairs), number, *span
+        for _, start, stop, first, last in self._cells(words, number):
+            for whole in dict.fromkeys([(start, stop), (first, last)]):
+                found = [self._matched(words, number, *piece) for piece in _free(taken, *whole)]
+                for matched, a, b in filter(None, found):
+                    matched, a, b = self._widened(words, number, taken, (matched, a, b))
+                    taken.insert(bisect_left(taken, (a, b)), (a, b))
+                    yield matched, number, a, b
+                if any(found):
+                    break
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, int, float]]:
         """``(license, first character, end, matched words, coverage)`` in order of place."""
@@ -261,11 +375,15 @@ class Scanner:
         present = self.vocabulary.intersection(words)
         finds: list[tuple[int, int, int, int]] = []
         for number, counts in enumerate(self.counts):
-            if len(present) * max(counts.values()) >= self.need[number] and sum(counts[w] for w in present) >= self.need[number]:
+            marks = self.marks[number]
+            if (not marks or marks <= present) and sum(counts[w] for w in counts.keys() & present) >= self.need[number]:
                 finds += self._finds(words, number)
         kept: list[tuple[int, int, int, int]] = []
+        taken: list[tuple[int, int]] = []
         for find in sorted(finds, key=lambda f: (-f[0], f[2], f[3], self.names[f[1]])):
-            if all(find[3] <= other[2] or other[3] <= find[2] for other in kept):
+            span = find[2:]
+            if _free(taken, *span) == [span]:
+                taken.insert(bisect_left(taken, span), span)
                 kept.append(find)
         if not kept:
             return []
@@ -279,13 +397,14 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] |
 
     ``start`` and ``stop`` count characters of the lower-cased text. Columns of these names are replaced.
     """
-    chosen = tuple(templates or TEMPLATES + whole_texts())
+    chosen = tuple(templates or TEMPLATES + tags() + whole_texts())
     names = ["license", "start", "stop", "matched", "coverage"]
     passed = [column for column in docs.columns if column != text and column.lower() not in names]
+    scanned = fresh("scanned text", passed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(chosen, coverage)
-        for chunk in text_chunks(batches, "scanned text"):
+        for chunk in text_chunks(batches, scanned):
             found = [(i, *find) for i, value in enumerate(chunk.column(len(passed)).to_pylist()) for find in scanner.scan(value)]
             row, *columns = zip(*found) if found else [()] * 6
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
@@ -295,4 +414,4 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] |
 
     kinds = ["string", "long", "long", "long", "double"]
     schema = [f"`{column}` {docs.schema[column].dataType.simpleString()}" for column in passed] + [f"{n} {k}" for n, k in zip(names, kinds)]
-    return mapped(docs.select(*passed, F.col(text).alias("scanned text")), run, ", ".join(schema))
+    return mapped(docs.select(*passed, F.col(text).alias(scanned)), run, ", ".join(schema))

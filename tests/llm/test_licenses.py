@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from itertools import combinations
 
 from ledgerscope.llm import licenses
@@ -81,6 +82,74 @@ def test_whole_licenses():
     assert names == ["Copyright-notice", "All-rights-reserved", "AGPL-3.0-or-later", "GPL-2.0-or-later"]
 
 
+def test_versions_variants_and_tags():
+    scanner = Scanner(tuple(TEMPLATES + licenses.tags() + licenses.whole_texts()), 0.8)
+    for text, name in [
+        ("Licensed under CC BY 3.0.", "CC-BY-3.0"),
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+        ("licensed under CC BY-SA 3.0", "CC-BY-SA-3.0"),
+        ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "CC-BY-SA-3.0"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("GNU General Public License, version 2.", "GPL-2.0"),
+        ("GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+        ("GNU Affero General Public License version 3", "AGPL-3.0"),
+        ("Mozilla Public License, version 1.1", "MPL-1.1"),
+        ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"),
+        ("# SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only"),
+        ("MIT License", "MIT"),
+    ]:
+        assert [f[0] for f in scanner.scan(f"some words\n{text}\nand more of them")] == [name], text
+    for text in ("Licensed under CC BY 7.0.", "SPDX-License-Identifier: Artistic-2.0", "GNU General Public License, version 9."):
+        assert scanner.scan(text) == []
+    both = "Licensed under CC BY 3.0. Licensed under CC BY 4.0. " * 3
+    assert [f[0] for f in scanner.scan(both)] == ["CC-BY-3.0", "CC-BY-4.0"] * 3
+
+
+def test_places_equal_all_windows():
+    """Disjoint copies of a template with changed, added and lost words, each found at its place with its matched words."""
+    pick = random.Random(11)
+    template = [f"t{i}" for i in range(40)]
+    scanner = Scanner((("t", " ".join(template)),), 0.8)
+    for _ in range(60):
+        words, expected = [], []
+        for _ in range(pick.randrange(1, 4)):
+            words += [f"x{pick.randrange(9)}" for _ in range(pick.randrange(30))]
+            lost = set(pick.sample(range(1, 39), pick.randrange(12)))
+            copy = [word for i, word in enumerate(template) if i not in lost]
+            for _ in range(pick.randrange(6)):
+                copy.insert(pick.randrange(1, len(copy)), "y")
+            if len(lost) <= 8:
+                expected.append((len(words), len(words) + len(copy), 40 - len(lost)))
+            words += copy
+        found = scanner.scan(" ".join(words))
+        starts = [0]
+        for word in words:
+            starts.append(starts[-1] + len(word) + 1)
+        assert [(f[1], f[2], f[3]) for f in found] == [(starts[a], starts[b] - 1, n) for a, b, n in expected]
+
+
+def test_time_grows_with_the_text():
+    """Words of licenses in another order: many stretches, no license."""
+    pick, whole = random.Random(12), dict(licenses.whole_texts())
+    scanner = Scanner(tuple(TEMPLATES + licenses.tags() + licenses.whole_texts()), 0.8)
+    sentences = whole["GPL-3"].split(".") if "GPL-3" in whole else whole["GPL-3.0"].split(".")
+    pick.shuffle(sentences)
+    words = whole["Apache-2.0"].split() * 4
+    pick.shuffle(words)
+    for text in (".".join(sentences), " ".join(words)):
+        began = time.process_time()
+        scanner.scan(text)
+        assert time.process_time() - began < 5  # seconds; it was 28 to 48
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "MIT License", "kept")], "doc_id long, text string, `Scanned Text` string")
+    (row,) = licenses.scan(docs).collect()
+    assert (row["license"], row["Scanned Text"]) == ("MIT", "kept")
+
+
 def test_every_license_line(spark):
     """Each line of the documents that names a license or a right is in some find."""
     folder = "/root/testdata/sf0.01"
