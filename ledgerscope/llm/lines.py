@@ -11,7 +11,7 @@ Equal sets are found first, by 128-bit sums of word hashes, within tasks and the
 one row a task. From each word a line only gets one partner that passes the filters, the nearest by its classes, so copies
 of a passage give no square of rows; of these the nearest is verified. Lines for which that fails ask for all their partners in a second
 round, by pairs of words: a prefix longer by one holds two common words of any match, and few other lines have both. (Long sets, of which
-pairs would be many, ask by single words.) A word shared by more than ``CELL`` lines is dealt into cells of two blocks each, so
+pairs would be many, ask by single words.) There a pair is given by the first words that both prefixes have, and so once. A word shared by more than ``CELL`` lines is dealt into cells of two blocks each, so
 no task holds an unbounded group. Words are told apart by 64-bit hashes.
 
 Lines of fewer than ``least`` different words are kept: by default those of fewer than five; with 1 only lines without words. Sets of
@@ -41,6 +41,7 @@ PROBES = 3  # places of a word in the bit table of the second round
 SEEN = 80_000
 LAST = (1 << 63) - 1
 PAIRED = 80  # the largest sets that ask by pairs of words
+CARRIED = 32  # words of its prefix that a row of the second round has with it; all of them for sets of up to PAIRED
 CHUNK = 1 << 20
 PAGE = 4096  # numbers of an array that tasks put together
 
@@ -53,7 +54,7 @@ class Lines:
     """The lines of a chunk of texts, with their words as hashes. All arrays run over lines or over words."""
 
     def __init__(self, texts: pa.Array, wanted=None):
-        split = pc.split_pattern(pc.utf8_lower(texts), "\n")
+        split = pc.split_pattern(texts, "\n")
         lines = split.flatten()
         counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
         self.row = np.repeat(np.arange(len(texts)), counts)
@@ -61,7 +62,7 @@ class Lines:
         if wanted is not None:
             chosen = wanted(self.row, self.place)
             lines, self.row, self.place = lines.filter(pa.array(chosen)), self.row[chosen], self.place[chosen]
-        words = pc.utf8_split_whitespace(lines)
+        words = pc.utf8_split_whitespace(pc.utf8_lower(lines))
         sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -105,7 +106,7 @@ def _rarity(docs: DataFrame, unit: type[Lines]) -> np.ndarray:
         total = np.zeros(1 << BITS, np.int64)
         for chunk in text_chunks(batches, "text", CHUNK):
             hashes, n = unit.counted(chunk.column(0))
-            total += np.bincount((hashes >> np.uint64(64 - BITS)).astype(np.int64), n, 1 << BITS).astype(np.int64)
+            np.add.at(total, (hashes >> np.uint64(64 - BITS)).astype(np.int64), n)
         pages = total.reshape(-1, PAGE)
         at = np.flatnonzero(pages.any(axis=1))
         yield pa.RecordBatch.from_pydict({"page": at.astype(np.int32), "n": pa.array([zlib.compress(pages[i].tobytes(), 1) for i in at], pa.binary())})
@@ -228,9 +229,10 @@ def _partners(rows: DataFrame, every: bool = False) -> DataFrame:
     ``slack`` is by how much the differing classes stay below what is allowed, negative.
 
     ``rows`` has the columns of ``PLAIN``, where ``shape`` packs the set's size and the word's place in it; ``i``, ``j`` and
-    ``side`` where words are dealt into cells, and ``asks`` where only some lines look for partners.
+    ``side`` where words are dealt into cells, ``asks`` where only some lines look for partners, and ``keys`` (see :func:`_carried`) where
+    each pair is given by its first common words only.
     """
-    optional = [name for name in ("i", "j", "side", "asks") if name in rows.columns]
+    optional = [name for name in ("i", "j", "side", "asks", "keys") if name in rows.columns]
     names = PLAIN + optional
     cell = ["token", *(name for name in ("i", "j") if name in optional)]
 
@@ -268,6 +270,8 @@ def _partners(rows: DataFrame, every: bool = False) -> DataFrame:
                 passed &= slack <= 0
                 if "side" in columns:
                     passed &= ~split[x] | (side[x] != side[y])
+                if "keys" in columns:
+                    passed[passed] = _first_common(columns["keys"], size, at, x[passed], y[passed])
                 turn += 1
                 if every:
                     found.append((x[passed], y[passed], slack[passed]))
@@ -311,7 +315,7 @@ def _partners(rows: DataFrame, every: bool = False) -> DataFrame:
 
         for batch in batches:
             if batch.num_rows:
-                held.append({name: batch.column(name).to_numpy(zero_copy_only=False) for name in names})
+                held.append({name: _padded(batch.column(name)) if name == "keys" else batch.column(name).to_numpy(zero_copy_only=False) for name in names})
                 size += batch.num_rows
                 if size > 100_000:
                     yield from flush(False)
@@ -363,8 +367,8 @@ def _token_places(tokens: np.ndarray, sizes: np.ndarray, step: int = 0, probe: i
     return _mixed(_mixed(own) ^ np.uint64(probe)) >> np.uint64(64 - NEEDED_BITS)
 
 
-def _asking_keys(prefixes: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(line, key, at)``: what lines ask by and answer to in the second round; ``at`` is the place of the first word.
+def _asking_keys(prefixes: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(line, key, at, then)``: what lines ask by and answer to in the second round; ``at`` and ``then`` are the places of its words (0: no second one).
 
     Sets of up to ``PAIRED`` words have all pairs of their prefix, with the lowest bit set, as a key may be crowded. Longer ones, and those
     that may match a longer one, have the single words.
@@ -374,47 +378,91 @@ def _asking_keys(prefixes: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.
     owner, at = np.repeat(np.arange(len(sizes)), counts), _steps(counts)
     left = counts[owner] - at - 1  # words behind this one
     single = (5 * sizes[owner] > 4 * PAIRED) & (left > 0)
-    found = [(owner[single], tokens[single], at[single])]
+    found = [(owner[single], tokens[single], at[single], np.zeros(int(single.sum()), np.int64))]
     paired = np.where(sizes[owner] <= PAIRED, left, 0)
     for step in range(1, int(paired.max(initial=0)) + 1):
         first = np.flatnonzero(paired >= step)
         both = tokens[first].view(np.uint32).astype(np.uint64) << np.uint64(32) | tokens[first + step].view(np.uint32)
         keys = (_mixed(both) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-        found.append((owner[first], keys.view(np.int32), at[first]))
+        found.append((owner[first], keys.view(np.int32), at[first], at[first] + step))
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
-def _asked(marked: DataFrame, asking: np.ndarray) -> DataFrame:
+def _carried(prefixes: pa.Array, owner: np.ndarray, then: np.ndarray) -> pa.Array:
+    """For each row of a line (``owner``) the place of its key's second word, followed by the first words of the line's prefix."""
+    counts = pc.list_value_length(prefixes).to_numpy(zero_copy_only=False)
+    tokens = prefixes.flatten().to_numpy(zero_copy_only=False)
+    taken = np.minimum(counts, CARRIED)[owner]
+    starts = np.cumsum(taken + 1) - taken - 1
+    values = np.zeros(int((taken + 1).sum()), np.int32)
+    values[starts] = then
+    steps = _steps(taken)
+    values[np.repeat(starts + 1, taken) + steps] = tokens[np.repeat((np.cumsum(counts) - counts)[owner], taken) + steps]
+    ends = (4 * np.r_[0, np.cumsum(taken + 1)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(ends), pa.py_buffer(values)])
+
+
+def _padded(carried: pa.Array) -> np.ndarray:
+    """What :func:`_carried` gives as a table of ``CARRIED`` + 1 columns."""
+    lengths = pc.binary_length(carried).to_numpy(zero_copy_only=False) // 4
+    table = np.zeros((len(carried), CARRIED + 1), np.int32)
+    table[np.repeat(np.arange(len(carried)), lengths), _steps(lengths)] = np.frombuffer(b"".join(carried.to_pylist()), np.int32)
+    return table
+
+
+def _first_common(keys: np.ndarray, size: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs have no common word that is before their key's first word in both lines, or between its two words in both.
+
+    Lines that match have such a key: of their common words one that no other is before in both, and of those behind it likewise. Lines that both
+    ask by pairs do not meet by single words.
+    """
+    out = np.zeros(len(x), bool)
+    wide = min(CARRIED, max(at[x].max(initial=0), at[y].max(initial=0), keys[x, 0].max(initial=0), keys[y, 0].max(initial=0)))
+    place, nowhere = np.arange(wide), np.full(len(at), -1)
+    inside = lambda rows, low, high: (place > low[rows, None]) & (place < high[rows, None])
+    for start in range(0, len(x), 4096):
+        a, b = x[start : start + 4096], y[start : start + 4096]
+        same = keys[a, 1 : wide + 1, None] == keys[b, None, 1 : wide + 1]
+        both = inside(a, nowhere, at)[:, :, None] & inside(b, nowhere, at)[:, None, :]
+        both |= inside(a, at, keys[:, 0])[:, :, None] & inside(b, at, keys[:, 0])[:, None, :]
+        paired = keys[a, 0] > 0
+        meant = (paired == (keys[b, 0] > 0)) & (paired | (np.maximum(size[a], size[b]) > PAIRED))
+        out[start : start + 4096] = meant & ~(same & both).any(axis=(1, 2))
+    return out
+
+
+def _asked(leaders: DataFrame, asking: np.ndarray) -> DataFrame:
     """Rows of all lines for the keys of the lines that ask, by the bit table of their places.
 
     The tables may hold some more lines and keys; these are tried as well, which is only work.
     """
-    lines = marked.where("size(prefix) > 0").select("doc", "line", "size", "low", "high", "prefix")
-    sent = marked.sparkSession.sparkContext.broadcast(asking)
+    lines = leaders.where("size(prefix) > 0").select("doc", "line", "size", "low", "high", "prefix")
+    sent = leaders.sparkSession.sparkContext.broadcast(asking)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ask = _held(sent.value, _places(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
             sizes = batch.column(3).to_numpy()[ask]
-            owner, keys, _ = _asking_keys(batch.column(2).filter(pa.array(ask)), sizes)
+            owner, keys, _, _ = _asking_keys(batch.column(2).filter(pa.array(ask)), sizes)
             places = np.concatenate([_token_places(keys, sizes[owner], step, probe) for step in (-1, 0, 1) for probe in range(PROBES)])
             yield pa.RecordBatch.from_pydict({"place": np.unique(places).view(np.int64)})
 
-    table = marked.sparkSession.sparkContext.broadcast(_bit_table(mapped(lines.select("doc", "line", "prefix", "size"), words, "place long")))
+    table = leaders.sparkSession.sparkContext.broadcast(_bit_table(mapped(lines.select("doc", "line", "prefix", "size"), words, "place long")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, line, size, low, high = (batch.column(i).to_numpy() for i in range(5))
             ask = _held(sent.value, _places(doc, line))
-            owner, keys, at = _asking_keys(batch.column(5), size)
+            owner, keys, at, then = _asking_keys(batch.column(5), size)
             sizes = size[owner]
             for probe in range(PROBES):
                 use = _held(table.value, _token_places(keys, sizes, probe=probe))
-                owner, keys, at, sizes = owner[use], keys[use], at[use], sizes[use]
+                owner, keys, at, then, sizes = owner[use], keys[use], at[use], then[use], sizes[use]
             shape = size[owner].astype(np.int64) << 32 | at
-            yield pa.RecordBatch.from_pydict({"token": keys, "doc": doc[owner], "line": line[owner], "shape": shape, "low": low[owner], "high": high[owner], "asks": ask[owner]})
+            carried = _carried(batch.column(5), owner, then)
+            yield pa.RecordBatch.from_pydict({"token": keys, "doc": doc[owner], "line": line[owner], "shape": shape, "low": low[owner], "high": high[owner], "asks": ask[owner], "keys": carried})
 
-    return kept(mapped(lines, rows, "token int, doc long, line int, shape long, low long, high long, asks boolean"))
+    return written(mapped(lines, rows, "token int, doc long, line int, shape long, low long, high long, asks boolean, keys binary"))
 
 
 def _sets_of(docs: DataFrame, pairs: DataFrame, least: int, unit: type[Lines]) -> DataFrame:
@@ -457,7 +505,7 @@ def spark_hash(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 def _verified(docs: DataFrame, pairs: DataFrame, least: int, unit: type[Lines]) -> DataFrame:
     """The pairs whose sets have a Jaccard similarity of 4/5 or more."""
-    sets = _sets_of(docs, pairs, least, unit)
+    sets = written(_sets_of(docs, pairs, least, unit))
     own = sets.select(F.col("doc").alias("doc"), F.col("line").alias("line"), F.col("words").alias("words"))
     to = sets.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("words").alias("to_words"))
     both = pairs.join(own, ["doc", "line"]).join(to, ["to_doc", "to_line"])
@@ -475,16 +523,19 @@ def matches(ours: DataFrame, least: int, unit: type[Lines]) -> DataFrame:
     marked = written(_marked(ours, _rarity(ours, unit), least, unit))
     equal = Window.partitionBy("set_a", "set_b").orderBy("doc", "line")
     firsts = marked.where("prefix is not null").withColumns({"first": F.first(F.struct("doc", "line")).over(equal), "number": F.row_number().over(equal)})
+    of_leaders = F.when(F.col("number") == 1, F.col("prefix")).alias("prefix")
+    firsts = written(firsts.select("doc", "line", "size", "low", "high", of_leaders, F.col("first.doc").alias("to_doc"), F.col("first.line").alias("to_line")))
     known = marked.where("prefix is null").select("doc", "line", F.col("first_doc").alias("to_doc"), F.col("first_line").alias("to_line"))
-    same = firsts.where(F.struct("doc", "line") > F.col("first")).select("doc", "line", F.col("first.doc").alias("to_doc"), F.col("first.line").alias("to_line"))
-    leaders = firsts.where("number = 1").select("doc", "line", "size", "low", "high", "prefix")
+    later = F.struct("doc", "line") > F.struct("to_doc", "to_line")
+    same = firsts.where(later).select("doc", "line", "to_doc", "to_line")
+    leaders = firsts.where("prefix is not null").select("doc", "line", "size", "low", "high", "prefix")
     best = F.min(F.struct("slack", "to_doc", "to_line")).alias("to")
     pairs = kept(_found(_exploded(leaders)).groupBy("doc", "line").agg(best).select("doc", "line", "to.to_doc", "to.to_line"))
     near = kept(_verified(ours, pairs, least, unit))
     gone = known.union(same).union(near)
     untried = kept(pairs.join(near.select("doc", "line"), ["doc", "line"], "left_anti"))
     if not untried.isEmpty():
-        rest = _found(_asked(marked, _bit_table(untried.select(_place().alias("place")))), every=True).drop("slack").distinct()
+        rest = _found(_asked(leaders, _bit_table(untried.select(_place().alias("place")))), every=True).drop("slack").distinct()
         more = kept(rest.join(pairs, ["doc", "line", "to_doc", "to_line"], "left_anti"))
         gone = gone.union(_verified(ours, more, least, unit))
     return gone

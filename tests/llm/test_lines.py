@@ -88,6 +88,29 @@ def test_second_round(spark):
     assert found(spark, rows) == expected_of(rows) == {(3, 0)}
 
 
+def test_second_round_gives_each_pair_once(spark):
+    """Lines that share many rare words meet by many keys; sets below, around and above the largest that ask by pairs."""
+    pick = random.Random(11)
+    rows = []
+    for size in (30, 72, 120):
+        base = [f"s{size}w{i}" for i in range(size)]
+        for _ in range(25):
+            line = list(base)
+            for _ in range(pick.choice([1, 2, 4, size // 12, size // 8])):
+                line[pick.randrange(size)] = f"z{pick.randrange(500)}"
+            if size == 72:  # on both sides of the limit
+                line += [f"s{size}e{i}" for i in range(pick.randrange(0, 14))]
+            rows.append((len(rows), " ".join(line)))
+    docs = spark.createDataFrame(rows, "doc long, text string").repartition(3)
+    marked = lines._marked(docs, lines._rarity(docs, lines.Lines), 5, lines.Lines)
+    everyone = np.full(1 << lines.NEEDED_BITS - 3, 255, np.uint8)
+    met = [(r["doc"], r["to_doc"]) for r in lines._found(lines._asked(marked, everyone), every=True).collect()]
+    sets = [set(text.split()) for _, text in rows]
+    matched = {(i, j) for i in range(len(sets)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))}
+    assert len(met) == len(set(met)) and len(matched) > 300
+    assert matched <= set(met)
+
+
 def test_hash_is_that_of_sql(spark):
     table = spark.range(40).select((F.col("id") * 104729 - 900).alias("d"), (F.col("id") % 5).cast("int").alias("l")).withColumn("h", F.xxhash64("d", "l")).toPandas()
     assert (lines.spark_hash(table.d.to_numpy(), table.l.to_numpy()).view(np.int64) == table.h.to_numpy()).all()
