@@ -11,12 +11,12 @@ intersected as sorted arrays. Pairs that are connected already are passed over,
 connects, never its pairs.
 
 First signatures alone say which sets may link; each tile gives a tree over these. What such trees connect is a group of candidates, and only
-its members get their shingles sent, once, to be intersected within the group. A group of more than ``BLOCK`` sets is cut into
-blocks that share one member; where that leaves it in parts, the tiles that still hold several parts are taken up
-once more, with pairs of blocks. So large groups of copies cost one row each. Nothing within the similarity is lost.
+its members get their shingles sent, once, to be intersected within the group.
 
-A tile of more than ``BLOCK`` sets, or of more than ``HEAVY`` shingles, is dealt into cells of two blocks each, so no task holds an unbounded
-group. Shingles are told apart by 64-bit hashes, sets by 128 bits.
+A tile of more than ``TILE`` sets or group of more than ``BLOCK``, or of more than ``HEAVY`` shingles a set of these, is cut into blocks that share one member, so no task holds an
+unbounded group. Where that leaves it in parts, the tiles that still hold several parts are taken up once more, those of the same parts as
+one, in cells of two blocks each. So large groups of copies cost one row each in a tile; only crowded tiles whose sets do not connect cost a row
+for each of their blocks. Nothing within the similarity is lost. Shingles are told apart by 64-bit hashes, sets by 128 bits.
 
 Texts are taken whole. Null texts and texts without words have an empty set, link with nothing and are their own component. A null
 doc_id gives no component its name unless no other is there (then the name is null). Repeated rows and rows with the same doc_id
@@ -40,8 +40,9 @@ from ledgerscope.llm.simhash import row_keys
 
 WIDTH = 5
 PERCENT = 80
-BLOCK = 1024
-HEAVY = 1 << 19
+BLOCK = 1024  # sets of a block of a group, with their shingles
+TILE = 4096  # sets of a block of a tile, with their signatures
+HEAVY = 512  # shingles a set that a block has room for
 CHUNK = 1 << 20
 SMALL = 50_000  # rows of a table of crowded tiles up to which it is broadcast
 KEYS = ["key_a", "key_b"]
@@ -294,18 +295,18 @@ def promising(ids, sizes, labels, sides, marks: list[np.ndarray], percent: int)
 CELL = ["tile", "i", "j"]
 
 
-def _crowded(rows: DataFrame) -> DataFrame:
-    """Tiles of more than a block, with the number of their blocks; far fewer than rows."""
+def _crowded(rows: DataFrame, block: int) -> DataFrame:
+    """Tiles of more than a ``block``, with the number of their blocks; far fewer than rows."""
     stats = rows.groupBy("tile").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("id").alias("anchor"))
-    parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / HEAVY)).cast("int")
-    table = kept(stats.where((F.col("n") > BLOCK) | (F.col("total") > HEAVY)).select("tile", "anchor", parts.alias("parts")))
+    parts = F.ceil(F.greatest(F.col("n") / block, F.col("total") / (HEAVY * block))).cast("int")
+    table = kept(stats.where((F.col("n") > block) | (F.col("total") > HEAVY * block)).select("tile", "anchor", parts.alias("parts")))
     return F.broadcast(table) if table.count() <= SMALL else table
 
 
-def _cells(rows: DataFrame, across: bool) -> DataFrame:
-    """``rows`` (tile, id, size, label) with their cells. A block stands alone with the tile's first set, or, ``across``, with every other block."""
+def _cells(rows: DataFrame, across: bool, block: int) -> DataFrame:
+    """``rows`` (tile, id, size, label) with their cells. A ``block`` stands alone with the tile's first set, or, ``across``, with every other block."""
     parts = F.coalesce("parts", F.lit(1))
-    dealt = rows.join(_crowded(rows), "tile", "left").withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    dealt = rows.join(_crowded(rows, block), "tile", "left").withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
     every = F.sequence(F.lit(0), parts - 1)
     if across:
         dealt = dealt.withColumn("other", F.explode(every))
@@ -394,18 +395,39 @@ def _chosen(cells: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     return _by_cell(cells.join(marks, "id"), "mark", solve, "tile long, i int, j int, side boolean, id long, size long, label long")
 
 
+def _in_parts(tiles: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The rows of the tiles that hold several of the labels of ``labelled`` (id, label), under a name for the set of these; equal ones once."""
+    rows = kept(tiles.select("tile", "id", "size").join(labelled, "id"))
+    parts = rows.groupBy("tile", "label").agg(F.count("*").alias("n")).groupBy("tile")
+    mixed = parts.agg(F.count("*").alias("labels"), F.sum(F.xxhash64("label").cast("decimal(38,0)")).alias("sum")).where("labels > 1")
+    named = mixed.select("tile", F.xxhash64("sum", "labels").alias("name"))
+    return kept(rows.join(named, "tile").select(F.col("name").alias("tile"), "id", "size", "label").distinct())
+
+
+def _trees(tiles: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """``(u, v)``: what connects the sets that may link."""
+    near = kept(_may_link(_cells(tiles.withColumn("label", F.col("id")), across=False, block=TILE), marks, percent))
+    crowded = _crowded(tiles, TILE)
+    if crowded.isEmpty():
+        return near
+    of_crowd = kept(tiles.join(crowded.select("tile"), "tile", "left_semi"))
+    label = components(near)
+    joined = of_crowd.select("id").distinct().join(label, F.col("id") == F.col("node"), "left")
+    open_rows = _in_parts(of_crowd, joined.select("id", F.coalesce("component", "id").alias("label")))
+    return near.union(kept(_may_link(_cells(open_rows, across=True, block=TILE), marks, percent)))
+
+
 def links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """``(u, v)``: links between the ids of ``nodes`` that connect whatever links connect."""
     tiles = written(_tiles(marked, nodes, percent))
     met = nodes.join(tiles.select("id").distinct(), "id", "left_semi").select(*KEYS, "id")
     marks = met.join(marked.select(*KEYS, "mark").dropDuplicates(KEYS), KEYS).select("id", "mark")
-    each = tiles.withColumn("label", F.col("id"))
-    group = kept(components(kept(_may_link(_cells(each, across=True), marks, percent))))
+    group = kept(components(_trees(tiles, marks, percent)))
     of_group = nodes.join(group, nodes["id"] == group["node"])
     of_group = kept(of_group.select(*KEYS, "id", "size", F.col("component").alias("tile"), F.col("id").alias("label")))
     arrays = written(_arrays(docs, of_group.select(*KEYS, "id"), width, doc_id, text))
-    near = kept(_linked(_cells(of_group, across=False), arrays, percent))
-    crowded = _crowded(of_group)
+    near = kept(_linked(_cells(of_group, across=False, block=BLOCK), arrays, percent))
+    crowded = _crowded(of_group, BLOCK)
     if crowded.isEmpty():
         return near
     # What blocks with a common member have not connected: the tiles of groups that are still in parts.
@@ -413,13 +435,8 @@ def links(docs: DataFrame, marked: DataFrame, nodes: DataFrame, width: int, perc
     of_crowd = of_group.join(crowded.select(F.col("tile").alias("crowd")), F.col("tile") == F.col("crowd"), "left_semi")
     labelled = kept(of_crowd.join(label, F.col("id") == F.col("node"), "left").select("tile", "id", F.coalesce("new", "id").alias("label")))
     apart = labelled.groupBy("tile").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("tile")
-    rows = kept(tiles.join(labelled.join(apart, "tile", "left_semi").select("id", "label"), "id"))
-    # Tiles of several components, under a name for the set of their components.
-    parts = rows.groupBy("tile", "label").agg(F.count("*").alias("n")).groupBy("tile")
-    mixed = parts.agg(F.count("*").alias("labels"), F.sum(F.xxhash64("label").cast("decimal(38,0)")).alias("sum")).where("labels > 1")
-    named = mixed.select("tile", F.xxhash64("sum", "labels").alias("name"))
-    open_rows = kept(rows.join(named, "tile").select(F.col("name").alias("tile"), "id", "size", "label").distinct())
-    chosen = kept(_chosen(_cells(open_rows, across=True), marks, percent))
+    open_rows = _in_parts(tiles, labelled.join(apart, "tile", "left_semi").select("id", "label"))
+    chosen = kept(_chosen(_cells(open_rows, across=True, block=TILE), marks, percent))
     return near.union(_linked(chosen, arrays, percent))
 
 

@@ -94,6 +94,29 @@ def test_a_crowd_of_near_copies_and_a_common_passage(spark):
     assert max(np.bincount([e[2] for e in expected])) > ngram_join.BLOCK
 
 
+def test_crowded_tiles_grow_with_their_rows(spark, monkeypatch):
+    """Near copies in tiles of many blocks: the rows dealt to cells stay near those of the tiles, and the result is whole."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "TILE", 16, raising=False)
+    random = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(320):
+        copy = list(base)
+        copy[int(random.integers(0, 120))] = f"y{i}"
+        rows.append((i, " ".join(copy) if i < 300 else " ".join(base[:20]) + f" o{i} " + " ".join(f"q{i % 4}r{k}" for k in range(25))))
+    dealt, cells = [], ngram_join._cells
+
+    def counted(rows, *args, **named):
+        out = cells(rows, *args, **named)
+        dealt.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_cells", counted)
+    same(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert dealt[0][0] > 3000 and sum(out for _, out in dealt) < 3 * dealt[0][0]
+
+
 def test_signatures_bound_the_overlap():
     random = np.random.default_rng(7)
     for size in (1, 3, 20, 300, 5000):
