@@ -23,6 +23,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -95,30 +96,27 @@ def estimate(grams: DataFrame) -> DataFrame:
     Rows of an order hold the discounted share of a string after its context, rows with ``context`` the weight of
     the next lower order after it. The highest order uses counts, lower ones the number of different symbols before
     a string. The discount of an order is n1 / (n1 + 2 n2), or 0.5 where one of them is 0.
+
+    Each order's counts are written once, and the strings of a context come together once, whatever the number of orders: the
+    plan has few exchanges, which matters to the driver where each of them has many tasks.
     """
-    model = None
-    level = grams
+    level, levels = grams, []
     for order in range(ORDER, 0, -1):
-        once, twice = F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))
-        discount = level.groupBy("lang").agg(
-            F.when((once > 0) & (twice > 0), once / (once + 2 * twice)).otherwise(0.5).alias("discount")
-        )
         prefix = F.shiftrightunsigned("gram", 16) if order > 1 else F.lit(0).cast("long")
-        contexts = level.groupBy("lang", prefix.alias("context_gram")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        strings = (
-            level.withColumn("context_gram", prefix)
-            .join(contexts, ["lang", "context_gram"])
-            .join(discount, "lang")
-            .select(F.lit(order).alias("order"), F.lit(False).alias("context"), "lang", "gram", ((F.col("n") - F.col("discount")) / F.col("total")).alias("value"))
-        )
-        weights = contexts.join(discount, "lang").select(
-            F.lit(order).alias("order"), F.lit(True).alias("context"), "lang", F.col("context_gram").alias("gram"), (F.col("discount") * F.col("kinds") / F.col("total")).alias("value")
-        )
-        rows = strings.unionByName(weights)
-        model = rows if model is None else model.unionByName(rows)
+        levels.append(level.select(F.lit(order).alias("order"), "lang", "gram", "n", prefix.alias("after")))
         if order > 1:
-            level = level.groupBy("lang", _suffix(F.col("gram"), order - 1).alias("gram")).agg(F.count("*").alias("n"))
-    return model
+            level = kept(level.groupBy("lang", _suffix(F.col("gram"), order - 1).alias("gram")).agg(F.count("*").alias("n")))
+    rows = reduce(DataFrame.unionByName, levels)
+    once, twice = F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))
+    discount = F.when((once > 0) & (twice > 0), once / (once + 2 * twice)).otherwise(0.5).alias("discount")
+    discounts = rows.groupBy("order", "lang").agg(discount)
+    # The strings of a context differ in one symbol, so their list is no longer than the alphabet.
+    strings = F.collect_list(F.struct("gram", "n")).alias("strings")
+    contexts = rows.groupBy("order", "lang", "after").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), strings)
+    shares = F.transform("strings", lambda s: F.struct(F.lit(False).alias("context"), s["gram"].alias("gram"), ((s["n"] - F.col("discount")) / F.col("total")).alias("value")))
+    weight = F.struct(F.lit(True).alias("context"), F.col("after").alias("gram"), (F.col("discount") * F.col("kinds") / F.col("total")).alias("value"))
+    found = contexts.join(F.broadcast(discounts), ["order", "lang"]).select("order", "lang", F.inline(F.concat(shares, F.array(weight))))
+    return found.select("order", "context", "lang", "gram", "value")
 
 
 def _hash(order: int, context: bool, grams: np.ndarray) -> np.ndarray:

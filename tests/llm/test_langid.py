@@ -1,6 +1,9 @@
+from collections import Counter
+
 import numpy as np
 
 from ledgerscope.llm import langid
+from ledgerscope.llm.common import kept
 
 
 def train(spark):
@@ -23,6 +26,31 @@ def test_probabilities_sum_to_one(spark):
         assert np.allclose(total, 1, atol=1e-9), total
 
 
+def test_estimates_are_one_plan_of_few_exchanges(spark):
+    """The driver keeps the metrics of each task of each exchange; a join for each order and role took dozens of them. Values are those of the formulas."""
+    grams = kept(langid.count_grams(train(spark), "text", "lang"))
+    model = langid.estimate(grams)
+    plan = model._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("Exchange") <= 6, plan
+    found = {(r["order"], r["context"], r["lang"], r["gram"]): r["value"] for r in model.collect()}
+    expected = {}
+    level = {(r["lang"], r["gram"]): r["n"] for r in grams.collect()}
+    for order in range(langid.ORDER, 0, -1):
+        for lang in ("en", "fr"):
+            own = {gram: n for (name, gram), n in level.items() if name == lang}
+            once, twice = (sum(n == times for n in own.values()) for times in (1, 2))
+            discount = once / (once + 2 * twice) if once and twice else 0.5
+            after = {}
+            for gram, n in own.items():
+                after.setdefault(gram >> 16 if order > 1 else 0, []).append(n)
+            for gram, n in own.items():
+                expected[order, False, lang, gram] = (n - discount) / sum(after[gram >> 16 if order > 1 else 0])
+            for gram, counts in after.items():
+                expected[order, True, lang, gram] = discount * len(counts) / sum(counts)
+        level = Counter((lang, gram & (1 << 16 * (order - 1)) - 1) for lang, gram in level)
+    assert found == expected
+
+
 def test_counts_of_texts(spark):
     grams = {(r["lang"], r["gram"]): r["n"] for r in langid.count_grams(train(spark).where("doc_id < 3"), "text", "lang").collect()}
     packed = lambda s: sum(ord(c) << 16 * (3 - i) for i, c in enumerate(s))
