@@ -44,12 +44,51 @@ PAIRED = 80  # the largest sets that ask by pairs of words
 CARRIED = 32  # words of its prefix that a row of the second round has with it; all of them for sets of up to PAIRED
 CHUNK = 1 << 20
 PAGE = 4096  # numbers of an array that tasks put together
+BLANK = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21)])  # white space of one byte
+# That of two and three bytes: what may stand at each place.
+WIDE_BLANKS = [
+    ([0xC2], [0x85, 0xA0]),
+    ([0xE1], [0x9A], [0x80]),
+    ([0xE2], [0x80], [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]),
+    ([0xE2], [0x81], [0x9F]),
+    ([0xE3], [0x80], [0x80]),
+]
 
 
 def order_of(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(LAST))
 
 
+class Words:
+    """The lower-cased words of texts as they lie in their bytes: those between white space, found for all texts at once."""
+
+    def __init__(self, texts: pa.Array):
+        lower = pc.utf8_lower(pc.fill_null(texts, ""))
+        offsets = np.frombuffer(lower.buffers()[1], np.int32, len(lower) + 1, 4 * lower.offset).astype(np.int64)
+        self.data = np.frombuffer(lower.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        self.offsets = offsets - offsets[0]
+        blank = BLANK[self.data]
+        for letters in WIDE_BLANKS:
+            width = len(letters)
+            at = np.flatnonzero(self.data[: max(len(self.data) - width + 1, 0)] == letters[0][0])
+            for place in range(1, width):
+                at = at[np.isin(self.data[at + place], letters[place])]
+            for place in range(width):
+                blank[at + place] = True
+        inner = self.offsets[(self.offsets > 0) & (self.offsets < len(self.data))]
+        first, last = ~blank, ~blank
+        first[1:] &= blank[:-1]
+        first[inner] = ~blank[inner]
+        last[:-1] &= blank[1:]
+        last[inner - 1] = ~blank[inner - 1]
+        self.starts = np.flatnonzero(first)
+        self.lengths = np.flatnonzero(last) + 1 - self.starts
+        self.owner = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(self.starts, self.offsets)))  # the word's text
+
+    def hashes(self) -> np.ndarray:
+        return _hashed(self.data, self.starts, self.lengths)
+
+
 class Lines:
     """The lines of a chunk of texts, with their words as hashes. All arrays run over lines or over words."""
 
@@ -62,20 +101,15 @@ class Lines:
         if wanted is not None:
             chosen = wanted(self.row, self.place)
             lines, self.row, self.place = lines.filter(pa.array(chosen)), self.row[chosen], self.place[chosen]
-        words = pc.utf8_split_whitespace(pc.utf8_lower(lines))
-        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-        coded = words.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.hashes = _digests(coded.dictionary)
-        full = pc.greater(pc.binary_length(coded.dictionary), 0).to_numpy(zero_copy_only=False)[codes]  # blanks at the ends give empty words
-        self.owner = np.repeat(np.arange(len(lines)), sizes)[full]
-        self.codes = codes[full]
+        words = Words(lines)
+        coded = pa.array(words.hashes()).dictionary_encode()
+        self.hashes = coded.dictionary.to_numpy(zero_copy_only=False)
+        self.owner, self.codes = words.owner, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
     @staticmethod
-    def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of all words and how often each is there."""
-        coded = pc.utf8_split_whitespace(pc.utf8_lower(texts)).flatten().dictionary_encode()
-        return _digests(coded.dictionary), np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
+    def counted(texts: pa.Array) -> np.ndarray:
+        """The hashes of all words, repeats included."""
+        return Words(texts).hashes()
 
     def sets(self, rarity: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Lines with ``least`` different words or more: their numbers, sizes and first words, and all words' hashes, rarest first."""
@@ -105,8 +139,7 @@ def _rarity(docs: DataFrame, unit: type[Lines]) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, np.int64)
         for chunk in text_chunks(batches, "text", CHUNK):
-            hashes, n = unit.counted(chunk.column(0))
-            np.add.at(total, (hashes >> np.uint64(64 - BITS)).astype(np.int64), n)
+            total += np.bincount((unit.counted(chunk.column(0)) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
         pages = total.reshape(-1, PAGE)
         at = np.flatnonzero(pages.any(axis=1))
         yield pa.RecordBatch.from_pydict({"page": at.astype(np.int32), "n": pa.array([zlib.compress(pages[i].tobytes(), 1) for i in at], pa.binary())})
@@ -117,19 +150,22 @@ def _rarity(docs: DataFrame, unit: type[Lines]) -> np.ndarray:
 def _digests(words: pa.Array) -> np.ndarray:
     """64-bit hashes of texts, eight bytes at a time for all of them side by side."""
     offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).astype(np.int64)
-    starts, lengths = offsets[:-1], np.diff(offsets)
-    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    return _hashed(np.frombuffer(words.buffers()[2] or b"", np.uint8), offsets[:-1], np.diff(offsets))
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The same of stretches of bytes."""
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
     eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     hashes = _mixed(lengths.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    step, active = 0, np.flatnonzero(lengths > 0)
-    while len(active):
+    step, active = 0, slice(None) if lengths.all() else np.flatnonzero(lengths)
+    while len(hashes[active]):
         left = np.minimum(lengths[active] - step, 8)
         part = eights[starts[active] + step] & np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - 8 * left).astype(np.uint64)
         hashes[active] = _mixed(hashes[active] * np.uint64(0x9E3779B185EBCA87) ^ part)
         step += 8
-        active = active[lengths[active] > step]
+        active = np.flatnonzero(lengths > step) if isinstance(active, slice) else active[lengths[active] > step]
     return hashes
 
 

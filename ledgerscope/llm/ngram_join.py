@@ -76,8 +76,8 @@ class Counted:
     """What the table of rarity counts: shingles of ``WIDTH`` words. Any order of shingles would do; this one keeps common ones out of tiles."""
 
     @staticmethod
-    def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(shingle_sets(texts, WIDTH)[1], return_counts=True)
+    def counted(texts: pa.Array) -> np.ndarray:
+        return shingle_sets(texts, WIDTH)[1]
 
 
 def places(sizes: np.ndarray) -> np.ndarray:

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ledgerscope.llm import lines
@@ -111,6 +113,26 @@ def test_second_round_gives_each_pair_once(spark):
     assert matched <= set(met)
 
 
+def test_words_are_those_between_any_white_space():
+    """Arrow's white space, of one to three bytes and at all places, also at the ends of texts; letters that begin with the same bytes stay."""
+    codes = [c for c in range(0x3100) if not 0xD800 <= c <= 0xDFFF]
+    texts = [f"{left}{chr(c)}{right}" for c in codes for left, right in (("", ""), ("Ab", "\u00c9c d"), ("", "x"))] + ["", "a " * 9 + "b" * 40, "\u2003\u3000z\n\u00a0"]
+    expected = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts))).to_pylist()
+    words = lines.Words(pa.array(texts))
+    found = [(i, bytes(words.data[a : a + n]).decode()) for i, a, n in zip(words.owner.tolist(), words.starts.tolist(), words.lengths.tolist())]
+    assert found == [(i, word) for i, row in enumerate(expected) for word in row if word]
+    assert (words.hashes() == lines._digests(pa.array([word for _, word in found]))).all()
+
+
+def test_rarity_counts_words_only(spark):
+    """Blanks at the ends of a text are no words; each word counts as often as it is there, however it is written."""
+    docs = spark.createDataFrame([(" one Two ",), ("two  one two\n",), ("",), (None,)], "text string")
+    table = np.full(1 << lines.BITS, np.ceil(16 * np.log2(0.5)) + 17)
+    for word, n in (("one", 2), ("two", 3)):
+        table[int(lines._digests(pa.array([word]))[0]) >> 64 - lines.BITS] = np.ceil(16 * np.log2(n)) + 17
+    assert (lines._rarity(docs, lines.Lines) == table).all()
+
+
 def test_hash_is_that_of_sql(spark):
     table = spark.range(40).select((F.col("id") * 104729 - 900).alias("d"), (F.col("id") % 5).cast("int").alias("l")).withColumn("h", F.xxhash64("d", "l")).toPandas()
     assert (lines.spark_hash(table.d.to_numpy(), table.l.to_numpy()).view(np.int64) == table.h.to_numpy()).all()
