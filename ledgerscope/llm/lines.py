@@ -8,7 +8,8 @@ word, sizes too different, places that leave too few words (positional filter),
 differ too often are passed over; the rest is verified on the sets.
 
 Equal sets are found first, by 128-bit sums of word hashes, within tasks and then across, so a line that fills a third of the corpus is
-one row a task. From each word a line only gets one partner that passes the filters, the nearest by its classes, so copies
+one record a task. Lines, and the words of their prefixes, are dealt to buckets by hash as pages: a row of the exchange has the records of one
+bucket for many lines of a task. From each word a line only gets one partner that passes the filters, the nearest by its classes, so copies
 of a passage give no square of rows; of these the nearest is verified. Lines for which that fails ask for all their partners in a second
 round, by pairs of words: a prefix longer by one holds two common words of any match, and few other lines have both. (Long sets, of which
 pairs would be many, ask by single words.) There a pair is given by the first words that both prefixes have, and so once. A word shared by more than ``CELL`` lines is dealt into cells of two blocks each, so
@@ -273,7 +274,7 @@ def _marked(docs: DataFrame, rarity: np.ndarray, least: int, unit: type[Lines])
             keys = (words[take] >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE) | (scale[words[take] >> np.uint64(64 - BITS)] > crowded)
             table = _records(LINE, set_a=sums[0], set_b=sums[1], doc=doc, low=parity[0], high=parity[1], line=place, size=sizes, width=width)[new]
             held.append((table, keys.view(np.int32)))
-            if sum(len(words) for _, words in held) > PAGED:
+            if sum(len(table) + len(words) for table, words in held) > PAGED:  # short lines have no words here
                 yield _filled(_dealt(held, buckets))
                 held.clear()
             old = np.flatnonzero(~new).tolist()

@@ -113,6 +113,45 @@ def test_second_round_gives_each_pair_once(spark):
     assert matched <= set(met)
 
 
+def test_lines_and_words_travel_in_pages(spark):
+    """An exchange has a row for the lines or words of one bucket and task, whatever their number; none is lost and equal sets lead once."""
+    rows = made(12) + [(1000 + i, f"p{i % 7} q r s t u v w x y z{i % 7}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc long, text string").repartition(3)
+    rarity = lines._rarity(docs, lines.Lines)
+    leaders = lines._leaders(lines._marked(docs, rarity, 5, lines.Lines))
+    pages = lines._paged(leaders, 4).collect()
+    words = [w for page in pages for w in np.frombuffer(page["words"], lines.WORD).tolist()]
+    sets = {frozenset(line.split()): None for _, text in sorted(rows) for line in text.lower().split("\n") if len(set(line.split())) >= 5}
+    width = lambda n: n - -(-4 * n // 5) + 1
+    assert len(words) == len(set(words)) == sum(width(len(s)) for s in sets) > 200
+    assert len(pages) <= 4 * leaders.rdd.getNumPartitions() < len(words) / 10
+    assert len({w[1:5:3] for w in words}) == len(sets)  # each led by one place
+    assert {page["bucket"] for page in pages} <= set(range(4))
+
+
+def test_short_lines_do_not_gather_in_a_task(spark, monkeypatch):
+    """Lines of up to three words have no prefix words, but are handed on like others."""
+    monkeypatch.setattr(lines, "mapped", lambda df, run, schema: run)
+    monkeypatch.setattr(lines, "PAGED", 100)
+    monkeypatch.setattr(lines, "CHUNK", 500)
+    run = lines._marked(spark.createDataFrame([(1, "a")], "doc long, text string"), np.ones(1 << lines.BITS, np.uint16), 1, lines.Lines)
+    batch = pa.RecordBatch.from_pydict({"doc": pa.array(range(900), pa.int64()), "text": [f"w{i}" for i in range(900)]})
+    sizes = [sum(map(len, out.column(1).to_pylist())) // lines.LINE.itemsize for out in run(iter([batch]))]
+    assert sum(sizes) == 900 and max(sizes) < 300
+
+
+def test_words_that_hash_alike_keep_one_order(monkeypatch):
+    """Hashes with the same first bits are ordered by all bits, also in lines that meet them in another order."""
+    texts = ["a b c d e f\nf e d c b a\nb b", None, "", "c a\n\n f a"]
+    plain = lines._hashed
+    monkeypatch.setattr(lines, "_hashed", lambda *args: plain(*args) & np.uint64(0xFFFF) | np.uint64(7 << 50))
+    part = lines.Lines(pa.array(texts))
+    line, sizes, starts, words = part.sets(np.ones(1 << lines.BITS, np.uint16), 1)
+    code = {w: int(lines._digests(pa.array([w]))[0]) for w in "abcdef"}
+    expected = [(row, place, sorted({code[w] for w in text.split()})) for row, whole in enumerate(texts) if whole is not None for place, text in enumerate(whole.split("\n")) if text.split()]
+    assert [(int(part.row[i]), int(part.place[i]), words[a : a + n].tolist()) for i, n, a in zip(line, sizes, starts)] == expected
+
+
 def test_words_are_those_between_any_white_space():
     """Arrow's white space, of one to three bytes and at all places, also at the ends of texts; letters that begin with the same bytes stay."""
     codes = [c for c in range(0x3100) if not 0xD800 <= c <= 0xDFFF]
